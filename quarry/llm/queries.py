@@ -21,6 +21,35 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.fit(docs, labels))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.exact_dedup import exact_dedup
+
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+#: Texts are compared by themselves here; the operator names them by their blocks.
+OP3_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
+FROM d JOIN g ON d.t = g.t
+"""
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.fit(docs, labels))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.token_store import round_trip
 
@@ -72,10 +101,63 @@ SELECT n.page_id, n.host, n.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM named n LEFT JOIN fits f ON f.page_id = n.page_id AND f.rank = 1
 """
 
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.media import documents_as_media
+
+    return documents_as_media(table(spark, sf_dir, "documents"))
+
+
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals under two public tokenizers."""
+    from quarry.llm.common import scratch
+    from quarry.llm.token_rollup import bytes_counter, maintain, words_counter
+
+    counters = {
+        "word_bpe_49k": words_counter(public_tokenizers.path(WORDS)),
+        "byte_bpe_50k": bytes_counter(public_tokenizers.path(RANKS), public_tokenizers.PATTERN),
+    }
+    return maintain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scratch(spark, "rollup"), counters)
+
+
+def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches with a count that SQL knows too: runs of non-space characters."""
+    from pyspark.sql import functions as F
+
+    from quarry.llm.common import scratch
+    from quarry.llm.token_rollup import maintain
+
+    runs = {"runs": F.size(F.regexp_extract_all("text", F.lit(r"[^ \n\t\r]+"), F.lit(0)))}
+    return maintain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scratch(spark, "rollup"), {}, runs)
+
+
+TOKEN_ROLLUP_WORDS_SQL = r"""
+WITH revised AS (
+  SELECT doc_id, source, lang,
+         array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT starts_with(x, 'Licensed under')), chr(10)) AS t
+  FROM documents
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+)
+SELECT source, lang, 'runs' AS tokenizer, count(*) AS docs,
+       CAST(sum(len(regexp_extract_all(t, '[^ \n\t\r]+'))) AS BIGINT) AS tokens
+FROM revised GROUP BY source, lang
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_toxicity": op2_toxicity,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality": op4_quality,
     "op5_token_store": op5_token_store,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_url_filter": op7_url_filter,
+    "op8_media": op8_media,
+    "op9_token_rollup": op9_token_rollup,
+    "token_rollup_words": token_rollup_words,
+}
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": OP3_SQL,
+    "op7_url_filter": OP7_SQL,
+    "token_rollup_words": TOKEN_ROLLUP_WORDS_SQL,
 }
-ORACLES: dict[str, str] = {"op7_url_filter": OP7_SQL}
