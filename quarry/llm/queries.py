@@ -15,10 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary file is."""
+    return public_tokenizers.path(name)
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORDS))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +58,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.token_store import round_trip
 
-    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path(WORDS))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.bpe import encode_documents
 
-    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(RANKS), public_tokenizers.PATTERN)
 
 
 #: The rules that the query applies (fixed values).
@@ -115,8 +120,8 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.token_rollup import bytes_counter, maintain, words_counter
 
     counters = {
-        "word_bpe_49k": words_counter(public_tokenizers.path(WORDS)),
-        "byte_bpe_50k": bytes_counter(public_tokenizers.path(RANKS), public_tokenizers.PATTERN),
+        "word_bpe_49k": words_counter(tokenizer_path(WORDS)),
+        "byte_bpe_50k": bytes_counter(tokenizer_path(RANKS), public_tokenizers.PATTERN),
     }
     return maintain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scratch(spark, "rollup"), counters)
 
@@ -144,6 +149,14 @@ SELECT source, lang, 'runs' AS tokenizer, count(*) AS docs,
 FROM revised GROUP BY source, lang
 """
 
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.ngram_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -154,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filter": op7_url_filter,
     "op8_media": op8_media,
     "op9_token_rollup": op9_token_rollup,
+    "op10_ngram_join": op10_ngram_join,
     "token_rollup_words": token_rollup_words,
 }
 ORACLES: dict[str, str] = {
