@@ -110,11 +110,11 @@ def truncate(s: Column, n: int) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes in units of 1024, with one decimal above bytes."""
+    """Bytes in units of 1024, with one decimal (ties to even) above bytes."""
     units = ["KB", "MB", "GB", "TB"]
     out = F.concat(size.cast("string"), F.lit(" B"))
     for k, unit in enumerate(units, 1):
-        shown = F.concat(F.format_string("%.1f", size / float(1 << (10 * k))), F.lit(f" {unit}"))
+        shown = F.concat(F.format_string("%.1f", F.bround(size / float(1 << (10 * k)), 1)), F.lit(f" {unit}"))
         out = F.when(size >= (1 << (10 * k)), shown).otherwise(out)
     return out
 

@@ -43,6 +43,28 @@ class Match:
         a, b = (self.condition(has, p) for p in node.parts)
         return a & b if node.kind == "and" else a | b if node.kind == "or" else a & ~b
 
+    def counted(self, has: list[Column]) -> list[Column | None]:
+        """For each phrase, when it adds to a matching row's score (None: always).
+
+        A phrase counts only where every part of the query around it matches.
+        """
+        out: list[Column | None] = [None] * len(self.phrases)
+
+        def walk(node: Node, under: Column | None) -> None:
+            if node.kind == "phrase":
+                out[node.phrase] = under
+            for i, part in enumerate(node.parts):
+                if node.kind == "not" and i == 1:
+                    walk(part, F.lit(False))
+                elif node.kind == "or":
+                    own = self.condition(has, part)
+                    walk(part, own if under is None else under & own)
+                else:
+                    walk(part, under)
+
+        walk(self.root, None)
+        return out
+
 
 class _Parser:
     def __init__(self, query: str):

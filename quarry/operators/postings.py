@@ -16,8 +16,11 @@ BUCKETS = 256
 def trigram_rows(chunks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bucket, trigram, doc_id, line_start: each distinct trigram of a chunk once."""
     low = F.lower("text")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))
-    rows = chunks.filter(F.length(low) >= 3).select("doc_id", "line_start", F.explode(grams).alias("trigram"))
+    # positions in an array of characters are found at once, those in a string by counting
+    held = chunks.filter(F.length(low) >= 3).select("doc_id", "line_start", F.split(low, "").alias("c"))
+    three = lambda i: F.concat(*[F.get("c", i + k) for k in range(3)])
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("c") - 3), three))
+    rows = held.select("doc_id", "line_start", F.explode(grams).alias("trigram"))
     return rows.select(F.pmod(F.xxhash64("trigram"), F.lit(buckets)).cast("int").alias("bucket"), "trigram", "doc_id", "line_start")
 
 

@@ -46,12 +46,14 @@ def bm25(chunks: DataFrame, query: str | Match, path_prefix: str | None = None)
         return chunks.limit(0).withColumn("score", F.lit(0.0))
     stats = corpus_stats(chunks, match)
     low = F.lower("text")
-    hits = under_prefix(chunks, path_prefix).filter(match.condition([F.contains(low, F.lit(p)) for p in match.phrases]))
+    has = [F.contains(low, F.lit(p)) for p in match.phrases]
+    hits = under_prefix(chunks, path_prefix).filter(match.condition(has))
     scored = hits.crossJoin(F.broadcast(stats))  # one row
     d = F.greatest(F.length("text") - 2, F.lit(0)).cast("double")
     total: Column = F.lit(0.0)
-    for i, phrase in enumerate(match.phrases):
+    for i, (phrase, counts) in enumerate(zip(match.phrases, match.counted(has), strict=True)):
         f = occurrences(low, phrase).cast("double")
+        f = f if counts is None else F.when(counts, f).otherwise(0.0)
         idf = F.greatest(F.log((F.col("n") - F.col(f"n_{i}") + 0.5) / (F.col(f"n_{i}") + 0.5)), F.lit(LEAST_IDF))
         total = total + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * d / F.col("avg_d")))
     return scored.withColumn("score", -total).select(*chunks.columns, "score")
