@@ -20,7 +20,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Pieces kept per worker process (about 150 bytes each).
-CACHE_PIECES = 600_000
+CACHE_PIECES = 250_000
 #: Characters handled at a time, so that a very long text stays cheap.
 SLICE_CHARS = 1_000_000
 
@@ -29,6 +29,10 @@ _SIMPLE = re.compile("[\t\n\r -~À-ÖØ-öø-įı-ſ]*")
 #: The pre-tokenizer's pattern (fixed values), for lower-cased simple texts.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-zß-öø-ſ0-9]+")
 
+#: What the byte-level step makes of each byte: visible ones stay, the others follow from 256 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -64,10 +68,17 @@ class WordEncoder:
         self._ends = np.zeros(1 << 14, np.int64)  # item i + 1: the end of piece i in the pool
         self._learned = 0
 
+    def _look_up(self, pieces: list[str]) -> list[list[int]]:
+        """Ids from the library: by its model alone where the steps before it change nothing."""
+        plain = [bool(_PIECE.fullmatch(p) and _SIMPLE.fullmatch(p)) and p == p.lower() and not any(t in p for t in self._added) for p in pieces]
+        whole = iter(self._lib.encode_batch_fast([p for p, own in zip(pieces, plain, strict=True) if not own], add_special_tokens=False))
+        model = self._lib.model.tokenize
+        return [[t.id for t in model(p.encode().decode("latin-1").translate(_BYTES))] if own else next(whole).ids for p, own in zip(pieces, plain, strict=True)]
+
     def _learn(self) -> None:
         fresh = self._numbers.fresh
         for at in range(0, len(fresh), 10_000):
-            ids = [e.ids for e in self._lib.encode_batch_fast(fresh[at : at + 10_000], add_special_tokens=False)]
+            ids = self._look_up(fresh[at : at + 10_000])
             ends = self._ends[self._learned] + np.cumsum([len(i) for i in ids])
             while ends[-1] > len(self._pool):
                 self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
