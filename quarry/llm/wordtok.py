@@ -13,6 +13,7 @@ This holds for tokenizers that lower-case and split as ``word_bpe_49k.json`` doe
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -20,7 +21,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Pieces kept per worker process (about 150 bytes each).
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 #: Characters handled at a time, so that a very long text stays cheap.
 SLICE_CHARS = 1_000_000
 
@@ -33,6 +34,9 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-zß-
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
+#: Before a word that the library has to see whole; no piece starts with it.
+_WHOLE = "\n"
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -70,10 +74,15 @@ class WordEncoder:
 
     def _look_up(self, pieces: list[str]) -> list[list[int]]:
         """Ids from the library: by its model alone where the steps before it change nothing."""
-        plain = [bool(_PIECE.fullmatch(p) and _SIMPLE.fullmatch(p)) and p == p.lower() and not any(t in p for t in self._added) for p in pieces]
-        whole = iter(self._lib.encode_batch_fast([p for p, own in zip(pieces, plain, strict=True) if not own], add_special_tokens=False))
+        whole = iter(self._lib.encode_batch_fast([p[1:] for p in pieces if p[:1] == _WHOLE], add_special_tokens=False))
         model = self._lib.model.tokenize
-        return [[t.id for t in model(p.encode().decode("latin-1").translate(_BYTES))] if own else next(whole).ids for p, own in zip(pieces, plain, strict=True)]
+        out = []
+        for p in pieces:
+            if p[:1] == _WHOLE:
+                out.append(next(whole).ids)
+            else:
+                out.append([t.id for t in model(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))])
+        return out
 
     def _learn(self) -> None:
         fresh = self._numbers.fresh
@@ -113,7 +122,7 @@ class WordEncoder:
         # the library looks for its added tokens before anything else
         if _SIMPLE.fullmatch(text) and not any(t in text for t in self._added):
             return _PIECE.findall(text.lower())
-        return text.replace("\n", " ").split(" ")
+        return [_WHOLE + word for word in text.replace("\n", " ").split(" ")]
 
     def ids(self, text: str) -> np.ndarray:
         """All ids of a text, without special tokens."""
@@ -125,6 +134,15 @@ class WordEncoder:
 
     def batch(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text; many short texts share one lookup."""
+        collecting = gc.isenabled()
+        gc.disable()  # millions of short-lived objects, none in a cycle
+        try:
+            return self._batch(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _batch(self, texts: Sequence[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         pieces: list[str] = []
         counts: list[int] = []
