@@ -3,9 +3,11 @@
 A text that resembles the good examples compresses better with the dictionary
 built from them. Texts are compressed in blocks of BLOCK bytes, so that in long
 ones, too, the dictionary and not the text's own past decides. The difference of
-the two sizes over the larger one, between -1 and 1, goes through a logistic
-curve (fitted on other labelled rows than the dictionaries) and becomes the
-probability that the text is good.
+the two sizes over the larger one, between -1 and 1, becomes the probability that
+the text is good by a logistic calibration, fitted on other labelled rows than the
+dictionaries. The calibration also takes the logarithm of the share to which the
+text shrinks: text that repeats itself shrinks to next to nothing with either
+dictionary, so that its difference says little.
 
 Dictionaries come from at most WINDOWS windows of WINDOW bytes for each class,
 the calibration from at most CALIBRATION documents for each, both chosen by the
@@ -55,10 +57,11 @@ class QualityModel:
     good: bytes
     bad: bytes
     slope: float = 0.0
+    shrink_slope: float = 0.0
     intercept: float = 0.0
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("good", "bad", "slope", "intercept")}
+        return {k: getattr(self, k) for k in ("good", "bad", "slope", "shrink_slope", "intercept")}
 
     @cached_property
     def _compressors(self):
@@ -71,33 +74,35 @@ class QualityModel:
             out.append(zstandard.ZstdCompressor(dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
         return out
 
-    def difference(self, text: str) -> float:
-        """(bytes with the bad dictionary - with the good one) / the larger of them."""
+    def sizes(self, text: str) -> tuple[float, float]:
+        """(bytes with the bad dictionary - with the good one) / the larger; log(the smaller / bytes of the text)."""
         content = text.encode()
         blocks = [content[i : i + BLOCK] for i in range(0, max(1, len(content)), BLOCK)]
         good, bad = (sum(len(c.compress(b)) for b in blocks) for c in self._compressors)
-        return (bad - good) / max(good, bad)
+        return (bad - good) / max(good, bad), float(np.log(min(good, bad) / len(content))) if content else 0.0
 
     def score(self, text: str) -> float:
-        if not self.good or not self.bad:
-            return float(1 / (1 + np.exp(-self.intercept)))
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.difference(text) + self.intercept, -40, 40))))
+        total = self.intercept
+        if self.good and self.bad:
+            difference, shrunk = self.sizes(text)
+            total += self.slope * difference + self.shrink_slope * shrunk
+        return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, with a little ridge on the slope."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
+    """Slopes of the columns of x, then the intercept, by Newton's method with a little ridge."""
     weight = weight / weight.sum()
     design = np.column_stack([x, np.ones(len(x))])
-    p = np.zeros(2)
+    p = np.zeros(design.shape[1])
     for _ in range(100):
         q = 1 / (1 + np.exp(-(design @ p).clip(-40, 40)))
-        gradient = design.T @ (weight * (y - q)) - np.array([1e-6 * p[0], 0])
-        hessian = (design * (weight * q * (1 - q))[:, None]).T @ design + np.diag([1e-6, 1e-9])
+        gradient = design.T @ (weight * (y - q)) - 1e-6 * p
+        hessian = (design * (weight * q * (1 - q))[:, None]).T @ design + 1e-6 * np.eye(len(p))
         step = np.linalg.solve(hessian, gradient)
         p = p + step * min(1.0, 10 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-9:
             break
-    return float(p[0]), float(p[1])
+    return p.tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
@@ -114,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n = sum(sizes.values())
     share = min(max(sizes.get(1, 0) / n, 1e-3), 1 - 1e-3) if n else 0.5
-    plain = QualityModel(b"", b"", 0.0, float(np.log(share / (1 - share))))
+    plain = QualityModel(b"", b"", intercept=float(np.log(share / (1 - share))))
     if len(sizes) < 2:
         return plain
     chosen = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(DICTIONARY_DOCUMENTS + CALIBRATION) for y in (0, 1)]
@@ -134,17 +139,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return plain
     model = QualityModel(train_dictionary(own[1]), train_dictionary(own[0]))
 
-    def differences(batch: pa.RecordBatch) -> dict:
-        return {"y": batch.column(0), "d": [model.difference(t) for t in batch.column(1).to_pylist()]}
+    def shrunk(batch: pa.RecordBatch) -> dict:
+        found = [model.sizes(t) for t in batch.column(1).to_pylist()]
+        return {"y": batch.column(0), "d": [d for d, _ in found], "r": [r for _, r in found]}
 
     rest = sample.filter("use = 0") if sample.filter("use = 0").select("y").distinct().count() == 2 else sample
-    arrow = pa.schema([("y", pa.int32()), ("d", pa.float64())])
-    rows = sorted((r["y"], r["d"]) for r in arrow_map(rest.select("y", "text"), "y int, d double", differences, arrow).collect())
-    y, d = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    weight = np.where(y == 1, sizes[1] / max(1, (y == 1).sum()), sizes[0] / max(1, (y == 0).sum()))
+    arrow = pa.schema([("y", pa.int32()), ("d", pa.float64()), ("r", pa.float64())])
+    rows = np.array(sorted(tuple(r) for r in arrow_map(rest.select("y", "text"), "y int, d double, r double", shrunk, arrow).collect()))
+    y = rows[:, 0]
     ones, zeros = (y == 1).sum(), (y == 0).sum()
+    weight = np.where(y == 1, sizes[1] / max(1, ones), sizes[0] / max(1, zeros))
     target = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))  # never quite sure, however few the rows
-    model.slope, model.intercept = fit_logistic(d, target, weight)
+    model.slope, model.shrink_slope, model.intercept = fit_logistic(rows[:, 1:], target, weight)
     return model
 
 
@@ -172,8 +178,9 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 def is_good(model: QualityModel, text: Column, accept_at: float = ACCEPT_AT) -> Column:
     """Whether a text is good enough, as a column."""
 
+    @F.pandas_udf("boolean")
     def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([model.score(t) >= accept_at for t in batch], dtype=bool)
 
-    return F.pandas_udf(good, "boolean", F.PandasUDFType.SCALAR_ITER)(F.coalesce(text, F.lit("")))
+    return good(F.coalesce(text, F.lit("")))

@@ -2,12 +2,14 @@
 
 P(grade >= k) = sigmoid(w . x - theta_k) with one weight vector for all ordered
 thresholds theta_1 < theta_2 < ...; the expected severity is the sum of these
-probabilities. x holds log(1 + count) of the words and word beginnings of a
+probabilities. x holds 1 + log(count) of the words and word beginnings of a
 screened vocabulary; beginnings stand for inflected and compound forms.
 
 Fitting uses a bounded sample of labelled rows (SAMPLE_TOXIC and SAMPLE_CLEAN
 documents, by the order of a hash of their ids), weighted back to the labels'
-true shares. Scoring reads every whole text.
+true shares. Of sampled documents that share their least word triple one is used,
+so that a copied text doesn't pass for evidence about all its words. Scoring reads
+every whole text.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import arrow_map, materialise, text_of
@@ -31,9 +34,9 @@ SAMPLE_CLEAN = 8_000
 BEGINNINGS = (4, 5, 6, 7)
 #: Features enter the vocabulary if at least so many sampled documents have them,
 #: and their share among toxic documents differs by so many standard errors.
-MIN_DOCUMENTS, MIN_Z, MAX_WORDS = 5, 4.0, 4_096
+MIN_DOCUMENTS, MIN_Z, MAX_WORDS = 5, 6.0, 4_096
 #: Weight of the squared weights, and steps of the fit.
-RIDGE, STEPS = 1e-5, 500
+RIDGE, STEPS = 3e-6, 600
 
 _WORD = re.compile(r"\w+")
 
@@ -104,7 +107,7 @@ class SeverityModel:
             for k in BEGINNINGS:
                 if len(word) > k and (begin := word[:k] + "-") in held:
                     known[begin] += n
-        eta = sum(np.log1p(n) * self.weights[w] for w, n in sorted(known.items()))
+        eta = sum((1 + np.log(n)) * self.weights[w] for w, n in sorted(known.items()))
         return 1 / (1 + np.exp(-(eta - self.thresholds).clip(-40, 40)))
 
 
@@ -116,8 +119,13 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     for toxic, n in most.items():
         part = known.filter((F.col("y") > 0) == F.lit(bool(toxic))).orderBy(F.xxhash64("id"), "id").limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
+    parts = F.split(F.lower("text"), r"\s+")
+    pairs = F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: F.xxhash64(a, b))
+    triples = F.zip_with(pairs, F.slice(parts, F.lit(3), F.size(parts)), lambda a, b: F.xxhash64(a, b))
     # at most sum(most) ids
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    one = F.row_number().over(W.partitionBy("triple", F.col("y") > 0).orderBy(F.xxhash64("id"), "id"))
+    texts = texts.withColumn("triple", F.array_min(triples)).withColumn("one", one).filter("one = 1").drop("triple", "one")
     return materialise(texts, "sample"), sizes
 
 
@@ -171,7 +179,7 @@ def fit(
     weight = np.where(y > 0, sizes.get(1, 0) / n1, sizes.get(0, 0) / n0)
     at = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
     cols = np.array([i for _, f in rows for i, _ in f], np.int64)
-    x = np.log1p(np.array([n for _, f in rows for _, n in f], float))
+    x = 1 + np.log(np.array([n for _, f in rows for _, n in f], float))
     w, thresholds = fit_cumulative(at, cols, x, y, weight, len(vocabulary))
     return SeverityModel({word: float(v) for (word, _), v in zip(vocabulary, w, strict=True)}, thresholds)
 
@@ -198,8 +206,9 @@ def score(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text_co
 def is_clean(model: SeverityModel, text: Column, reject_at: float = 0.5) -> Column:
     """Whether a text is not toxic, as a column."""
 
+    @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([not len(p) or p[0] < reject_at for p in map(model.at_least, batch)], dtype=bool)
 
-    return F.pandas_udf(clean, "boolean", F.PandasUDFType.SCALAR_ITER)(F.coalesce(text, F.lit("")))
+    return clean(F.coalesce(text, F.lit("")))
