@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -76,7 +77,7 @@ def fused_sql(k: float, wf: float, ws: float, limit: int) -> str:
 s AS (SELECT *, row_number() OVER (ORDER BY score, path) AS r FROM semantic)
 SELECT coalesce(f.id, s.id) AS id, coalesce(f.path, s.path) AS path,
        round(coalesce({wf} / (f.r + {k}), 0) + coalesce({ws} / (s.r + {k}), 0), 9) AS score,
-       CAST(CASE WHEN f.id IS NULL THEN 1 ELSE 1 END AS BIGINT) AS hits
+       CAST(1 AS BIGINT) AS hits
 FROM f FULL JOIN s ON f.path = s.path
 ORDER BY coalesce({wf} / (f.r + {k}), 0) + coalesce({ws} / (s.r + {k}), 0) DESC, path LIMIT {limit}"""
 
@@ -551,7 +552,7 @@ def embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scratch(spark: SparkSession) -> str:
     """A fresh folder that all executors share; a local one where none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{next(tempfile._get_candidate_names())}" if base else tempfile.mkdtemp(prefix="quarry-")
+    return f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="quarry-")
 
 
 @query("str5_stream_index_append", f"WITH {CHK_PARTS} SELECT doc_id, line_start, line_end, text, doc_path FROM markdown")
@@ -569,3 +570,176 @@ def stream_index_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     run.awaitTermination()
     number = F.regexp_extract("doc_path", r"/(\d+)\.md$", 1).cast("bigint")
     return store.chunks().withColumn("doc_id", number)
+
+
+# -- smaller parts, one by one
+
+
+@query("sca2_normalise", "SELECT doc_id, " + TRIM.format("replace(replace(text, chr(10), chr(10) || chr(10) || chr(10)), chr(10) || chr(10), chr(10))") + " AS text FROM documents")
+def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three line ends become two: the collapse runs once."""
+    tripled = F.replace("text", F.lit("\n"), F.lit("\n\n\n"))
+    return inputs.table(spark, sf_dir, "documents").select("doc_id", scalars.normalise(tripled).alias("text"))
+
+
+@query("sca3_count_newlines", "SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) AS INTEGER) AS n FROM documents")
+def count_newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "documents").select("doc_id", scalars.count_newlines(F.col("text")).alias("n"))
+
+
+@query("sca4_trim_unicode", "SELECT doc_id, " + TRIM.format("text") + " AS text FROM documents")
+def trim_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White space that a plain trim leaves: no-break and ideographic spaces, line separators."""
+    padded = F.concat(F.lit(" 　 \t"), "text", F.lit(" \r\n "))
+    return inputs.table(spark, sf_dir, "documents").select("doc_id", scalars.trim_unicode(padded).alias("text"))
+
+
+@query("win4_line_numbers", "SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a final line end added, which adds no line."""
+    ended = F.concat(F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit("\n"))
+    return inputs.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(scalars.lines(ended)).alias("line", "text"))
+
+
+@query("flt5_substring_any_case", "SELECT doc_id FROM documents WHERE contains(lower(text), 'apache license')")
+def substring_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "documents").filter(F.contains(F.lower("text"), F.lower(F.lit("Apache LICENSE")))).select("doc_id")
+
+
+@query("flt2_path_prefix", f"WITH {CHUNKS} SELECT doc_id, doc_path FROM chunks WHERE starts_with(doc_path, '/ws/fr/src1')")
+def path_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.under_prefix(inputs.chunks(spark, sf_dir), "/ws/fr/src1").select("doc_id", "doc_path")
+
+
+@query("flt11_point_lookup", f"WITH {CHUNKS} SELECT doc_id, doc_path FROM chunks WHERE doc_id = 7")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.chunks(spark, sf_dir).filter("doc_id = 7").select("doc_id", "doc_path")
+
+
+@query("joi1_hits_with_documents", f"WITH {bm25_sql(['license'])} SELECT s.doc_id, {PATH.replace('doc_id', 'd.doc_id')} AS path, d.n_chars, round(s.score, 6) AS score FROM scored s JOIN documents d ON d.doc_id = s.doc_id")
+def hits_with_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a search with their documents' rows."""
+    hits = rank.bm25(inputs.chunks(spark, sf_dir), "license").select("doc_id", "score")
+    held = inputs.stored_files(spark, sf_dir).select(F.col("id").alias("doc_id"), "path", F.col("length").alias("n_chars"))
+    return hits.join(held, "doc_id").select("doc_id", "path", "n_chars", F.round("score", 6).alias("score"))
+
+
+@query("joi2_vectors_with_documents", f"WITH {VECTORS} SELECT v.doc_id, v.doc_path, d.n_chars FROM vectors v JOIN documents d ON d.doc_id = v.doc_id")
+def vectors_with_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = inputs.stored_files(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("length").alias("n_chars"))
+    return inputs.vectors(spark, sf_dir).join(held, "doc_id").select("doc_id", "doc_path", "n_chars")
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two short result lists that share files and hits."""
+    held = inputs.chunks(spark, sf_dir)
+    fts = rank.fts_files(held, "the", limit=20)
+    near = rank.group_by_file(rank.best(held.filter("doc_id < 40").withColumn("score", F.col("doc_id").cast("double")), 40), 20)
+    return fts, near
+
+
+_LISTS = f"{bm25_sql(['the'])}, {files_sql('scored', 100, 20, 'fts')}, low AS (SELECT *, CAST(doc_id AS DOUBLE) AS score FROM chunks WHERE doc_id < 40), {files_sql('low', 40, 20, 'semantic')}"
+
+
+@query("joi7_rrf_full_join", f"WITH {_LISTS}, " + fused_sql(60.0, 1.0, 1.0, 40).replace("CAST(1 AS BIGINT) AS hits", "f.id IS NOT NULL AND s.id IS NOT NULL AS in_both"))
+def rrf_full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fusion of lists of which each has files of its own."""
+    fts, near = _lists(spark, sf_dir)
+    merged = rank.merge_ranked(fts, near, limit=40)
+    both = fts.select("path").join(near.select("path"), "path").withColumn("in_both", F.lit(True))
+    return merged.join(both, "path", "left").select("id", "path", F.round("score", 9).alias("score"), F.coalesce("in_both", F.lit(False)).alias("in_both"))
+
+
+@query("joi8_merge_hits", f"WITH {_LISTS} SELECT coalesce(f.id, s.id) AS id, CAST(0 AS INTEGER) AS line_start, CASE WHEN f.id IS NULL THEN 'semantic' ELSE 'fts' END AS source FROM fts f FULL JOIN semantic s ON f.path = s.path")
+def merge_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hit of both lists is kept once, as the full-text hit."""
+    merged = rank.merge_ranked(*_lists(spark, sf_dir), limit=40)
+    return merged.select("id", F.explode("chunks").alias("c")).select("id", "c.line_start", "c.source")
+
+
+@query("win1_rank_positions", f"WITH {bm25_sql(['license', 'the'])}, {files_sql()} SELECT id, CAST(row_number() OVER (ORDER BY score, path) AS INTEGER) AS rank FROM grouped")
+def rank_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    return rank.fts_files(inputs.chunks(spark, sf_dir), TERMS).select("id", F.row_number().over(Window.orderBy("score", "path")).alias("rank"))
+
+
+@query("lim1_best_chunks", f"WITH {bm25_sql(['the'])} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score, doc_path, line_start LIMIT 25")
+def best_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.fts_chunks(inputs.chunks(spark, sf_dir), "the", limit=5).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("set1_key_difference", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def key_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = inputs.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return changes.difference(inputs.chunks(spark, sf_dir), held, "doc_id")
+
+
+@query("agg7_db_info", f"WITH {VECTORS} SELECT CAST(4 AS INTEGER) AS schema_version, (SELECT count(*) FROM documents) AS document_count, CAST(64 AS INTEGER) AS embedding_dim, (SELECT count(*) FROM vectors) AS vector_count, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS pending_count")
+def db_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store filled from the tables reports about itself."""
+    store = Store(spark, f"{_scratch(spark)}/store")
+    store.ensure_dimension(64)
+    held = inputs.stored_files(spark, sf_dir)
+    store.replace(documents=held.select("id", "path"), files=held.drop("id"), chunks=inputs.chunks(spark, sf_dir), chunk_vectors=inputs.vectors(spark, sf_dir))
+    return store.info().drop("db_path")
+
+
+@query("agg10_stored_times", f"WITH {STORED} SELECT path, mtime FROM stored")
+def stored_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.stored_files(spark, sf_dir).select("path", "mtime")
+
+
+@query(
+    "dml3_store_upsert_documents",
+    f"""WITH {CHUNKS}, {NEW_CHUNKS} SELECT doc_id, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end, text,
+  line_start = 0 AND doc_id IN (SELECT vec_id FROM embeddings) AND doc_id % 5 <> 0 AS embedded FROM new_chunks
+  UNION ALL SELECT doc_id, line_start, line_end, text, doc_id IN (SELECT vec_id FROM embeddings) FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM new_chunks)""",
+)
+def store_upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written again: changed chunks lose their vector, unchanged ones keep it."""
+    store = Store(spark, f"{_scratch(spark)}/store")
+    old, new = inputs.changed_chunks(spark, sf_dir)
+    held = inputs.stored_files(spark, sf_dir).select("id", "path")
+    store.replace(documents=held, chunks=old, chunk_vectors=inputs.vectors(spark, sf_dir))
+    store.upsert_documents(held.join(new.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi"), new)
+    vectors = store.vectors().select("doc_id", "line_start", F.lit(True).alias("own"))
+    return store.chunks().join(vectors, ["doc_id", "line_start"], "left").select("doc_id", "line_start", "line_end", "text", F.coalesce("own", F.lit(False)).alias("embedded"))
+
+
+@query(
+    "dml12_name_if_newer",
+    f"""WITH {DEVICES}, {CONTEXTS} SELECT r.id, CASE WHEN c.updated_at > r.updated_at THEN c.name ELSE r.name END AS name FROM records r JOIN contexts c ON c.id = r.id""",
+)
+def name_if_newer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A device's own name register takes a newer name; a null time is the oldest."""
+    r, c = inputs.device_records(spark, sf_dir).alias("r"), inputs.device_contexts(spark, sf_dir).alias("c")
+    newer = F.coalesce(F.col("c.updated_at") > F.col("r.updated_at"), F.lit(False))
+    return r.join(c, F.col("r.id") == F.col("c.id")).select("r.id", F.when(newer, F.col("c.name")).otherwise(F.col("r.name")).alias("name"))
+
+
+@query("dml8_registry_lines_sorted", f"WITH {DEVICES} SELECT CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS line, id FROM records")
+def registry_lines_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry file's lines, in order of ids."""
+    path = f"{tempfile.mkdtemp(prefix='quarry-')}/devices.jsonl"
+    devices.save(inputs.device_records(spark, sf_dir), path)
+    with open(path, encoding="utf-8") as file:
+        rows = [(i, devices.record(x)["id"]) for i, x in enumerate(file, 1)]
+    return spark.createDataFrame(rows, "line int, id string")
+
+
+@query(
+    "str2_debounced_events",
+    """SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""",
+)
+def debounced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a burst of events for one key the latest counts."""
+    rows = inputs.table(spark, sf_dir, "events")
+    return rows.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query("ext5_jsonl_chunk_arrays", "SELECT conv_id AS id, CAST(count(*) AS INTEGER) AS n FROM conversations GROUP BY conv_id")
+def jsonl_chunk_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunker as a column of structs."""
+    held = inputs.logs(spark, sf_dir)
+    return held.select("id", F.size(chunk.jsonl_array(F.col("body"), scalars.file_name(F.col("path")))).alias("n"))
