@@ -28,10 +28,20 @@ def chunks_of(documents: DataFrame, line_ranges: bool = True) -> DataFrame:
 
 
 def _index(store: Store, listed: DataFrame, line_ranges: bool) -> int:
-    read = files.read_bodies(listed)
-    documents = documents_of(read)
-    store.upsert_documents(documents.select("id", "path"), chunks_of(documents, line_ranges), listed.join(read.select("path"), "path", "left_semi"))
-    return documents.count()
+    """Read, chunk and write files; each is read and chunked once."""
+    return write_bodies(store, files.read_bodies(listed), line_ranges)
+
+
+def write_bodies(store: Store, bodies: DataFrame, line_ranges: bool = True) -> int:
+    """Write documents given as path, mtime, length, body; their number."""
+    held = store.stage(bodies)
+    n = held.count()
+    if n:
+        documents = documents_of(held)
+        chunks = store.stage(chunks_of(documents, line_ranges))
+        store.upsert_documents(documents.select("id", "path"), chunks, held.select("path", "mtime", "length"))
+    store.clear_stage()
+    return n
 
 
 def _remove_vanished(store: Store, listed: DataFrame) -> int:

@@ -15,14 +15,12 @@ from pyspark.sql import functions as F
 
 from quarry.functions.scalars import hidden
 from quarry.sources import files
-from quarry.sources.indexer import chunks_of, documents_of
+from quarry.sources.indexer import write_bodies
 from quarry.sources.store import Store
 
 #: How long a burst of events is gathered.
 DEBOUNCE = "300 milliseconds"
 
-EVENT = "path string, body string, mtime bigint"
-
 
 def events(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
     """A stream of path, mtime, length, body of the indexed files below ``root`` that are not hidden."""
@@ -41,9 +39,7 @@ def apply_batch(store: Store, batch: DataFrame, line_ranges: bool = True) -> Non
     Running a batch again gives the same store, as rows are replaced by key.
     """
     one = batch.groupBy("path").agg(F.max_by(F.struct("mtime", "length", "body"), "mtime").alias("e")).select("path", "e.*")
-    documents = documents_of(one)
-    if documents.limit(1).count():
-        store.upsert_documents(documents.select("id", "path"), chunks_of(documents, line_ranges), one.select("path", "mtime", "length"))
+    write_bodies(store, one, line_ranges)
 
 
 def index_stream(spark: SparkSession, store: Store, root: str, checkpoint: str, once: bool = False, on_batch: Callable[[int], None] | None = None):
