@@ -7,10 +7,15 @@
    are chosen so that a pair at the threshold meets in some band with probability
    ``recall`` at least. Only band hashes are shuffled; representatives that share
    one are linked to the least of them, which keeps links in proportion to rows.
-3. Connected links make candidate groups. Every pair within a group is checked on
+3. Connected links make candidate groups. Every pair within a group is decided on
    the full n-gram sets. Groups are dealt out in blocks of about BLOCK members, a
    task sees two blocks at most, and pairs stay inside the task: what leaves it is
    one row per member with its number of links and the least member it is linked to.
+   In a group of several blocks, members that are close to its centre (the n-grams
+   that most members have) need no comparison among each other: Jaccard distance obeys
+   the triangle inequality, so two sets within half of the allowed distance of a third
+   are similar for sure. These core members are counted; only the others are compared,
+   with all.
 4. Checked links make the result's classes.
 """
 
@@ -214,14 +219,68 @@ def similar_documents(
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
     members = join_by_size(groups, materialise(sizes, "sizes"), ["root"], "n", total).join(classes.select(F.col("row").alias("node"), "copies"), "node")
 
-    # the texts of the candidates: one row for each
+    # the texts of the candidates, one row each (repeated rows have their text twice)
     wanted = base.select("row", "doc_id", "text_key").join(members.select(F.col("node").alias("row"), "root", "n", "copies"), "row")
     texts = source.withColumnRenamed("text_key", "own_key").withColumnRenamed("doc_id", "own_id")
     found = texts.join(wanted, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")))
-    count = F.ceil(F.col("n") / block).cast("int")
-    spread = found.select("row", "root", "copies", "text", count.alias("blocks"), F.pmod(F.xxhash64("row"), count).cast("int").alias("block"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = spread.select(
+    found = materialise(found.select("row", "root", "n", "copies", "text").dropDuplicates(["row"]), "texts")
+
+    # the centre of each large group: the n-grams of more than half of its members
+    large = found.filter(F.col("n") > block)
+    gram_schema = pa.schema([("root", pa.int64()), ("n", pa.int64()), ("gram", pa.int64()), ("k", pa.int64())])
+
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shingler(n, bands, rows)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                held: dict[tuple[int, int], list[np.ndarray]] = {}
+                for root, size, text in zip(*(c.to_pylist() for c in whole.slice(start, 500).columns), strict=True):
+                    held.setdefault((root, size), []).append(own.shingles(text))
+                for (root, size), sets in held.items():
+                    grams, k = np.unique(np.concatenate(sets), return_counts=True)
+                    columns = [np.full(len(k), root), np.full(len(k), size), grams.view(np.int64), k]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=gram_schema)
+
+    grams = large.select("root", "n", "text").mapInArrow(count_grams, "root long, n long, gram long, k long")
+    common = grams.groupBy("root", "gram").agg(F.sum("k").alias("k"), F.max("n").alias("size")).filter(F.col("k") * 2 > F.col("size"))
+    # at most twice the n-grams of an average member
+    centres = materialise(common.groupBy("root").agg(F.collect_list("gram").alias("centre"), F.max("size").alias("size")), "centres")
+
+    pairs = join_by_size(large.select("row", "root", "copies", "text"), centres, ["root"], "size", total).select("row", "root", "copies", "text", "centre")
+    core_schema = pa.schema([("row", pa.int64()), ("root", pa.int64()), ("copies", pa.int64())])
+    close = 1 - (1 - threshold) / 2
+
+    def near_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, of, centre = shingler(n, bands, rows), None, None
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch, near = whole.slice(start, 500), []
+                lists, texts = batch.column(4), batch.column(3).to_pylist()
+                for i, root in enumerate(batch.column(1).to_pylist()):
+                    if root != of:
+                        of, centre = root, lists[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    mine = own.shingles(texts[i])
+                    shared = len(np.intersect1d(mine, centre, assume_unique=True))
+                    near.append(shared >= close * (len(mine) + len(centre) - shared) + 1e-9)
+                yield pa.RecordBatch.from_arrays(batch.columns[:3], schema=core_schema).filter(pa.array(near, pa.bool_()))
+
+    core = materialise(pairs.mapInArrow(near_centre, "row long, root long, copies long"), "core")
+    cores = core.groupBy("root").agg(F.sum("copies").alias("core_copies"), F.count("*").alias("core_rows"), F.min("row").alias("least"))
+    cores = materialise(cores, "cores")
+    among_core = join_by_size(core, cores, ["root"], "core_rows", total).select("row", (F.col("core_copies") - F.col("copies")).alias("links"), "least")
+
+    # the others' blocks come first, then those of the core; a core block meets the others' blocks only
+    groups_of = found.groupBy("root").agg(F.max("n").alias("n")).join(cores.select("root", "core_rows"), "root", "left")
+    groups_of = groups_of.select("root", "n", F.coalesce("core_rows", F.lit(0)).alias("core_rows"))
+    placed = join_by_size(found.select("row", "root", "copies"), materialise(groups_of, "groups"), ["root"], "n", total)
+    placed = placed.join(core.select("row", F.lit(True).alias("core")), "row", "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    placed = placed.withColumn("q", F.ceil((F.col("n") - F.col("core_rows")) / block).cast("int")).withColumn("p", F.ceil(F.col("core_rows") / block).cast("int"))
+    spot = F.xxhash64("row")
+    own_block = F.when(F.col("core"), F.col("q") + F.pmod(spot, F.greatest("p", F.lit(1)))).otherwise(F.pmod(spot, F.greatest("q", F.lit(1)))).cast("int")
+    last = F.when(F.col("core"), F.col("q")).otherwise(F.col("q") + F.col("p")) - 1
+    meets = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    placed = placed.select("row", "root", "copies", own_block.alias("block"), F.explode(meets).alias("other"))
+    task = placed.join(found.select("row", "text"), "row").select(
         "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "row", "block", "copies", "text",
     ).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "row")
 
@@ -243,13 +302,11 @@ def similar_documents(
                     if len(held) > 1:
                         yield out()
                     key, held = (root, i, j), []
-                if held and held[-1][0] == row:  # a repeated row
-                    continue
                 held.append((row, part, copies, own.shingles(text)))
         if len(held) > 1:
             yield out()
 
-    checked = materialise(task.mapInArrow(check, "row long, links long, least long"), "checked")
+    checked = materialise(task.mapInArrow(check, "row long, links long, least long").unionByName(among_core), "checked")
     links = checked.groupBy("row").agg(F.sum("links").alias("links"))
     roots = components(checked.select(F.col("row").alias("a"), F.col("least").alias("b")))
 

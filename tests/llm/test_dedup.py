@@ -139,6 +139,18 @@ def test_join_against_brute_force(spark):
     check_join(docs, recall=0.99999, block=3)  # groups of several blocks
 
 
+def test_join_of_tight_groups(spark):
+    """Groups whose members are mostly close to the pivot, with others further off and copies."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(3000)}" for _ in range(250)]
+        rows += [near(rng, base, 1) for _ in range(15)] + [near(rng, base, 3) for _ in range(6)] + [" ".join(base)] * 3
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    for block in (2, 5, 512):
+        check_join(docs, recall=0.99999, block=block)
+
+
 def test_join_special(special, nothing):
     check_join(special)
     assert ngram_join.similar_documents(nothing).count() == 0
