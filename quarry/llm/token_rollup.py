@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, text_of
+from quarry.llm.common import arrow_map, materialise, text_of
 
 KEYS = ("source", "lang", "tokenizer")
 LEDGER = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
@@ -108,9 +108,15 @@ class TokenRollup:
         held = [f"{self.path}/{kind}/batch={b}" for b in self.committed()]
         return self.spark.read.schema(schema).parquet(*held) if held else self.spark.createDataFrame([], schema)
 
-    def ledger(self) -> DataFrame:
-        """What stands now: doc_id, source, lang, tokenizer, tokens."""
-        rows = self._read("ledger", LEDGER).groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    def ledger(self, ids: DataFrame | None = None) -> DataFrame:
+        """What stands now (of the documents in ``ids.doc_id``): doc_id, source, lang, tokenizer, tokens.
+
+        With a small batch of ids the ledger is scanned but not shuffled.
+        """
+        signed = self._read("ledger", LEDGER)
+        if ids is not None:
+            signed = signed.alias("o").join(ids.select("doc_id").alias("i"), F.col("o.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
+        rows = signed.groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return rows.filter("docs > 0").drop("docs")
 
     def totals(self) -> DataFrame:
@@ -130,10 +136,12 @@ class TokenRollup:
         """Insert documents or revise their counts; False if the batch is committed already."""
         if batch in (held := self.committed()):
             return False
+        if held:
+            counts = materialise(counts, "counts")  # read three times, counted once
         new = counts.select("doc_id", *KEYS, F.lit(1).cast("long").alias("docs"), "tokens")
         if not held:
             return self._commit(batch, new)
-        old = self.ledger().alias("o")
+        old = self.ledger(counts).alias("o")
         same = F.col("o.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("o.tokenizer") == F.col("n.tokenizer"))
         back = old.join(counts.alias("n"), same, "left_semi").select("doc_id", *KEYS, F.lit(-1).cast("long").alias("docs"), (-F.col("tokens")).alias("tokens"))
         return self._commit(batch, new.unionByName(back))
@@ -142,9 +150,7 @@ class TokenRollup:
         """Take back all counts of the documents in ``ids.doc_id``; unknown ids change nothing."""
         if batch in self.committed():
             return False
-        same = F.col("o.doc_id").eqNullSafe(F.col("d.doc_id"))
-        back = self.ledger().alias("o").join(ids.select("doc_id").alias("d"), same, "left_semi")
-        return self._commit(batch, back.select("doc_id", *KEYS, F.lit(-1).cast("long").alias("docs"), (-F.col("tokens")).alias("tokens")))
+        return self._commit(batch, self.ledger(ids).select("doc_id", *KEYS, F.lit(-1).cast("long").alias("docs"), (-F.col("tokens")).alias("tokens")))
 
 
 def maintain(docs: DataFrame, labels: DataFrame, path: str, counters: Mapping[str, Callable[[list], list]], columns: Mapping[str, Column] | None = None) -> DataFrame:
