@@ -83,15 +83,16 @@ def _string_field(v: Column, key: str) -> Column:
     return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
 
 
-def message_text(line: Column) -> Column:
+def message_text(line: Column, parsed: Column | None = None) -> Column:
     """The text to index of one JSON line.
 
     Content is the first string among CONTENT_KEYS, the role the first string among
     ROLE_KEYS (an empty one means no role). An object without content gives all its
     string fields; without those, and for other JSON values, the JSON text itself.
-    A line that is not JSON is taken as it is.
+    A line that is not JSON is taken as it is. ``parsed`` is the line as a variant,
+    where it is a column already.
     """
-    v = F.try_parse_json(line)
+    v = F.try_parse_json(line) if parsed is None else parsed
     content = F.coalesce(*[_string_field(v, k) for k in CONTENT_KEYS])
     role = F.nullif(F.coalesce(*[_string_field(v, k) for k in ROLE_KEYS]), F.lit(""))
     entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))

@@ -45,8 +45,7 @@ def chunk_markdown(docs: DataFrame, id_col: str = "id", body_col: str = "body",
 
     start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
     found = F.aggregate(parts, start, step, lambda acc: acc["found"])
-    whole = F.array(F.struct(F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), title.alias("text")))
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("doc_path"), found.alias("found"), whole.alias("whole"))
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("doc_path"), found.alias("found"), _whole(title).alias("whole"))
     out = out.select("doc_id", "doc_path", F.inline(F.when(F.size("found") > 0, F.col("found")).otherwise(F.col("whole"))))
     return out.select("doc_id", "line_start", "line_end", "text", "doc_path")
 
@@ -63,23 +62,31 @@ def chunk_markdown_by_window(docs: DataFrame, id_col: str = "id", body_col: str
     )
 
 
+def _jsonl_chunks(body: Column) -> Column:
+    """Chunks of the lines with text; each line is parsed once."""
+    parsed = F.transform(lines(body), lambda x, i: F.struct(i.alias("i"), x.alias("line"), F.try_parse_json(x).alias("json")))
+    text = lambda p: F.when(trim_unicode(p["line"]) != "", message_text(p["line"], p["json"]))
+    parts = F.transform(parsed, lambda p: F.struct(p["i"].alias("line_start"), p["i"].alias("line_end"), text(p).alias("text")))
+    return F.filter(parts, lambda c: c["text"] != "")
+
+
+def _whole(title: Column) -> Column:
+    return F.array(F.struct(F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), title.alias("text")))
+
+
 def chunk_jsonl(docs: DataFrame, id_col: str = "id", body_col: str = "body", path_col: str = "path") -> DataFrame:
     """One chunk per non-blank line of a JSONL body, at its line number (blank lines count).
 
-    A document without any gives one chunk with the file name.
+    A document without any gives one chunk with the file name. All of it happens
+    inside the row, so there is no shuffle.
     """
     title = F.element_at(F.split(F.col(path_col), "/"), -1)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("doc_path"), title.alias("title"), F.posexplode_outer(lines(F.col(body_col))).alias("i", "line"))
-    filled = rows.withColumn("text", F.when(trim_unicode(F.col("line")) != "", message_text(F.col("line"))))
-    found = filled.filter("text <> ''").select("doc_id", F.col("i").alias("line_start"), F.col("i").alias("line_end"), "text", "doc_path")
-    ids = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("doc_path"), title.alias("text"))
-    empty = ids.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-    return found.unionByName(empty.select("doc_id", F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), "text", "doc_path"))
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("doc_path"), _jsonl_chunks(F.col(body_col)).alias("found"), _whole(title).alias("whole"))
+    out = out.select("doc_id", "doc_path", F.inline(F.when(F.size("found") > 0, F.col("found")).otherwise(F.col("whole"))))
+    return out.select("doc_id", "line_start", "line_end", "text", "doc_path")
 
 
 def jsonl_array(body: Column, title: Column) -> Column:
     """The same as array<struct> inside the row, title fallback included."""
-    parts = F.transform(lines(body), lambda x, i: F.struct(i.alias("line_start"), i.alias("line_end"), F.when(trim_unicode(x) != "", message_text(x)).alias("text")))
-    found = F.filter(parts, lambda c: c["text"] != "")
-    whole = F.array(F.struct(F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), title.alias("text")))
-    return F.when(F.size(found) > 0, found).otherwise(whole)
+    found = _jsonl_chunks(body)
+    return F.when(F.size(found) > 0, found).otherwise(_whole(title))
