@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from quarry.llm.common import join_by_size, materialise, text_of
 from quarry.llm.components import components
@@ -40,7 +41,6 @@ N, THRESHOLD, RECALL, MAX_BANDS = 5, 0.8, 0.999, 25
 #: Members of a block of a candidate group.
 BLOCK = 512
 _SEED = 0x5EED
-_WORD_CACHE = 500_000
 
 BASE = "row long, doc_id long, text_key long, k1 long, k2 long, bands array<long>"
 
@@ -60,7 +60,7 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int
 
 
 class Shingler:
-    """n-gram sets and signatures of texts, with a bounded cache of word hashes."""
+    """n-gram sets and signatures of texts."""
 
     def __init__(self, n: int, bands: int, rows: int):
         rng = np.random.default_rng(_SEED)
@@ -68,21 +68,13 @@ class Shingler:
         self.odd = rng.integers(0, 1 << 32, bands * rows, np.uint64).astype(np.uint32) | np.uint32(1)
         self.add = rng.integers(0, 1 << 32, bands * rows, np.uint64).astype(np.uint32)
         self.mix = rng.integers(0, 1 << 63, max(n, rows) + 1, np.int64).astype(np.uint64) | np.uint64(1)
-        self.cache: dict[str, int] = {}
-
-    def _word(self, word: str) -> int:
-        value = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(self.cache) < _WORD_CACHE:
-            self.cache[word] = value
-        return value
 
     def shingles(self, text: str) -> np.ndarray:
         """Sorted distinct 64-bit hashes of the n-grams."""
-        get, own = self.cache.get, self._word
         words = text.lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        hashes = np.array([get(w) or own(w) for w in words], np.uint64)
+        hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
         n = min(self.n, len(hashes))
         out = np.zeros(len(hashes) - n + 1, np.uint64)
         for i in range(n):

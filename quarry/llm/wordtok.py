@@ -21,7 +21,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Pieces kept per worker process (about 150 bytes each).
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 #: Characters handled at a time, so that a very long text stays cheap.
 SLICE_CHARS = 1_000_000
 
