@@ -5,11 +5,14 @@ thresholds theta_1 < theta_2 < ...; the expected severity is the sum of these
 probabilities. x holds 1 + log(count) of the words and word beginnings of a
 screened vocabulary; beginnings stand for inflected and compound forms.
 
-Fitting uses a bounded sample of labelled rows (SAMPLE_TOXIC and SAMPLE_CLEAN
-documents, by the order of a hash of their ids), weighted back to the labels'
-true shares. Of sampled documents that share their least word triple one is used,
-so that a copied text doesn't pass for evidence about all its words. Scoring reads
-every whole text.
+The vocabulary is screened on all labelled rows, in each language and in all of
+them together; a feature enters by its best place in any of these lists, so that a
+rare language's words compete with each other only. The weights are fitted on a
+bounded sample of the labelled rows (SAMPLE_TOXIC and SAMPLE_CLEAN documents, taken
+from the languages in turns by the order of a hash of their ids), weighted back to
+the labels' true shares. Of labelled documents that share their least word triple
+one is used, so that a copied text doesn't pass for evidence about all its words.
+Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -32,11 +36,15 @@ SAMPLE_TOXIC = 4_000
 SAMPLE_CLEAN = 8_000
 #: Beginnings of these lengths (of longer words) are features, too.
 BEGINNINGS = (4, 5, 6, 7)
-#: Features enter the vocabulary if at least so many sampled documents have them,
-#: and their share among toxic documents differs by so many standard errors.
-MIN_DOCUMENTS, MIN_Z, MAX_WORDS = 5, 6.0, 4_096
+#: Features enter the vocabulary if at least so many documents of a language have
+#: them, and their share among toxic documents differs by so many standard errors.
+#: The floor is low, since few documents of a rare language can show a difference;
+#: the ridge penalty does the rest.
+MIN_DOCUMENTS, MIN_Z, MAX_WORDS = 3, 3.0, 16_384
 #: Weight of the squared weights, and steps of the fit.
-RIDGE, STEPS = 3e-6, 600
+RIDGE, STEPS = 1e-5, 600
+#: A task hands on its counts of features when one language has more than so many.
+MAX_HELD = 300_000
 
 _WORD = re.compile(r"\w+")
 
@@ -107,79 +115,136 @@ class SeverityModel:
             for k in BEGINNINGS:
                 if len(word) > k and (begin := word[:k] + "-") in held:
                     known[begin] += n
-        eta = sum((1 + np.log(n)) * self.weights[w] for w, n in sorted(known.items()))
+        eta = sum((1 + log(n)) * self.weights[w] for w, n in sorted(known.items()))
         return 1 / (1 + np.exp(-(eta - self.thresholds).clip(-40, 40)))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: dict[int, int]):
-    """Texts of the first labelled documents of each class by hash order, and the classes' sizes."""
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, lang_col: str):
+    """(id, hash, text) of all documents, (id, hash, lang, y, toxic) of the labelled ones without copies, and the classes' sizes.
+
+    Both grow with the labels; joins with them never broadcast, and texts aren't
+    shuffled to find the copies.
+    """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    sizes = {int(r["toxic"]): r["n"] for r in known.groupBy((F.col("y") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    chosen = None
-    for toxic, n in most.items():
-        part = known.filter((F.col("y") > 0) == F.lit(bool(toxic))).orderBy(F.xxhash64("id"), "id").limit(n)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    known = materialise(known.withColumn("toxic", (F.col("y") > 0).cast("int")), "labels")
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
     parts = F.split(F.lower("text"), r"\s+")
     pairs = F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: F.xxhash64(a, b))
     triples = F.zip_with(pairs, F.slice(parts, F.lit(3), F.size(parts)), lambda a, b: F.xxhash64(a, b))
-    # at most sum(most) ids
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    one = F.row_number().over(W.partitionBy("triple", F.col("y") > 0).orderBy(F.xxhash64("id"), "id"))
-    texts = texts.withColumn("triple", F.array_min(triples)).withColumn("one", one).filter("one = 1").drop("triple", "one")
-    return materialise(texts, "sample"), sizes
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), lang.alias("lang")).withColumn("hash", F.xxhash64("text"))
+    triple = F.coalesce(F.array_min(triples), F.xxhash64(F.lower("text")))
+    one = F.row_number().over(W.partitionBy("triple", "toxic").orderBy(F.xxhash64("id"), "id", "hash", "lang"))
+    slim = texts.select("id", "hash", "lang", triple.alias("triple")).join(known.hint("merge"), "id")
+    slim = slim.withColumn("one", one).filter("one = 1").drop("triple", "one")
+    return texts.select("id", "hash", "text"), materialise(slim, "labelled"), sizes
+
+
+def _sample(texts: DataFrame, labelled: DataFrame, most: dict[int, int]) -> DataFrame:
+    """The labelled documents that are first by (place in their language and class, hash); ``held`` is the size of these."""
+    held = labelled.groupBy("lang", "toxic").agg(F.count("*").alias("held"))
+    chosen = None
+    for toxic, n in most.items():
+        place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+        part = labelled.filter(F.col("toxic") == toxic).withColumn("place", place).filter(F.col("place") <= n)
+        part = part.orderBy("place", F.xxhash64("id"), "id").limit(n).drop("place")
+        chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = materialise(chosen.join(materialise(held, "sizes"), ["lang", "toxic"]), "chosen")
+    return materialise(texts.join(F.broadcast(chosen), ["id", "hash"]), "sample")  # at most sum(most) rows
+
+
+def _vocabulary(texts: DataFrame, labelled: DataFrame) -> list[tuple[str, float]]:
+    """(feature, its number of standard errors), the best by place in the list of some language or of all.
+
+    Counts are over all rows; they are dealt out by word, so that the sums by
+    language and over all of them need one shuffle.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[Counter]] = {}  # by language, documents that have a feature: clean, toxic
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, (clean, toxic) in held.items():
+                names = list(clean.keys() | toxic.keys())
+                for at in range(0, len(names), 50_000):
+                    some = names[at : at + 50_000]
+                    yield pa.RecordBatch.from_pydict({"lang": [lang] * len(some), "word": some, "a": [toxic[w] for w in some], "b": [clean[w] for w in some]}, schema=arrow)
+            held.clear()
+
+        for batch in batches:
+            for lang, text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = held.setdefault(lang, [Counter(), Counter()])
+                own[toxic].update(features(text).keys())
+                if len(held) > MAX_HELD // 100 or len(own[toxic]) > MAX_HELD // 2:
+                    yield from out()
+        yield from out()
+
+    arrow = pa.schema([("lang", pa.string()), ("word", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
+    rows = texts.join(labelled.select("id", "hash", "lang", "toxic").hint("merge"), ["id", "hash"])
+    each = rows.select("lang", "text", "toxic").mapInArrow(count, "lang string, word string, a long, b long").repartition("word")
+    sums = [F.sum("a").alias("a"), F.sum("b").alias("b")]
+    sizes = labelled.groupBy("lang").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
+    sizes = materialise(sizes, "sizes")
+    n1, n0 = sizes.agg(F.sum("n1"), F.sum("n0")).first()
+
+    def standard_errors(a: str, b: str, n1: Column, n0: Column) -> Column:
+        share = (F.col(a) + F.col(b)) / (n1 + n0)
+        z = (F.col(a) / n1 - F.col(b) / n0) / F.sqrt(share * (1 - share + 1e-9) * (1 / n1 + 1 / n0))
+        return F.when((F.col(a) + F.col(b) >= MIN_DOCUMENTS) & (n1 > 0) & (n0 > 0) & (F.abs(z) >= MIN_Z), z)
+
+    word = W.partitionBy("word")
+    both = each.groupBy("lang", "word").agg(*sums).withColumns({"every_a": F.sum("a").over(word), "every_b": F.sum("b").over(word)})
+    both = both.filter(F.col("every_a") + F.col("every_b") >= MIN_DOCUMENTS).join(sizes, "lang")
+    both = both.withColumns({"z": standard_errors("a", "b", F.col("n1"), F.col("n0")), "every_z": standard_errors("every_a", "every_b", F.lit(n1), F.lit(n0))})
+    both = materialise(both.filter("z IS NOT NULL OR every_z IS NOT NULL").select("lang", "word", "z", "every_z"), "screened")
+    own = both.filter("z IS NOT NULL").select(F.lit(True).alias("own"), "lang", "word", "z")
+    every = both.filter("every_z IS NOT NULL").select(F.lit(False).alias("own"), F.lit("").alias("lang"), "word", F.col("every_z").alias("z")).distinct()
+    place = F.row_number().over(W.partitionBy("own", "lang").orderBy(F.abs("z").desc(), "word"))
+    kept = own.unionByName(every).withColumn("place", place).filter(F.col("place") <= MAX_WORDS)
+    best = kept.groupBy("word").agg(F.min(F.struct("place", (-F.abs("z")).alias("less"), "z")).alias("m"))
+    return [(r["word"], r["z"]) for r in best.select("word", "m.*").orderBy("place", "less", "word").limit(MAX_WORDS).select("word", "z").collect()]
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN,
+    sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, lang_col: str = "lang",
 ) -> SeverityModel:
     """Fit on the labelled documents. Labels may be grades 0, 1, 2, ...
 
     Where the labels only say toxic or not, severity is graded by weak
     supervision: toxic documents are put into three grades by how many of the
     screened toxic words they have (terciles of the sample). Unlabelled rows and
-    null labels are left out; of repeated labels the worst counts. Without
+    null labels are left out; of repeated labels the worst counts. Null
+    languages are one language, and so are documents without the column. Without
     labelled documents of both classes the model finds nothing toxic.
     """
-    sample, sizes = _sample(docs, labels, id_col, text_col, label_col, {1: sample_toxic, 0: sample_clean})
-    arrow = pa.schema([("word", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
-
-    def distinct(batch: pa.RecordBatch) -> dict:
-        held: list[Counter] = [Counter(), Counter()]  # documents that have a feature: clean, toxic
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held[int(y > 0)].update(features(text).keys())
-        names = list(held[0].keys() | held[1].keys())
-        return {"word": names, "a": [held[1][w] for w in names], "b": [held[0][w] for w in names]}
-
-    have = {int(r["toxic"]): r["n"] for r in sample.groupBy((F.col("y") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    n1, n0 = have.get(1, 0), have.get(0, 0)
-    if not n1 or not n0:
+    texts, labelled, sizes = _labelled(docs, labels, id_col, text_col, label_col, lang_col)
+    if labelled.select("toxic").distinct().count() < 2:
         return SeverityModel()
-    each = arrow_map(sample.select("text", "y"), "word string, a long, b long", distinct, arrow)
-    counts = each.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    share = (F.col("a") + F.col("b")) / F.lit(float(n1 + n0))
-    z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(share * (1 - share + 1e-9) * (1 / n1 + 1 / n0))
-    kept = counts.withColumn("z", z).filter((F.col("a") + F.col("b") >= MIN_DOCUMENTS) & (F.abs("z") >= MIN_Z)).orderBy(F.abs("z").desc(), "word").limit(MAX_WORDS)
-    vocabulary = [(r["word"], r["z"]) for r in kept.select("word", "z").collect()]
+    vocabulary = _vocabulary(texts, labelled)
+    sample = _sample(texts, labelled, {1: sample_toxic, 0: sample_clean})
     index = {w: i for i, (w, _) in enumerate(vocabulary)}
 
     def known(batch: pa.RecordBatch) -> dict:
         found = [{index[w]: n for w, n in features(t).items() if w in index} for t in batch.column(0).to_pylist()]
-        return {"y": batch.column(1), "at": [list(f) for f in found], "n": [list(f.values()) for f in found]}
+        return {"y": batch.column(1), "lang": batch.column(2), "held": batch.column(3), "at": [list(f) for f in found], "n": [list(f.values()) for f in found]}
 
-    arrow = pa.schema([("y", pa.int32()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
-    rows = arrow_map(sample.select("text", "y"), "y int, at array<int>, n array<int>", known, arrow).collect()
-    rows = sorted((r["y"], sorted(zip(r["at"], r["n"], strict=True))) for r in rows)
+    arrow = pa.schema([("y", pa.int32()), ("lang", pa.string()), ("held", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+    rows = arrow_map(sample.select("text", "y", "lang", "held"), "y int, lang string, held long, at array<int>, n array<int>", known, arrow).collect()
+    drawn = Counter((r["lang"], r["y"] > 0) for r in rows)
+    rows = sorted((r["y"], sorted(zip(r["at"], r["n"], strict=True)), r["held"] / drawn[r["lang"], r["y"] > 0]) for r in rows)
     y = np.array([r[0] for r in rows])
     if y.max() == 1:
-        marks = np.array([sum(n for i, n in f if vocabulary[i][1] > 0) for _, f in rows])
+        marks = np.array([sum(n for i, n in f if vocabulary[i][1] > 0) for _, f, _ in rows])
         q1, q2 = np.quantile(marks[y == 1], [1 / 3, 2 / 3], method="lower")
         y = y * (1 + (marks > q1) + (marks > max(q1, q2)))
         y = np.searchsorted(np.unique(y), y)  # no empty grade
-    weight = np.where(y > 0, sizes.get(1, 0) / n1, sizes.get(0, 0) / n0)
-    at = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
-    cols = np.array([i for _, f in rows for i, _ in f], np.int64)
-    x = 1 + np.log(np.array([n for _, f in rows for _, n in f], float))
+    weight = np.array([r[2] for r in rows])
+    for toxic, n in sizes.items():
+        weight[(y > 0) == toxic] *= n / weight[(y > 0) == toxic].sum()
+    at = np.repeat(np.arange(len(rows)), [len(f) for _, f, _ in rows])
+    cols = np.array([i for _, f, _ in rows for i, _ in f], np.int64)
+    x = 1 + np.log(np.array([n for _, f, _ in rows for _, n in f], float))
     w, thresholds = fit_cumulative(at, cols, x, y, weight, len(vocabulary))
     return SeverityModel({word: float(v) for (word, _), v in zip(vocabulary, w, strict=True)}, thresholds)
 

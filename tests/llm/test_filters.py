@@ -69,6 +69,32 @@ def test_toxicity_takes_grades(spark):
     assert sum(got[i] == g for i, g in labels) > 590
 
 
+@needs_data
+def test_toxicity_in_each_language(spark):
+    small = os.path.dirname(DATA) + "/sf0.01"
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    own = toxicity.score(docs, toxicity.fit(docs, labels)).join(docs.select("doc_id", "lang"), "doc_id").join(labels.select("doc_id", F.col("toxic").alias("y")), "doc_id")
+    for r in own.groupBy("lang").agg(F.sum("y").alias("toxic"), F.sum(F.col("toxic").cast("int") * F.col("y")).alias("caught"), F.sum(F.col("toxic").cast("int") * (1 - F.col("y"))).alias("wrong")).collect():
+        assert r.caught >= 0.8 * r.toxic and r.wrong <= 2, r
+
+
+def test_toxicity_in_a_rare_language(spark):
+    rng = random.Random(1)
+    rows, labels = [], []
+    for i in range(3000):
+        rare, bad = i % 60 == 0, i % 5 == 0 if i % 60 else i % 300 == 0
+        word, nasty = ("r", "gemein") if rare else ("w", "nasty")
+        rows.append((i, " ".join([f"{word}{rng.randrange(400)}" for _ in range(30)] + [nasty] * bad), "xx" if rare else "en"))
+        labels.append((i, int(bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    # the sample holds a few rows of the rare language whichever ids the hash prefers
+    model = toxicity.fit(docs, labels, sample_toxic=60, sample_clean=120)
+    got = toxicity.score(docs, model).join(labels.withColumnRenamed("toxic", "y"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang in ("en", "xx"):
+        toxic, clean = [[r.toxic for r in got if r.lang == lang and r.y == y] for y in (1, 0)]
+        assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean), lang
+
+
 # -- quality
 
 
