@@ -37,7 +37,7 @@ from xxhash import xxh3_64_intdigest
 from quarry.llm.common import join_by_size, materialise, text_of
 from quarry.llm.components import components
 
-N, THRESHOLD, RECALL, MAX_BANDS = 5, 0.8, 0.999, 25
+N, THRESHOLD, RECALL, MAX_BANDS = 5, 0.8, 0.99999, 25
 #: Members of a block of a candidate group.
 BLOCK = 512
 _SEED = 0x5EED

@@ -5,6 +5,7 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,20 @@ def test_join_of_tight_groups(spark):
         check_join(docs, recall=0.99999, block=block)
 
 
+def test_bands_of_the_query_meet_just_above_the_threshold():
+    rng = np.random.default_rng(3)
+    sh = ngram_join.shingler(ngram_join.N, *ngram_join.choose_bands())
+    missed = 0
+    for i in range(20_000):
+        size = (10, 20, 50)[i % 3]  # of the union; four fifths of it are shared
+        both = rng.integers(0, 1 << 63, size, np.int64).astype(np.uint64)
+        shared = size * 4 // 5
+        half = shared + (size - shared) // 2
+        a, b = both[:half], np.concatenate([both[:shared], both[half:]])
+        missed += not (sh.band_hashes(a) == sh.band_hashes(b)).any()
+    assert missed <= 2  # a tenth of a thousandth; with 0.999 it would be about twenty
+
+
 def test_join_special(special, nothing):
     check_join(special)
     assert ngram_join.similar_documents(nothing).count() == 0
