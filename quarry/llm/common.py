@@ -5,15 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import reduce
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key that holds more than this share of all rows is "hot". At most
 #: 1 / HOT_SHARE keys can be hot, so a list of hot keys is always small.
 HOT_SHARE = 1 / 1000
+#: Bytes of text that a worker turns into Python objects at a time.
+SLICE_BYTES = 4 << 20
+#: A set of keys is sent to the executors as at most so many bits (64 MB).
+MAX_BITS = 1 << 29
+#: Bits of one bitmap row of Spark's bitmap functions (fixed value).
+_BITMAP = 1 << 15
+#: Facts that meet one copy of a dimension row in :func:`join_salted`.
+SALT_ROWS = 1000
+
+_scratch: list[str] = []
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
@@ -29,14 +42,45 @@ def scratch(spark: SparkSession, kind: str) -> str:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def delete_scratch(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch folders of this process."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _scratch.remove(path)
+
+
+@contextmanager
+def temporary_scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch folders that are made inside at the end.
+
+    Results of operators read from them: save a result inside.
+    """
+    before = set(_scratch)
+    try:
+        yield
+    finally:
+        delete_scratch(spark, *[p for p in _scratch if p not in before])
 
 
 def materialise(df: DataFrame, kind: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage."""
     path = scratch(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for table in tables:
+        delete_scratch(table.sparkSession, table._scratch_path)
 
 
 def text_of(column: str = "text") -> Column:
@@ -44,6 +88,31 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them where ``df`` has such a column."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def slices(batch: pa.RecordBatch, rows: int, most_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and ``most_bytes`` bytes of text (but of one row at least)."""
+    most_bytes = most_bytes or SLICE_BYTES
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at, done = np.cumsum(size), 0, 0
+    while at < batch.num_rows:
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, done + most_bytes, "right"))))
+        yield batch.slice(at, end - at)
+        at, done = end, int(ends[end - 1])
+
+
 def arrow_map(
     df: DataFrame,
     schema: str,
@@ -51,17 +120,82 @@ def arrow_map(
     arrow: pa.Schema,
     batch_rows: int = 2000,
 ) -> DataFrame:
-    """``mapInArrow`` over slices of at most ``batch_rows`` rows."""
+    """``mapInArrow`` over slices that are bounded by rows and by bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, batch_rows):
-                out = rows(batch.slice(at, batch_rows))
-                yield pa.RecordBatch.from_pydict(out, schema=arrow)
+            for part in slices(batch, batch_rows):
+                yield pa.RecordBatch.from_pydict(rows(part), schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def text_test(test: Callable[[list], list], text: Column) -> Column:
+    """``test`` of lists of texts (null: empty), as a boolean column; only the text goes to Python."""
+
+    @F.arrow_udf("boolean")
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = slices(pa.RecordBatch.from_arrays([batch], names=["text"]), 2000)
+            yield pa.array([x for part in parts for x in test(part.column(0).to_pylist())], pa.bool_())
+
+    return held(F.coalesce(text, F.lit("")))
+
+
+def located(docs: DataFrame, from_files: bool) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns that say where a row is stored, and their names.
+
+    The place is the same whenever the row is read, whatever the partitioning, so
+    that decisions can be joined back to it. It is a file (87 bits of two hashes
+    of its path) and the row's number there. ``from_files`` says that ``docs`` is a
+    plain read of Parquet files; anything else is written to the scratch folder.
+    """
+    file, at = fresh(docs, "file", "at")
+
+    def placed(table: DataFrame) -> DataFrame:
+        meta = table.metadataColumn("_metadata")
+        index = meta["row_index"].bitwiseOR(F.shiftleft(F.pmod(F.hash(meta["file_path"]), F.lit(1 << 23)).cast("long"), 40))
+        return table.select("*", F.xxhash64(meta["file_path"]).alias(file), index.alias(at))
+
+    if from_files:
+        try:
+            return placed(docs), file, at
+        except AnalysisException:  # not a read of files
+            pass
+    return placed(materialise(docs, "rows")), file, at
+
+
+def among(df: DataFrame, on: Sequence[str], keys: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a boolean ``flag``: true for each row whose key is in ``keys``, and for few others.
+
+    The keys' hashes are broadcast as bitmaps of 32 bits a key, MAX_BITS at most:
+    with more keys than that the flag says less, and never anything wrong. A join
+    for which it says yes shuffles little else than the rows that it keeps.
+    """
+    bits = 1 << max(15, min(MAX_BITS.bit_length() - 1, (32 * keys.count()).bit_length()))
+    word, place, bitmap = fresh(df, "word", "place", "bitmap")
+    h = F.pmod(F.xxhash64(*on), F.lit(bits))
+    maps = keys.select(h.alias("h")).groupBy(F.shiftright("h", 15).alias(word)).agg(F.bitmap_construct_agg(F.col("h") % _BITMAP).alias(bitmap))
+    rows = df.withColumn(word, F.shiftright(h, 15)).withColumn(place, (h % _BITMAP).cast("int"))
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, F.col(place) % 8) == 1, F.lit(False))
+    return rows.join(F.broadcast(maps), word, "left").withColumn(flag, found).drop(word, place, bitmap)
+
+
+def only(df: DataFrame, on: Sequence[str], keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` that :func:`among` flags: all whose key is in ``keys``, and few others."""
+    (flag,) = fresh(df, "flag")
+    return among(df, on, keys, flag).filter(flag).drop(flag)
+
+
+def without(df: DataFrame, on: Sequence[str], keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key isn't in ``keys``; only rows that may be are shuffled."""
+    (flag,) = fresh(df, "flag")
+    marked = among(df, on, keys, flag)
+    maybe = marked.filter(flag).drop(flag).join(keys.select(*on).hint("merge"), list(on), "left_anti")
+    return marked.filter(~F.col(flag)).drop(flag).unionByName(maybe.select(*df.columns))
+
+
 def hot_keys(df: DataFrame, key: Column, total: int, share: float = HOT_SHARE) -> list:
     """The values of ``key`` that hold more than ``share`` of ``total`` rows.
 
@@ -87,5 +221,14 @@ def join_by_size(facts: DataFrame, dim: DataFrame, on: Sequence[str], rows: str,
     )
 
 
-def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+def join_salted(facts: DataFrame, dim: DataFrame, on: str, rows: str, spread: str) -> DataFrame:
+    """Inner join of ``facts`` with large rows of ``dim``, one for each key.
+
+    Both sides have the number of the key's facts as ``rows``. A row of ``dim`` is
+    copied for every SALT_ROWS of them, so that no task gets all facts of a key
+    and nothing is broadcast, however large the rows of ``dim`` are.
+    """
+    salts = F.ceil(F.col(rows) / SALT_ROWS)
+    (salt,) = fresh(facts, "salt")
+    copies = dim.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop(rows)
+    return facts.withColumn(salt, F.pmod(F.xxhash64(spread), salts)).join(copies.hint("merge"), [on, salt]).drop(salt)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import join_by_size, materialise
+from quarry.llm.common import discard, join_by_size, materialise
 
+#: Far beyond the logarithm of any path's length; more rounds are an error.
 MAX_ROUNDS = 40
 
 
@@ -18,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the longest path. A node's neighbours are never gathered: its
     least neighbour is an aggregate that is joined back, by broadcast for the few
     nodes that have very many. Loops and repeated edges are allowed; no edges
-    give no rows.
+    give no rows. Raises RuntimeError if MAX_ROUNDS rounds don't suffice.
     """
     current = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -33,7 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = _hang(large, 2 * state[0])
         own = small.select("a", F.col("m").alias("b"))
         others = small.select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old = current
         current = materialise(own.unionByName(others).filter("a <> b").distinct(), "edges")
+        discard(old, large)
+    else:
+        raise RuntimeError(f"the components are not complete after {MAX_ROUNDS} rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

@@ -14,11 +14,13 @@ broadcast; their rows carry no content through the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import HOT_SHARE, hot_keys, materialise, text_of
+from quarry.llm.common import HOT_SHARE, discard, hot_keys, located, materialise, text_of, without
 
 BLOCK = 4096
 #: Rows that a bucket has on average.
@@ -59,38 +61,43 @@ def name_rows(rows: DataFrame, key: list[str], spread: str, total: int) -> DataF
     return rows.withColumn("name", F.coalesce("hot_name", F.col("bucket") * _RANKS + rank)).drop("hot_name", "bucket", *key)
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """row, doc_id, sha (of the text), level, name; (level, name) is the text's identity.
+def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, place: Sequence[str] = ()) -> DataFrame:
+    """row, doc_id, sha (of the text), level, name and place; (level, name) is the text's identity.
 
-    Every row of ``docs`` has an own ``row`` number.
+    Every row of ``docs`` has an own ``row`` number; ``place`` is a struct of the
+    columns of that name.
     """
-    total = docs.count()
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("text", 256).alias("sha"), F.col("text").cast("binary").alias("content")
-    )
-    parts = F.greatest(F.lit(1), F.ceil(F.length("content") / F.lit(float(block)))).cast("int")
+    parts = F.greatest(F.lit(1), F.ceil(F.octet_length(text_of(text_col)) / F.lit(float(block)))).cast("int")
+    total = docs.select(F.sum(parts.cast("long"))).first()[0] or 0  # of blocks
+    texts = docs.select(
+        F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), parts.alias("n"), F.struct(F.lit(0).alias("_"), *place).alias("place"),
+    ).select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("text", 256).alias("sha"), F.col("text").cast("binary").alias("content"), "n", "place",
+    )
     cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("content"), i * block + 1, F.lit(block)))
-    blocks = texts.withColumn("n", parts).select("row", "doc_id", "sha", "n", F.posexplode(cut).alias("at", "block"))
-    # the digest goes with the first block only
-    blocks = blocks.withColumn("sha", F.when(F.col("at") == 0, F.col("sha")))
+    blocks = texts.select("row", "doc_id", "sha", "n", "place", F.posexplode(cut).alias("at", "block"))
+    # the digest and the place go with the first block only
+    blocks = blocks.withColumns({c: F.when(F.col("at") == 0, F.col(c)) for c in ("sha", "place")})
     current = materialise(name_rows(blocks, ["block"], "row", total), "blocks")
     width = current.agg(F.max("n")).first()[0] or 1
     level, done = 0, []
     while True:
-        done.append(current.filter("n = 1").select("row", "doc_id", "sha", F.lit(level).alias("level"), "name"))
+        done.append(current.filter("n = 1").select("row", "doc_id", "sha", "place", F.lit(level).alias("level"), "name"))
         if width <= 1:
             break
         pairs = materialise(
             current.filter("n > 1").groupBy("row", F.floor(F.col("at") / 2).cast("int").alias("at")).agg(
                 F.max("doc_id").alias("doc_id"),
                 F.max("sha").alias("sha"),
+                F.max("place").alias("place"),
                 F.max(F.ceil(F.col("n") / 2).cast("int")).alias("n"),
                 F.max(F.when(F.col("at") % 2 == 0, F.col("name"))).alias("a"),
                 F.max(F.when(F.col("at") % 2 == 1, F.col("name"))).alias("b"),
             ),
             "pairs",
         )
-        current = materialise(name_rows(pairs, ["a", "b"], "row", max(total, pairs.count())), "names")
+        current = materialise(name_rows(pairs, ["a", "b"], "row", pairs.count()), "names")
+        discard(pairs)
         level, width = level + 1, (width + 1) // 2
     out = done[0]
     for more in done[1:]:
@@ -98,15 +105,9 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when all their bytes are; null counts as empty, and empty
-    texts are equal to each other. Of equal texts the row with the largest id
-    stays (a null id only if there is no other; of rows that repeat an id, one).
-    An empty table gives an empty result. Other columns are not read.
-    """
-    rows = identities(docs, id_col, text_col, block)
+def _decide(docs: DataFrame, id_col: str, text_col: str, block: int, place: Sequence[str] = ()) -> DataFrame:
+    """row, doc_id, sha, place, keep (doc_id and row of the row that stays) and group_size of each row."""
+    rows = identities(docs, id_col, text_col, block, place)
     total = rows.count()
     groups = rows.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")).filter("group_size > 1")
     groups = materialise(groups, "groups")
@@ -117,21 +118,40 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.join(hot, ["level", "name"], "left").withColumn("level", F.when(F.col("hot_size").isNull(), F.col("level")).otherwise(-1))
     rows = rows.withColumn("name", F.when(F.col("hot_size").isNull(), F.col("name")).otherwise(F.col("row")))
     found = rows.join(groups.filter(~large), ["level", "name"], "left")
-    keep = F.coalesce("hot_keep", "keep", F.struct("doc_id", "row"))
     return found.select(
-        F.col("doc_id").alias(id_col),
-        keep["doc_id"].alias("keep_id"),
+        "row", "doc_id", "sha", "place",
+        F.coalesce("hot_keep", "keep", F.struct("doc_id", "row")).alias("keep"),
         F.coalesce("hot_size", "group_size", F.lit(1)).cast("long").alias("group_size"),
-        (keep["row"] == F.col("row")).alias("kept"),
+    )
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when all their bytes are; null counts as empty, and empty
+    texts are equal to each other. Of equal texts the row with the largest id
+    stays (a null id only if there is no other; of rows that repeat an id, one).
+    An empty table gives an empty result. Other columns are not read.
+    """
+    return _decide(docs, id_col, text_col, block).select(
+        F.col("doc_id").alias(id_col),
+        F.col("keep.doc_id").alias("keep_id"),
+        "group_size",
+        (F.col("keep.row") == F.col("row")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs``, all columns, without copies: one of each text stays."""
-    kept = exact_dedup(docs, id_col, text_col, block).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    own = docs.withColumn("__own", F.sha2(text_of(text_col), 256))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
-    left = own.join(kept, same, "left_semi")
-    one = F.row_number().over(W.partitionBy(id_col, "__own").orderBy(F.lit(1)))
-    return left.withColumn("__one", one).filter("__one = 1").drop("__own", "__one")
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, from_files: bool = False) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without copies: one of each text stays.
+
+    Which one, and what counts as equal, is as in :func:`exact_dedup`: null and
+    empty texts are copies of each other, rows that repeat an id are told apart,
+    texts of any length are compared whole, an empty table stays empty. Columns
+    may have any names. Rows are found again by their place in the files
+    (:func:`quarry.llm.common.located`), so only those that may go are shuffled.
+    """
+    docs, *place = located(docs, from_files)
+    decided = _decide(docs, id_col, text_col, block, place)
+    dropped = materialise(decided.filter("keep.row <> row").select(*[F.col("place")[c].alias(c) for c in place]), "dropped")
+    return without(docs, place, dropped).drop(*place)

@@ -8,9 +8,10 @@
    ``recall`` at least. Only band hashes are shuffled; representatives that share
    one are linked to the least of them, which keeps links in proportion to rows.
 3. Connected links make candidate groups. Every pair within a group is decided on
-   the full n-gram sets. Groups are dealt out in blocks of about BLOCK members, a
-   task sees two blocks at most, and pairs stay inside the task: what leaves it is
-   one row per member with its number of links and the least member it is linked to.
+   the full n-gram sets. Groups are dealt out in blocks of about BLOCK members and
+   BLOCK_GRAMS n-grams at most, a task sees two blocks at most, and pairs stay inside
+   the task: what leaves it is one row per member with its number of links and the
+   least member it is linked to.
    In a group of several blocks, members that are close to its centre (the n-grams
    that most members have) need no comparison among each other: Jaccard distance obeys
    the triangle inequality, so two sets within half of the allowed distance of a third
@@ -29,20 +30,19 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from quarry.llm.common import join_by_size, materialise, text_of
+from quarry.llm.common import discard, join_by_size, join_salted, located, materialise, only, slices, text_of, without
 from quarry.llm.components import components
 
 N, THRESHOLD, RECALL, MAX_BANDS = 5, 0.8, 0.99999, 25
-#: Members of a block of a candidate group.
-BLOCK = 512
+#: Members of a block of a candidate group, and n-grams of all of them together.
+BLOCK, BLOCK_GRAMS = 512, 1_000_000
 _SEED = 0x5EED
 
-BASE = "row long, doc_id long, text_key long, k1 long, k2 long, bands array<long>"
+BASE = "row long, doc_id long, file long, at long, size long, k1 long, k2 long, bands array<long>"
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_BANDS) -> tuple[int, int]:
@@ -161,37 +161,28 @@ def check_group(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | N
         least = new
 
 
-def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK,
-) -> DataFrame:
-    """One row per row of ``docs``: id, class_id, n_links, class_size, kept, text_key.
-
-    ``n_links`` is the number of other documents whose n-gram set has a Jaccard
-    similarity of ``threshold`` or more, copies included. ``class_id`` is the least
-    id of those that links connect, ``class_size`` their number, and ``kept`` is
-    true for one row of each class (the one with the least id). ``text_key`` is a
-    64-bit hash of the text, to find the row again where ids repeat.
+def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float, block: int, block_grams: int, from_files: bool):
+    """(one row per row of ``docs``: row, doc_id, file, at, class_size, n_links, least; ``docs`` with its places; their names).
 
-    Null counts as empty; texts without words have an empty set and are similar to
-    each other only. A pair is found if a chain of shared band hashes connects it,
-    which banding misses with probability 1 - ``recall`` at the threshold and far
-    less above it; every pair that is reported has been checked on the full sets.
+    ``least`` is the (doc_id, row) of the class's row that stays.
     """
     bands, rows = choose_bands(threshold, recall)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    arrow = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    docs, *place = located(docs, from_files)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).alias(k) for c, k in zip(place, ("file", "at"), strict=True)], text_of(text_col).alias("text"))
+    names = [f.split()[0] for f in BASE.split(", ")]
+    arrow = pa.schema([(name, pa.int64()) for name in names[:-1]] + [(names[-1], pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at = shingler(n, bands, rows), TaskContext.get().partitionId() << 36
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                keys, hashes = [], []
-                for text in batch.column(1).to_pylist():
+            for batch in slices(whole, 1000):
+                keys, hashes, size = [], [], []
+                for text in batch.column(3).to_pylist():
                     found = own.shingles(text)
+                    size.append(len(found))
                     keys.append(set_key(found))
                     hashes.append(own.band_hashes(found) if len(found) else np.zeros(0, np.int64))
-                columns = [range(at, at + len(keys)), batch.column(0), batch.column(2), [k[0] for k in keys], [k[1] for k in keys], hashes]
+                columns = [range(at, at + len(keys)), *batch.columns[:3], size, [k[0] for k in keys], [k[1] for k in keys], hashes]
                 yield pa.RecordBatch.from_pydict(dict(zip(arrow.names, columns, strict=True)), schema=arrow)
                 at += len(keys)
 
@@ -199,34 +190,35 @@ def similar_documents(
     total = base.count()
 
     # one representative for each set; hot sets are combined on the map side
-    classes = base.groupBy("k1", "k2").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "row")).alias("first"))
-    classes = materialise(classes, "classes")
+    first = F.min(F.struct("row", "file", "at", "size"))
+    classes = base.groupBy("k1", "k2").agg(first.alias("own"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "row")).alias("first"))
+    classes = materialise(classes.select("k1", "k2", "own.*", "copies", "first"), "classes")
     own_bands = base.select("row", "bands").join(classes.select("row"), "row", "left_semi")
     hashes = own_bands.select("row", F.explode("bands").alias("hash"))
 
     # links to the least member of each bucket
-    buckets = hashes.groupBy("hash").agg(F.min("row").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    met = join_by_size(hashes, materialise(buckets, "buckets"), ["hash"], "n", total).filter("row <> leader")
+    buckets = materialise(hashes.groupBy("hash").agg(F.min("row").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    met = join_by_size(hashes, buckets, ["hash"], "n", total).filter("row <> leader")
     groups = materialise(components(met.select(F.col("row").alias("a"), F.col("leader").alias("b"))), "candidates")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    members = join_by_size(groups, materialise(sizes, "sizes"), ["root"], "n", total).join(classes.select(F.col("row").alias("node"), "copies"), "node")
+    discard(buckets)
+    mine = classes.select(F.col("row").alias("node"), "file", "at", "copies", "size")
+    sizes = groups.join(mine.select("node", "size"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+    members = materialise(join_by_size(groups, materialise(sizes, "sizes"), ["root"], "n", total).join(mine, "node").withColumnRenamed("node", "row"), "members")
 
-    # the texts of the candidates, one row each (repeated rows have their text twice)
-    wanted = base.select("row", "doc_id", "text_key").join(members.select(F.col("node").alias("row"), "root", "n", "copies"), "row")
-    texts = source.withColumnRenamed("text_key", "own_key").withColumnRenamed("doc_id", "own_id")
-    found = texts.join(wanted, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")))
-    found = materialise(found.select("row", "root", "n", "copies", "text").dropDuplicates(["row"]), "texts")
+    # the texts of the candidates, found by their place
+    texts = only(source.select("file", "at", "text"), ["file", "at"], members)
+    found = materialise(texts.join(members.hint("merge"), ["file", "at"]).select("row", "root", "n", "grams", "size", "copies", "text"), "texts")
 
-    # the centre of each large group: the n-grams of more than half of its members
-    large = found.filter(F.col("n") > block)
+    # the centre of each group of several blocks: the n-grams of more than half of its members
+    large = found.filter((F.col("n") > block) | (F.col("grams") > block_grams))
     gram_schema = pa.schema([("root", pa.int64()), ("n", pa.int64()), ("gram", pa.int64()), ("k", pa.int64())])
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shingler(n, bands, rows)
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
+            for batch in slices(whole, 500):
                 held: dict[tuple[int, int], list[np.ndarray]] = {}
-                for root, size, text in zip(*(c.to_pylist() for c in whole.slice(start, 500).columns), strict=True):
+                for root, size, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     held.setdefault((root, size), []).append(own.shingles(text))
                 for (root, size), sets in held.items():
                     grams, k = np.unique(np.concatenate(sets), return_counts=True)
@@ -234,39 +226,41 @@ def similar_documents(
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=gram_schema)
 
     grams = large.select("root", "n", "text").mapInArrow(count_grams, "root long, n long, gram long, k long")
-    common = grams.groupBy("root", "gram").agg(F.sum("k").alias("k"), F.max("n").alias("size")).filter(F.col("k") * 2 > F.col("size"))
+    common = grams.groupBy("root", "gram").agg(F.sum("k").alias("k"), F.max("n").alias("n")).filter(F.col("k") * 2 > F.col("n"))
     # at most twice the n-grams of an average member
-    centres = materialise(common.groupBy("root").agg(F.collect_list("gram").alias("centre"), F.max("size").alias("size")), "centres")
+    centres = materialise(common.groupBy("root").agg(F.collect_list("gram").alias("centre"), F.max("n").alias("n")), "centres")
 
-    pairs = join_by_size(large.select("row", "root", "copies", "text"), centres, ["root"], "size", total).select("row", "root", "copies", "text", "centre")
-    core_schema = pa.schema([("row", pa.int64()), ("root", pa.int64()), ("copies", pa.int64())])
+    pairs = join_salted(large.select("row", "root", "n", "copies", "size", "text"), centres, "root", "n", "row").select("row", "root", "copies", "size", "text", "centre")
+    core_schema = pa.schema([("row", pa.int64()), ("root", pa.int64()), ("copies", pa.int64()), ("size", pa.int64())])
     close = 1 - (1 - threshold) / 2
 
     def near_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, of, centre = shingler(n, bands, rows), None, None
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch, near = whole.slice(start, 500), []
-                lists, texts = batch.column(4), batch.column(3).to_pylist()
+            for batch in slices(whole, 500):
+                near, lists, texts = [], batch.column(5), batch.column(4).to_pylist()
                 for i, root in enumerate(batch.column(1).to_pylist()):
                     if root != of:
                         of, centre = root, lists[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                     mine = own.shingles(texts[i])
                     shared = len(np.intersect1d(mine, centre, assume_unique=True))
                     near.append(shared >= close * (len(mine) + len(centre) - shared) + 1e-9)
-                yield pa.RecordBatch.from_arrays(batch.columns[:3], schema=core_schema).filter(pa.array(near, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(batch.columns[:4], schema=core_schema).filter(pa.array(near, pa.bool_()))
 
-    core = materialise(pairs.mapInArrow(near_centre, "row long, root long, copies long"), "core")
-    cores = core.groupBy("root").agg(F.sum("copies").alias("core_copies"), F.count("*").alias("core_rows"), F.min("row").alias("least"))
+    core = materialise(pairs.mapInArrow(near_centre, "row long, root long, copies long, size long"), "core")
+    cores = core.groupBy("root").agg(F.sum("copies").alias("core_copies"), F.count("*").alias("core_rows"), F.sum("size").alias("core_grams"), F.min("row").alias("least"))
     cores = materialise(cores, "cores")
     among_core = join_by_size(core, cores, ["root"], "core_rows", total).select("row", (F.col("core_copies") - F.col("copies")).alias("links"), "least")
 
     # the others' blocks come first, then those of the core; a core block meets the others' blocks only
-    groups_of = found.groupBy("root").agg(F.max("n").alias("n")).join(cores.select("root", "core_rows"), "root", "left")
-    groups_of = groups_of.select("root", "n", F.coalesce("core_rows", F.lit(0)).alias("core_rows"))
-    placed = join_by_size(found.select("row", "root", "copies"), materialise(groups_of, "groups"), ["root"], "n", total)
+    groups_of = found.groupBy("root").agg(F.max("n").alias("n"), F.max("grams").alias("grams")).join(cores.select("root", "core_rows", "core_grams"), "root", "left").na.fill(0)
+
+    def blocks(members: Column, grams: Column) -> Column:
+        return F.greatest(F.ceil(members / block), F.least(members, F.ceil(grams / block_grams))).cast("int")
+
+    groups_of = groups_of.withColumn("q", blocks(F.col("n") - F.col("core_rows"), F.col("grams") - F.col("core_grams"))).withColumn("p", blocks(F.col("core_rows"), F.col("core_grams")))
+    placed = join_by_size(found.select("row", "root", "copies"), materialise(groups_of.select("root", "n", "q", "p"), "groups"), ["root"], "n", total)
     placed = placed.join(core.select("row", F.lit(True).alias("core")), "row", "left").withColumn("core", F.coalesce("core", F.lit(False)))
-    placed = placed.withColumn("q", F.ceil((F.col("n") - F.col("core_rows")) / block).cast("int")).withColumn("p", F.ceil(F.col("core_rows") / block).cast("int"))
     spot = F.xxhash64("row")
     own_block = F.when(F.col("core"), F.col("q") + F.pmod(spot, F.greatest("p", F.lit(1)))).otherwise(F.pmod(spot, F.greatest("q", F.lit(1)))).cast("int")
     last = F.when(F.col("core"), F.col("q")).otherwise(F.col("q") + F.col("p")) - 1
@@ -288,17 +282,19 @@ def similar_documents(
             links, least = check_group([h[3] for h in held], np.array([h[2] for h in held], np.int64), side, threshold)
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(ids[least])], schema=checked_schema)
 
-        for batch in batches:
-            for root, i, j, row, part, copies, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (root, i, j) != key:
-                    if len(held) > 1:
-                        yield out()
-                    key, held = (root, i, j), []
-                held.append((row, part, copies, own.shingles(text)))
+        for whole in batches:
+            for batch in slices(whole, 1000):
+                for root, i, j, row, part, copies, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (root, i, j) != key:
+                        if len(held) > 1:
+                            yield out()
+                        key, held = (root, i, j), []
+                    held.append((row, part, copies, own.shingles(text)))
         if len(held) > 1:
             yield out()
 
     checked = materialise(task.mapInArrow(check, "row long, links long, least long").unionByName(among_core), "checked")
+    discard(found, core, centres)
     links = checked.groupBy("row").agg(F.sum("links").alias("links"))
     roots = components(checked.select(F.col("row").alias("a"), F.col("least").alias("b")))
 
@@ -308,15 +304,42 @@ def similar_documents(
     joined = materialise(joined.select("k1", "k2", "root", "copies", "n_links", "first"), "joined")
     whole = joined.groupBy("root").agg(F.sum("copies").alias("class_size"), F.count("*").alias("n"), F.min("first").alias("least"))
     named = materialise(join_by_size(joined, whole, ["root"], "n", total).select("k1", "k2", "copies", "n_links", "class_size", "least"), "named")
-    return join_by_size(base.select("row", "doc_id", "text_key", "k1", "k2"), named, ["k1", "k2"], "copies", total).select(
-        F.col("doc_id").alias(id_col), F.col("least.doc_id").alias("class_id"), "n_links", "class_size", (F.col("row") == F.col("least.row")).alias("kept"), "text_key",
-    )
-
-
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns: one document of each class stays."""
-    kept = similar_documents(docs, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"))
-    own = docs.withColumn("__own", F.xxhash64(text_of(text_col)))
-    left = own.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_semi")
-    one = F.row_number().over(W.partitionBy(id_col, "__own").orderBy(F.lit(1)))
-    return left.withColumn("__one", one).filter("__one = 1").drop("__own", "__one")
+    return join_by_size(base.select("row", "doc_id", "file", "at", "k1", "k2"), named, ["k1", "k2"], "copies", total), docs, place
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL,
+    block: int = BLOCK, block_grams: int = BLOCK_GRAMS, from_files: bool = False,
+) -> DataFrame:
+    """One row per row of ``docs``: id, class_id, n_links, class_size, kept.
+
+    ``n_links`` is the number of other documents whose n-gram set has a Jaccard
+    similarity of ``threshold`` or more, copies included. ``class_id`` is the least
+    id of those that links connect, ``class_size`` their number, and ``kept`` is
+    true for one row of each class (the one with the least id).
+
+    Null counts as empty; texts without words have an empty set and are similar to
+    each other only. A pair is found if a chain of shared band hashes connects it,
+    which banding misses with probability 1 - ``recall`` at the threshold and far
+    less above it; every pair that is reported has been checked on the full sets.
+    Rows that repeat an id are documents of their own; an empty table gives no row;
+    other columns aren't read. For ``from_files`` see ``common.located``.
+    """
+    rows, _, _ = _classes(docs, id_col, text_col, n, threshold, recall, block, block_grams, from_files)
+    return rows.select(F.col("doc_id").alias(id_col), F.col("least.doc_id").alias("class_id"), "n_links", "class_size", (F.col("row") == F.col("least.row")).alias("kept"))
+
+
+def drop_similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL,
+    block: int = BLOCK, block_grams: int = BLOCK_GRAMS, from_files: bool = False,
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are: one document of each class stays.
+
+    Classes are those of :func:`similar_documents`: null, empty and wordless texts
+    are one class, rows that repeat an id are told apart, whole texts count, an
+    empty table stays empty. Columns may have any names. Rows are found again by
+    their place in the files, so only those that may go are shuffled.
+    """
+    rows, docs, place = _classes(docs, id_col, text_col, n, threshold, recall, block, block_grams, from_files)
+    dropped = rows.filter("row <> least.row").select(*[F.col(k).alias(c) for c, k in zip(place, ("file", "at"), strict=True)])
+    return without(docs, place, materialise(dropped, "dropped")).drop(*place)

@@ -21,13 +21,12 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quarry.llm.common import arrow_map, materialise, text_of
+from quarry.llm.common import arrow_map, discard, materialise, text_of, text_test
 
 DICTIONARY_DOCUMENTS = 1_500
 CALIBRATION = 1_500
@@ -110,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Of repeated labels the worst counts; null labels are left out. If a class has
     no labelled document, there are no dictionaries and every score is the share
-    of label 1 (one half without any labels).
+    of label 1 (one half without any labels). Of rows that repeat an id one text
+    counts; null texts are empty; other columns of ``docs`` are not read.
     """
     known = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -126,7 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = chosen[0].unionByName(chosen[1])
     # the rows alternate between dictionary and calibration; at most 2 * (DICTIONARY_DOCUMENTS + CALIBRATION) rows
     ids = ids.withColumn("use", F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("id"), "id")) % 2)
-    sample = materialise(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(ids), "id"), "sample")
+    sample = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(ids), "id")
+    # of rows that repeat an id one text counts, so that the sample is bounded by its ids
+    sample = materialise(sample.groupBy("id", "y", "use").agg(F.max("text").alias("text")), "sample")
 
     def windows(batch: pa.RecordBatch) -> dict:
         out = [(i, y, at, w) for i, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for at, w in enumerate(_windows(t.encode()))]
@@ -136,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     cut = arrow_map(sample.filter("use = 1").select(F.col("id").cast("long"), "y", "text"), "id long, y int, at long, w binary", windows, arrow, 200)
     own = {y: [bytes(r["w"]) for r in cut.filter(F.col("y") == y).orderBy(F.xxhash64("id", "at"), "id", "at").limit(WINDOWS).collect()] for y in (0, 1)}
     if not own[0] or not own[1]:
+        discard(sample)
         return plain
     model = QualityModel(train_dictionary(own[1]), train_dictionary(own[0]))
 
@@ -146,6 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rest = sample.filter("use = 0") if sample.filter("use = 0").select("y").distinct().count() == 2 else sample
     arrow = pa.schema([("y", pa.int32()), ("d", pa.float64()), ("r", pa.float64())])
     rows = np.array(sorted(tuple(r) for r in arrow_map(rest.select("y", "text"), "y int, d double, r double", shrunk, arrow).collect()))
+    discard(sample)
     y = rows[:, 0]
     ones, zeros = (y == 1).sum(), (y == 0).sum()
     weight = np.where(y == 1, sizes[1] / max(1, ones), sizes[0] / max(1, zeros))
@@ -176,11 +180,5 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
 
 def is_good(model: QualityModel, text: Column, accept_at: float = ACCEPT_AT) -> Column:
-    """Whether a text is good enough, as a column."""
-
-    @F.pandas_udf("boolean")
-    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([model.score(t) >= accept_at for t in batch], dtype=bool)
-
-    return good(F.coalesce(text, F.lit("")))
+    """Whether a text (null: empty) is good enough, as a column; whole texts of any length are read."""
+    return text_test(lambda texts: [model.score(t) >= accept_at for t in texts], text)

@@ -30,7 +30,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import toxicity
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return toxicity.score(docs, toxicity.fit(docs, labels))
+    return toxicity.score(docs, toxicity.fit(docs, labels, from_files=True))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +154,7 @@ FROM revised GROUP BY source, lang
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.ngram_join import similar_documents
 
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similar_documents(table(spark, sf_dir, "documents"), from_files=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

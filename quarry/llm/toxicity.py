@@ -24,13 +24,14 @@ from dataclasses import dataclass, field
 from math import log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, materialise, text_of
+from xxhash import xxh3_64_intdigest
+
+from quarry.llm.common import arrow_map, discard, located, materialise, only, slices, text_of, text_test
 
 SAMPLE_TOXIC = 4_000
 SAMPLE_CLEAN = 8_000
@@ -47,6 +48,8 @@ RIDGE, STEPS = 1e-5, 600
 MAX_HELD = 300_000
 
 _WORD = re.compile(r"\w+")
+#: Odd numbers that mix the hashes of a word triple.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x7FB5D329728EA185], np.uint64)
 
 
 def words(text: str) -> Iterable[str]:
@@ -119,42 +122,57 @@ class SeverityModel:
         return 1 / (1 + np.exp(-(eta - self.thresholds).clip(-40, 40)))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, lang_col: str):
-    """(id, hash, text) of all documents, (id, hash, lang, y, toxic) of the labelled ones without copies, and the classes' sizes.
+def _least_triple(text: str) -> int:
+    """The least hash of three words in a row (of the whole text if it has fewer)."""
+    found = text.lower().split()
+    if len(found) < 3:
+        return xxh3_64_intdigest(" ".join(found)) >> 1
+    hashes = np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found))
+    mixed = (hashes[:-2] * _MIX[0] + hashes[1:-1]) * _MIX[1] + hashes[2:]
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * _MIX[2]
+    return int(mixed.min() >> np.uint64(1))
+
+
+def _labelled(texts: DataFrame, labels: DataFrame, place: list[str], id_col: str, label_col: str):
+    """(place, id, lang, y, toxic) of the labelled documents without copies, and the classes' sizes.
 
-    Both grow with the labels; joins with them never broadcast, and texts aren't
+    ``texts`` has place, id, text and lang. Both tables grow with the labels;
+    joins with them never broadcast (only bitmaps of their keys), and texts aren't
     shuffled to find the copies.
     """
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     known = materialise(known.withColumn("toxic", (F.col("y") > 0).cast("int")), "labels")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
-    parts = F.split(F.lower("text"), r"\s+")
-    pairs = F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: F.xxhash64(a, b))
-    triples = F.zip_with(pairs, F.slice(parts, F.lit(3), F.size(parts)), lambda a, b: F.xxhash64(a, b))
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), lang.alias("lang")).withColumn("hash", F.xxhash64("text"))
-    triple = F.coalesce(F.array_min(triples), F.xxhash64(F.lower("text")))
-    one = F.row_number().over(W.partitionBy("triple", "toxic").orderBy(F.xxhash64("id"), "id", "hash", "lang"))
-    slim = texts.select("id", "hash", "lang", triple.alias("triple")).join(known.hint("merge"), "id")
-    slim = slim.withColumn("one", one).filter("one = 1").drop("triple", "one")
-    return texts.select("id", "hash", "text"), materialise(slim, "labelled"), sizes
-
-
-def _sample(texts: DataFrame, labelled: DataFrame, most: dict[int, int]) -> DataFrame:
-    """The labelled documents that are first by (place in their language and class, hash); ``held`` is the size of these."""
+
+    def triples(batch: pa.RecordBatch) -> dict:
+        return dict(zip(arrow.names, [*batch.columns[:4], [_least_triple(t) for t in batch.column(4).to_pylist()]], strict=True))
+
+    arrow = pa.schema([(place[0], pa.int64()), (place[1], pa.int64()), ("id", pa.int64()), ("lang", pa.string()), ("triple", pa.int64())])
+    near = only(texts, ["id"], known)
+    slim = arrow_map(near.select(*place, "id", "lang", "text"), f"{place[0]} long, {place[1]} long, id long, lang string, triple long", triples, arrow)
+    slim = slim.join(known.hint("merge"), "id")
+    one = F.min(F.struct(F.xxhash64("id").alias("spot"), "id", "lang", *place, "y")).alias("one")
+    slim = slim.groupBy("triple", "toxic").agg(one).select("toxic", "one.*").drop("spot")
+    labelled = materialise(slim, "labelled")
+    discard(known)
+    return labelled, sizes
+
+
+def _sample(texts: DataFrame, labelled: DataFrame, place: list[str], most: dict[int, int]) -> DataFrame:
+    """(y, lang, held, text) of the labelled documents that are first by (rank in their language and class, hash); ``held`` is the size of these."""
     held = labelled.groupBy("lang", "toxic").agg(F.count("*").alias("held"))
     chosen = None
     for toxic, n in most.items():
-        place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-        part = labelled.filter(F.col("toxic") == toxic).withColumn("place", place).filter(F.col("place") <= n)
-        part = part.orderBy("place", F.xxhash64("id"), "id").limit(n).drop("place")
+        rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", *place))
+        part = labelled.filter(F.col("toxic") == toxic).withColumn("rank", rank).filter(F.col("rank") <= n)
+        part = part.orderBy("rank", F.xxhash64("id"), "id", *place).limit(n).drop("rank")
         chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = materialise(chosen.join(materialise(held, "sizes"), ["lang", "toxic"]), "chosen")
-    return materialise(texts.join(F.broadcast(chosen), ["id", "hash"]), "sample")  # at most sum(most) rows
+    chosen = chosen.join(held, ["lang", "toxic"]).select(*place, "y", "held")
+    return texts.join(F.broadcast(chosen), place).select("y", "lang", "held", "text")  # at most sum(most) rows
 
 
-def _vocabulary(texts: DataFrame, labelled: DataFrame) -> list[tuple[str, float]]:
-    """(feature, its number of standard errors), the best by place in the list of some language or of all.
+def _vocabulary(texts: DataFrame, labelled: DataFrame, place: list[str]) -> list[tuple[str, float]]:
+    """(feature, its number of standard errors), the best by rank in the list of some language or of all.
 
     Counts are over all rows; they are dealt out by word, so that the sums by
     language and over all of them need one shuffle.
@@ -171,20 +189,20 @@ def _vocabulary(texts: DataFrame, labelled: DataFrame) -> list[tuple[str, float]
                     yield pa.RecordBatch.from_pydict({"lang": [lang] * len(some), "word": some, "a": [toxic[w] for w in some], "b": [clean[w] for w in some]}, schema=arrow)
             held.clear()
 
-        for batch in batches:
-            for lang, text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = held.setdefault(lang, [Counter(), Counter()])
-                own[toxic].update(features(text).keys())
-                if len(held) > MAX_HELD // 100 or len(own[toxic]) > MAX_HELD // 2:
-                    yield from out()
+        for whole in batches:
+            for batch in slices(whole, 500):
+                for lang, text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = held.setdefault(lang, [Counter(), Counter()])
+                    own[toxic].update(features(text).keys())
+                    if len(held) > MAX_HELD // 100 or len(own[toxic]) > MAX_HELD // 2:
+                        yield from out()
         yield from out()
 
     arrow = pa.schema([("lang", pa.string()), ("word", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
-    rows = texts.join(labelled.select("id", "hash", "lang", "toxic").hint("merge"), ["id", "hash"])
+    rows = only(texts.select(*place, "lang", "text"), place, labelled).join(labelled.select(*place, "toxic").hint("merge"), place)
     each = rows.select("lang", "text", "toxic").mapInArrow(count, "lang string, word string, a long, b long").repartition("word")
     sums = [F.sum("a").alias("a"), F.sum("b").alias("b")]
     sizes = labelled.groupBy("lang").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
-    sizes = materialise(sizes, "sizes")
     n1, n0 = sizes.agg(F.sum("n1"), F.sum("n0")).first()
 
     def standard_errors(a: str, b: str, n1: Column, n0: Column) -> Column:
@@ -199,15 +217,17 @@ def _vocabulary(texts: DataFrame, labelled: DataFrame) -> list[tuple[str, float]
     both = materialise(both.filter("z IS NOT NULL OR every_z IS NOT NULL").select("lang", "word", "z", "every_z"), "screened")
     own = both.filter("z IS NOT NULL").select(F.lit(True).alias("own"), "lang", "word", "z")
     every = both.filter("every_z IS NOT NULL").select(F.lit(False).alias("own"), F.lit("").alias("lang"), "word", F.col("every_z").alias("z")).distinct()
-    place = F.row_number().over(W.partitionBy("own", "lang").orderBy(F.abs("z").desc(), "word"))
-    kept = own.unionByName(every).withColumn("place", place).filter(F.col("place") <= MAX_WORDS)
-    best = kept.groupBy("word").agg(F.min(F.struct("place", (-F.abs("z")).alias("less"), "z")).alias("m"))
-    return [(r["word"], r["z"]) for r in best.select("word", "m.*").orderBy("place", "less", "word").limit(MAX_WORDS).select("word", "z").collect()]
+    rank = F.row_number().over(W.partitionBy("own", "lang").orderBy(F.abs("z").desc(), "word"))
+    kept = own.unionByName(every).withColumn("rank", rank).filter(F.col("rank") <= MAX_WORDS)
+    best = kept.groupBy("word").agg(F.min(F.struct("rank", (-F.abs("z")).alias("less"), "z")).alias("m"))
+    out = [(r["word"], r["z"]) for r in best.select("word", "m.*").orderBy("rank", "less", "word").limit(MAX_WORDS).select("word", "z").collect()]
+    discard(both)
+    return out
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, lang_col: str = "lang",
+    sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, lang_col: str = "lang", from_files: bool = False,
 ) -> SeverityModel:
     """Fit on the labelled documents. Labels may be grades 0, 1, 2, ...
 
@@ -216,13 +236,19 @@ def fit(
     screened toxic words they have (terciles of the sample). Unlabelled rows and
     null labels are left out; of repeated labels the worst counts. Null
     languages are one language, and so are documents without the column. Without
-    labelled documents of both classes the model finds nothing toxic.
+    labelled documents of both classes the model finds nothing toxic. Rows that
+    repeat an id are documents of their own with that id's label, copies of a text
+    count as one, texts of any length are read whole, and ``docs`` may have any
+    other columns. For ``from_files`` see ``common.located``.
     """
-    texts, labelled, sizes = _labelled(docs, labels, id_col, text_col, label_col, lang_col)
+    docs, *place = located(docs, from_files)
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
+    texts = docs.select(*place, F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), lang.alias("lang"))
+    labelled, sizes = _labelled(texts, labels, place, id_col, label_col)
     if labelled.select("toxic").distinct().count() < 2:
         return SeverityModel()
-    vocabulary = _vocabulary(texts, labelled)
-    sample = _sample(texts, labelled, {1: sample_toxic, 0: sample_clean})
+    vocabulary = _vocabulary(texts, labelled, place)
+    sample = _sample(texts, labelled, place, {1: sample_toxic, 0: sample_clean})
     index = {w: i for i, (w, _) in enumerate(vocabulary)}
 
     def known(batch: pa.RecordBatch) -> dict:
@@ -231,6 +257,7 @@ def fit(
 
     arrow = pa.schema([("y", pa.int32()), ("lang", pa.string()), ("held", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
     rows = arrow_map(sample.select("text", "y", "lang", "held"), "y int, lang string, held long, at array<int>, n array<int>", known, arrow).collect()
+    discard(labelled)
     drawn = Counter((r["lang"], r["y"] > 0) for r in rows)
     rows = sorted((r["y"], sorted(zip(r["at"], r["n"], strict=True)), r["held"] / drawn[r["lang"], r["y"] > 0]) for r in rows)
     y = np.array([r[0] for r in rows])
@@ -269,11 +296,5 @@ def score(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text_co
 
 
 def is_clean(model: SeverityModel, text: Column, reject_at: float = 0.5) -> Column:
-    """Whether a text is not toxic, as a column."""
-
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([not len(p) or p[0] < reject_at for p in map(model.at_least, batch)], dtype=bool)
-
-    return clean(F.coalesce(text, F.lit("")))
+    """Whether a text (null: empty) is not toxic, as a column; whole texts of any length are read."""
+    return text_test(lambda texts: [not len(p) or bool(p[0] < reject_at) for p in map(model.at_least, texts)], text)
