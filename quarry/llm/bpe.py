@@ -20,6 +20,8 @@ SPLIT_CHARS = 200_000
 #: go on from a visible character to a space or line end, and no look-ahead
 #: reaches back over it. Only ASCII counts, so Unicode versions don't matter.
 _SAFE = re.compile(r"[0-9A-Za-z.,;:!?](?=[ \n])")
+#: Patterns for which that is true (fixed values); with others texts stay whole.
+SAFE_PATTERNS = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 
 _encodings: dict[tuple[str, str], object] = {}
 
@@ -52,7 +54,8 @@ def safe_pieces(text: str, size: int = SPLIT_CHARS) -> Iterator[str]:
 
 def encode(enc, text: str, size: int = SPLIT_CHARS) -> np.ndarray:
     """Token ids of a whole text, special tokens as ordinary text."""
-    parts = [np.asarray(enc.encode_ordinary(p), np.uint32) for p in safe_pieces(text, size)]
+    pieces = safe_pieces(text, size) if enc._pat_str in SAFE_PATTERNS else [text]
+    parts = [np.asarray(enc.encode_ordinary(p), np.uint32) for p in pieces]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 

@@ -111,7 +111,16 @@ FROM named n LEFT JOIN fits f ON f.page_id = n.page_id AND f.rank = 1
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.media import documents_as_media
 
-    return documents_as_media(table(spark, sf_dir, "documents"))
+    return documents_as_media(table(spark, sf_dir, "documents"), from_files=True)
+
+
+def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of every page, one row each: page_id, position, kind, text, ref, caption."""
+    from pyspark.sql import functions as F
+
+    from quarry.llm.media import interleave
+
+    return interleave(table(spark, sf_dir, "pages")).select("page_id", F.explode("items").alias("item")).select("page_id", "item.*")
 
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_rollup": op9_token_rollup,
     "op10_ngram_join": op10_ngram_join,
     "token_rollup_words": token_rollup_words,
+    "interleaved_pages": interleaved_pages,
 }
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,

@@ -14,13 +14,14 @@ sums over committed batches; no stored total is ever rewritten.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, materialise, text_of
+from quarry.llm.common import arrow_map, discard, materialise, only, text_of
 
 KEYS = ("source", "lang", "tokenizer")
 LEDGER = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
@@ -56,33 +57,36 @@ def count_tokens(
     docs: DataFrame, counters: Mapping[str, Callable[[list], list]], columns: Mapping[str, Column] | None = None,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
 ) -> DataFrame:
-    """doc_id, source, lang, tokenizer, tokens of every whole text (null: empty).
+    """doc_id, source, lang, tokenizer, docs, tokens of every whole text (null: empty).
 
-    ``columns`` are further versions, each a column expression over ``text``. Rows
-    of one id count as one document: repeats once, and of different rows with the
-    same id the largest by (source, lang, tokens).
+    ``columns`` are further versions, each a column expression over ``text``. A row
+    that repeats another in id, source, lang and text counts once; rows of one id
+    that differ are documents of their own, which are revised and deleted together.
+    Rows without an id are all counted, repeats too. Null sources and languages are
+    keys of their own; an empty table gives no row; other columns aren't read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), text_of(text_col).alias("text"))
+    base = base.withColumn("own", F.xxhash64("text"))
     names = list(counters)
 
     def rows(batch: pa.RecordBatch) -> dict:
         texts = batch.column(3).to_pylist()
         each = [counters[name](texts) for name in names]
-        return {"doc_id": batch.column(0), "source": batch.column(1), "lang": batch.column(2), "counts": [list(c) for c in zip(*each, strict=True)]}
+        return {"doc_id": batch.column(0), "source": batch.column(1), "lang": batch.column(2), "own": batch.column(4), "counts": [list(c) for c in zip(*each, strict=True)]}
 
     parts = []
     if names:
-        arrow = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("counts", pa.list_(pa.int64()))])
-        counted = arrow_map(base, "doc_id long, source string, lang string, counts array<long>", rows, arrow)
+        arrow = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("own", pa.int64()), ("counts", pa.list_(pa.int64()))])
+        counted = arrow_map(base, "doc_id long, source string, lang string, own long, counts array<long>", rows, arrow)
         label = F.array(*[F.lit(n) for n in names])
-        parts.append(counted.select("doc_id", "source", "lang", F.explode(F.arrays_zip(label.alias("tokenizer"), F.col("counts").alias("tokens"))).alias("c")).select("doc_id", "source", "lang", F.col("c.tokenizer").alias("tokenizer"), F.col("c.tokens").alias("tokens")))
+        parts.append(counted.select("doc_id", "source", "lang", "own", F.explode(F.arrays_zip(label.alias("tokenizer"), F.col("counts").alias("tokens"))).alias("c")).select("doc_id", "source", "lang", "own", F.col("c.tokenizer").alias("tokenizer"), F.col("c.tokens").alias("tokens")))
     for name, column in (columns or {}).items():
-        parts.append(base.select("doc_id", "source", "lang", F.lit(name).alias("tokenizer"), column.cast("long").alias("tokens")))
+        parts.append(base.select("doc_id", "source", "lang", "own", F.lit(name).alias("tokenizer"), column.cast("long").alias("tokens")))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
-    one = out.groupBy("doc_id", "tokenizer").agg(F.max(F.struct("source", "lang", "tokens")).alias("m"))
-    return one.select("doc_id", F.col("m.source").alias("source"), F.col("m.lang").alias("lang"), "tokenizer", F.col("m.tokens").alias("tokens"))
+    one = out.groupBy("doc_id", *KEYS, "own").agg(F.when(F.col("doc_id").isNull(), F.count("*")).otherwise(1).alias("docs"), F.max("tokens").alias("tokens"))
+    return one.select("doc_id", *KEYS, "docs", (F.col("tokens") * F.col("docs")).alias("tokens"))
 
 
 class TokenRollup:
@@ -109,48 +113,72 @@ class TokenRollup:
         return self.spark.read.schema(schema).parquet(*held) if held else self.spark.createDataFrame([], schema)
 
     def ledger(self, ids: DataFrame | None = None) -> DataFrame:
-        """What stands now (of the documents in ``ids.doc_id``): doc_id, source, lang, tokenizer, tokens.
+        """What stands now (of the documents in ``ids.doc_id``): doc_id, source, lang, tokenizer, docs, tokens.
 
-        With a small batch of ids the ledger is scanned but not shuffled.
+        Of the ledger only rows that may be of these documents are shuffled. Rows
+        without an id stand in the ledger, and no id finds them.
         """
         signed = self._read("ledger", LEDGER)
         if ids is not None:
-            signed = signed.alias("o").join(ids.select("doc_id").alias("i"), F.col("o.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
+            ids = ids.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct()
+            signed = only(signed, ["doc_id"], ids).join(ids, "doc_id", "left_semi")
         rows = signed.groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return rows.filter("docs > 0").drop("docs")
+        return rows.filter("docs > 0")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens; keys without documents are left out."""
         sums = self._read("rollup", ROLLUP).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.filter("docs <> 0 OR tokens <> 0")
 
+    @contextmanager
+    def _writing(self) -> Iterator[None]:
+        """Hold the rollup: a second writer would take back the same rows again."""
+        fs, path = self._fs(f"{self.path}/_writer")
+        fs.mkdirs(path.getParent())
+        try:
+            fs.create(path, False).close()
+        except Exception as e:
+            if not fs.exists(path):
+                raise
+            raise RuntimeError(f"another writer holds {self.path}; if it died, delete {path.toString()}") from e
+        try:
+            yield
+        finally:
+            fs.delete(path, False)
+
     def _commit(self, batch: str, rows: DataFrame) -> bool:
         ledger, rollup = f"{self.path}/ledger/batch={batch}", f"{self.path}/rollup/batch={batch}"
         rows.select("doc_id", *KEYS, "docs", "tokens").write.mode("overwrite").parquet(ledger)
         signed = self.spark.read.schema(LEDGER).parquet(ledger)
         sums = signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.coalesce(1).write.mode("overwrite").parquet(rollup)  # one row per key
+        sums.write.mode("overwrite").parquet(rollup)  # one row per key
         return True
 
     def upsert(self, batch: str, counts: DataFrame) -> bool:
-        """Insert documents or revise their counts; False if the batch is committed already."""
-        if batch in (held := self.committed()):
-            return False
-        if held:
-            counts = materialise(counts, "counts")  # read three times, counted once
-        new = counts.select("doc_id", *KEYS, F.lit(1).cast("long").alias("docs"), "tokens")
-        if not held:
-            return self._commit(batch, new)
-        old = self.ledger(counts).alias("o")
-        same = F.col("o.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("o.tokenizer") == F.col("n.tokenizer"))
-        back = old.join(counts.alias("n"), same, "left_semi").select("doc_id", *KEYS, F.lit(-1).cast("long").alias("docs"), (-F.col("tokens")).alias("tokens"))
-        return self._commit(batch, new.unionByName(back))
+        """Insert documents or revise their counts; False if the batch is committed already.
+
+        Documents without an id can be inserted only, never revised.
+        """
+        with self._writing():
+            if batch in (held := self.committed()):
+                return False
+            if held:
+                counts = materialise(counts, "counts")  # read three times, counted once
+            new = counts.select("doc_id", *KEYS, "docs", "tokens")
+            if not held:
+                return self._commit(batch, new)
+            revised = counts.select("doc_id", "tokenizer").distinct()
+            back = self.ledger(counts).join(revised, ["doc_id", "tokenizer"], "left_semi")
+            self._commit(batch, new.unionByName(back.select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))))
+            discard(counts)
+            return True
 
     def delete(self, batch: str, ids: DataFrame) -> bool:
-        """Take back all counts of the documents in ``ids.doc_id``; unknown ids change nothing."""
-        if batch in self.committed():
-            return False
-        return self._commit(batch, self.ledger(ids).select("doc_id", *KEYS, F.lit(-1).cast("long").alias("docs"), (-F.col("tokens")).alias("tokens")))
+        """Take back all counts of the documents in ``ids.doc_id``; unknown and null ids change nothing."""
+        with self._writing():
+            if batch in self.committed():
+                return False
+            return self._commit(batch, self.ledger(ids).select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
 
 
 def maintain(docs: DataFrame, labels: DataFrame, path: str, counters: Mapping[str, Callable[[list], list]], columns: Mapping[str, Column] | None = None) -> DataFrame:
@@ -159,10 +187,11 @@ def maintain(docs: DataFrame, labels: DataFrame, path: str, counters: Mapping[st
     1. all documents are inserted; 2. those with a license line (a line that starts
     with ``Licensed under``) are revised to their text without such lines; 3. those
     that the labels call toxic are deleted; then 2. comes again and is skipped.
+    Documents without an id are inserted only.
     """
     rollup = TokenRollup(docs.sparkSession, path)
     rollup.upsert("1-insert", count_tokens(docs, counters, columns))
-    licensed = docs.filter(F.col("text").rlike(r"(^|\n)Licensed under"))
+    licensed = docs.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"(^|\n)Licensed under"))
     lines = F.filter(F.split("text", "\n"), lambda x: ~x.startswith("Licensed under"))
     revised = licensed.withColumn("text", F.array_join(lines, "\n"))
     rollup.upsert("2-revise", count_tokens(revised, counters, columns))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from xxhash import xxh3_64_intdigest
 
-from quarry.llm.common import arrow_map, discard, located, materialise, only, slices, text_of, text_test
+from quarry.llm.common import arrow_map, discard, join_by_size, located, materialise, only, slices, text_of, text_test
 
 SAMPLE_TOXIC = 4_000
 SAMPLE_CLEAN = 8_000
@@ -161,13 +161,17 @@ def _labelled(texts: DataFrame, labels: DataFrame, place: list[str], id_col: str
 def _sample(texts: DataFrame, labelled: DataFrame, place: list[str], most: dict[int, int]) -> DataFrame:
     """(y, lang, held, text) of the labelled documents that are first by (rank in their language and class, hash); ``held`` is the size of these."""
     held = labelled.groupBy("lang", "toxic").agg(F.count("*").alias("held"))
+    rows = join_by_size(labelled, held, ["lang", "toxic"], "held", labelled.count())
+    spot = F.xxhash64("id") / 2.0**64 + 0.5  # even between 0 and 1
     chosen = None
     for toxic, n in most.items():
+        # of a large language only hashes below about twice the rows that are wanted are ranked
+        part = rows.filter((F.col("toxic") == toxic) & (spot * F.col("held") <= 2 * n + 100))
         rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", *place))
-        part = labelled.filter(F.col("toxic") == toxic).withColumn("rank", rank).filter(F.col("rank") <= n)
+        part = part.withColumn("rank", rank).filter(F.col("rank") <= n)
         part = part.orderBy("rank", F.xxhash64("id"), "id", *place).limit(n).drop("rank")
         chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = chosen.join(held, ["lang", "toxic"]).select(*place, "y", "held")
+    chosen = chosen.select(*place, "y", "held")
     return texts.join(F.broadcast(chosen), place).select("y", "lang", "held", "text")  # at most sum(most) rows
 
 

@@ -7,13 +7,15 @@ nothing, are cut further into the pieces that the file's pre-tokenizer makes of
 them; other texts only at spaces and line ends. Each distinct piece goes through
 the library once and is then taken from a cache of bounded size.
 
-This holds for tokenizers that lower-case and split as ``word_bpe_49k.json`` does;
-``tests/llm`` compares it with the library on random texts.
+This holds for files whose rules are those in ``_RULES``; that is read from the file.
+With any other file every text goes to the library as it is. ``tests/llm`` compares
+both with the library on random texts.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -34,6 +36,21 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-zß-
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
+#: Rules of the files for which words may be encoded one by one (fixed values).
+_RULES = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
 #: Before a word that the library has to see whole; no piece starts with it.
 _WHOLE = "\n"
 
@@ -65,6 +82,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._lib = Tokenizer.from_file(path)
+        rules = json.loads(self._lib.to_str())
+        added = [t for t in rules["added_tokens"] if t["normalized"] or t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"])]
+        self.by_words = not added and all(rules[k] == v for k, v in _RULES.items())
         self._most = cache_pieces
         self._added = [t.content for t in self._lib.get_added_tokens_decoder().values()]
         self._numbers = _Numbers()
@@ -99,10 +119,9 @@ class WordEncoder:
         fresh.clear()
 
     def _forget(self) -> None:
-        """Drop the pieces beyond the cache's size."""
-        while len(self._numbers) > self._most:
-            self._numbers.popitem()
-        self._learned = len(self._numbers)
+        """Empty a cache that is full; what is frequent comes back with the next texts."""
+        self._numbers.clear()
+        self._learned = 0
 
     def _encode(self, pieces: list[str], counts: list[int]) -> list[np.ndarray]:
         """The ids of texts that have ``counts`` of the pieces each."""
@@ -126,6 +145,8 @@ class WordEncoder:
 
     def ids(self, text: str) -> np.ndarray:
         """All ids of a text, without special tokens."""
+        if not self.by_words:
+            return self._plain([text])[0]
         parts = []
         for part in _slices(text.replace("\n", " ")):
             pieces = self._cut(part)
@@ -134,6 +155,8 @@ class WordEncoder:
 
     def batch(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text; many short texts share one lookup."""
+        if not self.by_words:
+            return self._plain(texts)
         collecting = gc.isenabled()
         gc.disable()  # millions of short-lived objects, none in a cycle
         try:
@@ -142,6 +165,9 @@ class WordEncoder:
             if collecting:
                 gc.enable()
 
+    def _plain(self, texts: Sequence[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self._lib.encode_batch_fast(list(texts), add_special_tokens=False)]
+
     def _batch(self, texts: Sequence[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         pieces: list[str] = []

@@ -199,6 +199,62 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_that_do_not_converge(spark, monkeypatch):
+    monkeypatch.setattr("quarry.llm.components.MAX_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long"))
+
+
+def test_clashing_columns(spark, special):
+    names = ["__id", "__own", "__sha", "__one", "__key", "file", "At", "_file", "row", "word", "bitmap", "flag", "place", "_metadata", "text_key"]
+    docs = special.select("doc_id", "text", *[F.lit(n).alias(n) for n in names])
+    for left in (exact_dedup.drop_copies(docs), ngram_join.drop_similar(docs)):
+        rows = left.collect()
+        assert left.columns == docs.columns and rows
+        assert all(r[n] == n for r in rows for n in names)
+
+
+def test_many_rows_with_one_id_and_text(spark):
+    docs = spark.range(0, 100_000, 1, 6).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text of seven words in all").alias("text"))
+    for left in (exact_dedup.drop_copies(docs), ngram_join.drop_similar(docs)):
+        assert left.count() == 1
+    assert ngram_join.similar_documents(docs).filter("n_links = 99999 AND class_size = 100000").count() == 100_000
+
+
+def test_join_in_blocks_of_few_ngrams(spark):
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(3000)}" for _ in range(250)]
+    rows = [near(rng, base, e) for e in (0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 6)] + [" ".join(base)] * 2
+    check_join(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), block_grams=600)
+
+
+def test_bitmaps_and_places(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 3000, 1, 3).withColumn("v", F.col("id") % 7).write.parquet(path)
+    table = spark.read.parquet(path)
+    keys = table.filter("id % 11 = 0").select("id")
+    flagged = common.among(table, ["id"], keys, "f").filter("f")
+    assert flagged.columns == ["id", "v", "f"] and keys.count() <= flagged.count() < 1.2 * keys.count()
+    assert flagged.join(keys, "id").count() == keys.count()
+    assert sorted(r.id for r in common.without(table, ["id"], keys).collect()) == [i for i in range(3000) if i % 11]
+    assert common.without(table, ["id"], keys.limit(0)).count() == 3000
+    placed, *where = common.located(table, True)
+    assert placed.select(*where).distinct().count() == 3000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # other partitions, the same places
+    try:
+        again, *_ = common.located(spark.read.parquet(path), True)
+        assert placed.join(again, [*where, "id"]).count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_join_salted(spark):
+    facts = spark.range(5000).select((F.col("id") % 2).alias("k"), "id", F.lit(2500).cast("long").alias("n"))
+    dim = facts.groupBy("k").agg(F.max("id").alias("m"), F.max("n").alias("n"))
+    got = common.join_salted(facts, dim, "k", "n", "id")
+    assert got.count() == 5000 and got.filter("m % 2 <> k").count() == 0
+
+
 def test_join_by_size(spark):
     facts = spark.createDataFrame([(i % 3, i) for i in range(6000)], "k long, v long")
     dim = facts.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))

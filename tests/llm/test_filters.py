@@ -3,6 +3,9 @@
 import hashlib
 import os
 import random
+import re
+import zlib
+from html import unescape
 from zlib import crc32
 
 import numpy as np
@@ -195,6 +198,65 @@ def test_png_round_trip(content):
         media.from_png(image[:40] + bytes([image[40] ^ 1]) + image[41:])
 
 
+def read_png(image):
+    """Another reader: (width, height, samples) of an 8-bit grayscale image, all line filters that PNG has but for Paeth."""
+    assert image[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, body, size = 8, b"", None
+    while at < len(image):
+        n = int.from_bytes(image[at : at + 4], "big")
+        kind, data = image[at + 4 : at + 8], image[at + 8 : at + 8 + n]
+        assert int.from_bytes(image[at + 8 + n : at + 12 + n], "big") == crc32(kind + data)
+        if kind == b"IHDR":
+            size = int.from_bytes(data[:4], "big"), int.from_bytes(data[4:8], "big")
+            assert data[8:] == bytes([8, 0, 0, 0, 0])
+        body += data if kind == b"IDAT" else b""
+        at += 12 + n
+    assert kind == b"IEND"
+    raw, out, above = zlib.decompress(body), [], bytes(size[0])
+    for y in range(size[1]):
+        how, line = raw[y * (size[0] + 1)], bytearray(raw[y * (size[0] + 1) + 1 : (y + 1) * (size[0] + 1)])
+        for x in range(size[0]):
+            left = line[x - 1] if x else 0
+            line[x] = (line[x] + {0: 0, 1: left, 2: above[x], 3: (left + above[x]) // 2}[how]) % 256
+        above = bytes(line)
+        out.append(above)
+    assert len(raw) == size[1] * (size[0] + 1)
+    return *size, b"".join(out)
+
+
+def test_png_with_another_reader():
+    for content in (b"", b"a", bytes(range(256)) * 3, "日本語 text".encode() * 50):
+        payload = media.pad(content)
+        assert read_png(media.to_png(payload)) == (64, len(payload) // 64, payload)
+
+
+MALFORMED = [
+    "<![foo[bar]]>x", "<![", "<![CDATA[a]]>b", "<!", "<!-", "<!-- open", "<", "</", "<p", "<p a='", "<img src=x alt=\"y", "</p></figure></x>", "<figure><img src=a>", "<figcaption>c", "&#xffffffff; &bogus; &", "<!DOCTYPE [<!ELEMENT a>]>t", "<script>never closed",
+]
+
+
+def test_malformed_pages(spark):
+    rows = list(enumerate(MALFORMED))
+    got = {r.page_id: r["items"] for r in media.interleave(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert len(got) == len(rows) and got[0][0].text == "x" and got[12][0].ref == "a"
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "!", "[", "]", "-", "--", "/", "?", "&", "#", ";", "p", "img ", "src=", "'", '"', "figure", "CDATA", "doctype", "x "]), max_size=25).map("".join))
+def test_parse_bears_anything(html):
+    items = media.parse(html)
+    assert [i["position"] for i in items] == list(range(len(items)))
+
+
+def test_payloads_are_stored_once(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i % 5}") for i in range(3000)], "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(media, "scratch", lambda spark, kind: str(tmp_path / kind))
+    rows = media.documents_as_media(docs).collect()
+    assert len(rows) == 3000 and len({r.media_sha256 for r in rows}) == 5
+    stored = spark.read.parquet(str(tmp_path / "media"))
+    assert stored.count() == stored.select("digest").distinct().count() == 5
+
+
 def test_media(spark, special, nothing):
     rows = media.documents_as_media(special).collect()
     assert len(rows) == special.count()
@@ -215,3 +277,46 @@ def test_interleave_pages(spark):
     rows = media.interleave(pages).collect()
     assert len(rows) == pages.count() and all([i.position for i in r["items"]] == list(range(len(r["items"]))) for r in rows)
     assert not any("track(" in (i.text or "") for r in rows for i in r["items"])
+
+
+@needs_data
+def test_interleaved_pages_against_brute_force(spark):
+    """The pages' markup is plain enough for a few regular expressions."""
+    from quarry.llm.queries import interleaved_pages
+
+    blocks = r"p|div|article|h1|li|ul|br|footer"
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        html = re.sub(r"(?s)<(script|style|title)>.*?</\1>|<!--.*?-->|<!DOCTYPE[^>]*>", "", r.html or "")
+        html = re.sub(rf"</?(?:{blocks})(?: [^>]*)?>", "\0", html)
+        want = [" ".join(x.split()) for x in re.sub(r"<[^>]*>", "", html).split("\0")]
+        assert [i["text"] for i in media.parse(r.html)] == [unescape(x) for x in want if x], r.page_id
+    assert interleaved_pages(spark, "/root/testdata/sf0.001").columns == ["page_id", "position", "kind", "text", "ref", "caption"]
+
+
+@needs_data
+def test_scores_against_brute_force(spark):
+    """op2 and op4 recomputed from the fitted weights, thresholds and dictionaries."""
+    import zstandard
+
+    small = os.path.dirname(DATA) + "/sf0.001"
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    model = toxicity.fit(docs, labels, from_files=True)
+    assert model.weights
+    for r in toxicity.score(docs, model).collect():
+        counts = {}
+        for word in re.findall(r"\w+", texts[r.doc_id].lower()):
+            for feature in [word] + [word[:k] + "-" for k in (4, 5, 6, 7) if len(word) > k]:
+                counts[feature] = counts.get(feature, 0) + 1
+        eta = sum((1 + np.log(n)) * model.weights[f] for f, n in counts.items() if f in model.weights)
+        p = 1 / (1 + np.exp(-np.clip(eta - model.thresholds, -40, 40)))
+        assert abs(r.expected_severity - p.sum()) < 1e-9 and r.toxic == (p[0] >= 0.5) and r.grade == (p >= 0.5).sum()
+    model = quality.fit(docs, labels)
+    assert model.good and model.bad
+    for r in quality.score(docs, model).collect():
+        content, total = texts[r.doc_id].encode(), []
+        for own in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(own), write_content_size=False, write_checksum=False, write_dict_id=False)
+            total.append(sum(len(c.compress(content[i : i + 512])) for i in range(0, max(1, len(content)), 512)))
+        x = model.intercept + model.slope * (total[1] - total[0]) / max(total) + model.shrink_slope * (np.log(min(total) / len(content)) if content else 0)
+        assert abs(r.score - 1 / (1 + np.exp(-x))) < 1e-9 and r.predicted == (r.score >= 0.7)

@@ -206,7 +206,7 @@ def test_rollup(spark, special, nothing, tmp_path):
     docs |= {2: ("a b c", "en", "t"), 99: ("new", "en", "t")}
     assert total() == want(docs)
     rollup.delete("c", spark.createDataFrame([(3,), (3,), (12345,), (None,)], "doc_id long"))
-    del docs[3], docs[None]
+    del docs[3]  # no id finds the row without one
     assert total() == want(docs)
     rollup.upsert("d", token_rollup.count_tokens(nothing, counters, columns))
     assert total() == want(docs)
@@ -233,3 +233,120 @@ def test_rollup_query_with_real_tokenizers(spark):
             docs[r.source, r.lang, name] += 1
     got = op9_token_rollup(spark, "/root/testdata/sf0.001").collect()
     assert {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in got} == {k: (docs[k], want[k]) for k in docs}
+
+
+def test_rollup_counts_every_row_without_an_id(spark, tmp_path):
+    rows = [(None, "a b", "en", "s"), (None, "a b", "en", "s"), (None, "c", "en", "s"), (1, "x", "en", "s"), (1, "x", "en", "s"), (1, "y z", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    rollup = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
+    counts = token_rollup.count_tokens(docs, {}, {"words": F.size(F.split("text", " "))})
+    rollup.upsert("a", counts)
+    assert [(r.docs, r.tokens) for r in rollup.totals().collect()] == [(5, 2 + 2 + 1 + 1 + 2)]
+    rollup.upsert("b", counts.filter("doc_id = 1").withColumn("tokens", F.lit(7).cast("long")).limit(1))
+    assert [(r.docs, r.tokens) for r in rollup.totals().collect()] == [(4, 5 + 7)]
+
+
+def test_rollup_has_one_writer(spark, tmp_path):
+    rollup = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
+    with rollup._writing(), pytest.raises(RuntimeError, match="another writer"):
+        token_rollup.TokenRollup(spark, str(tmp_path / "r")).delete("x", spark.range(1).withColumnRenamed("id", "doc_id"))
+    assert rollup.delete("x", spark.range(1).withColumnRenamed("id", "doc_id"))
+
+
+def test_other_tokenizer_files_go_through_the_library(tmp_path):
+    from tokenizers import models, normalizers, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"It's": 0, "?": 1, "12": 2, "A": 3}, unk_token="?"))
+    other.pre_tokenizer, other.normalizer = pre_tokenizers.WhitespaceSplit(), normalizers.NFC()
+    path = str(tmp_path / "other.json")
+    other.save(path)
+    texts = ["It's 12 A a", "", "x" * 50]
+    assert [x.tolist() for x in wordtok.WordEncoder(path).batch(texts)] == [other.encode(t).ids for t in texts]
+    assert wordtok.WordEncoder(path).ids(texts[0]).tolist() == other.encode(texts[0]).ids
+    assert _encoder(100_000).by_words
+
+
+def test_other_patterns_are_not_cut():
+    pattern = r"\w+|[^\w\s]+[\r\n ]*|\s+"
+    enc = bpe.encoding(tokenizer_path(RANKS), pattern)
+    text = "one, \n\n two. \n three! " * 40
+    assert bpe.encode(enc, text, 10).tolist() == enc.encode_ordinary(text)
+    assert public_tokenizers.PATTERN in bpe.SAFE_PATTERNS
+
+
+def test_very_long_texts(spark):
+    """Beyond the sizes at which texts are cut, one of them without a space."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(9999)}" for _ in range(200_000)), "ab1" * 120_000]
+    assert len(texts[0]) > wordtok.SLICE_CHARS and len(texts[1]) > bpe.SPLIT_CHARS
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [ids_of(t) for t in texts]
+    pieces = packing.pack_documents(docs, PATH).collect()
+    assert all(crc(ids[r.doc_id][r.start : r.start + r.length]) == r.ids_crc32 for r in pieces)
+    assert Counter({r.doc_id: r.doc_tokens for r in pieces}) == {i: len(x) for i, x in enumerate(ids)}
+    enc = bpe.encoding(tokenizer_path(RANKS), public_tokenizers.PATTERN)
+    for r in bpe.encode_documents(docs, tokenizer_path(RANKS), public_tokenizers.PATTERN).collect():
+        want = np.array(enc.encode_ordinary(texts[r.doc_id]), "<u4")
+        assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(want.tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_token_store_skips_row_groups(spark, tmp_path):
+    path = str(tmp_path / "ids")
+    docs = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        token_store.write_ids(docs, path, PATH)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    (file,) = [f"{path}/{f}" for f in os.listdir(path) if f.endswith(".orc")]
+    jvm = spark._jvm
+    orc_file = jvm.org.apache.orc.OrcFile
+    reader = orc_file.createReader(jvm.org.apache.hadoop.fs.Path(file), orc_file.readerOptions(spark._jsc.hadoopConfiguration()))
+    rows = reader.rows()
+    kinds = {str(s.getKind()) for s in rows.readStripeFooter(reader.getStripes().get(0)).getStreamsList()}
+    rows.close()
+    assert "ROW_INDEX" in kinds and "BLOOM_FILTER_UTF8" in kinds
+    plan = spark.read.schema(token_store.SCHEMA).orc(path).filter("doc_id = 4321")._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    leaf = plan.collectLeaves().head()
+    assert leaf.metrics().get("numOutputRows").get().value() == token_store.ROW_INDEX
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data here")
+def test_registered_queries_by_their_contracts(spark):
+    """op1, op5, op6 and op8 on the smallest tables, against the libraries."""
+    from quarry.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    ids = {i: ids_of(t) for i, t in docs}
+    whole: dict = {}
+    windows: dict = {}
+    for r in QUERIES["op1_packing"](spark, sf).collect():
+        assert crc(ids[r.doc_id][r.start : r.start + r.length]) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        whole.setdefault(r.doc_id, []).append((r.start, r.length))
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces, most in [(p, len(ids[i])) for i, p in whole.items()] + [(w, None) for w in windows.values()]:
+        at = 0
+        for start, n in sorted(pieces):
+            assert start == at
+            at += n
+        assert at == most if most else at <= 4096
+    assert whole.keys() == ids.keys()
+    at, want = 0, []
+    for i, _ in docs:
+        want.append((i, at, len(ids[i]), crc(ids[i])))
+        at += len(ids[i])
+    assert sorted(map(tuple, QUERIES["op5_token_store"](spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
+    enc = bpe.encoding(tokenizer_path(RANKS), public_tokenizers.PATTERN)
+    for r in QUERIES["op6_byte_bpe"](spark, sf).collect():
+        own = np.array(enc.encode_ordinary(dict(docs)[r.doc_id]), "<u4")
+        assert (r.n_tokens, r.ids_sha256) == (len(own), hashlib.sha256(own.tobytes()).hexdigest())
+    media = {r.doc_id: r for r in QUERIES["op8_media"](spark, sf).collect()}
+    assert media.keys() == ids.keys()
+    for i, t in docs:
+        content = t.encode()
+        payload = content + bytes(-len(content) % 64 or (0 if content else 64))
+        r = media[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(content), len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-64:]))
