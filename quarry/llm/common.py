@@ -21,8 +21,8 @@ HOT_SHARE = 1 / 1000
 SLICE_BYTES = 4 << 20
 #: A set of keys is sent to the executors as at most so many bits (64 MB).
 MAX_BITS = 1 << 29
-#: Bits of one bitmap row of Spark's bitmap functions (fixed value).
-_BITMAP = 1 << 15
+#: Long columns of one row of such a bitmap.
+_WORDS = 8
 #: Facts that meet one copy of a dimension row in :func:`join_salted`.
 SALT_ROWS = 1000
 
@@ -130,16 +130,21 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
-def text_test(test: Callable[[list], list], text: Column) -> Column:
-    """``test`` of lists of texts (null: empty), as a boolean column; only the text goes to Python."""
+def keep_rows(df: DataFrame, text_col: str, test: Callable[[list], list]) -> DataFrame:
+    """The rows of ``df`` for whose text (null: empty) ``test`` of a list of texts says true.
 
-    @F.arrow_udf("boolean")
-    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    Whole rows go through Python in slices, so that no queue holds them in between.
+    """
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = slices(pa.RecordBatch.from_arrays([batch], names=["text"]), 2000)
-            yield pa.array([x for part in parts for x in test(part.column(0).to_pylist())], pa.bool_())
+            for part in slices(batch, 2000):
+                kept = part.filter(pa.array(test([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
+                if kept.num_rows:
+                    yield kept
 
-    return held(F.coalesce(text, F.lit("")))
+    return df.mapInArrow(run, df.schema)
 
 
 def located(docs: DataFrame, from_files: bool) -> tuple[DataFrame, str, str]:
@@ -168,18 +173,24 @@ def located(docs: DataFrame, from_files: bool) -> tuple[DataFrame, str, str]:
 def among(df: DataFrame, on: Sequence[str], keys: DataFrame, flag: str) -> DataFrame:
     """``df`` with a boolean ``flag``: true for each row whose key is in ``keys``, and for few others.
 
-    The keys' hashes are broadcast as bitmaps of 32 bits a key, MAX_BITS at most:
-    with more keys than that the flag says less, and never anything wrong. A join
-    for which it says yes shuffles little else than the rows that it keeps.
+    The keys' hashes are broadcast as a bitmap of 32 bits a key, MAX_BITS at most, in
+    rows of _WORDS long columns: with more keys than that the flag says less, and
+    never anything wrong. A join for which it says yes shuffles little else than the
+    rows that it keeps.
     """
     bits = 1 << max(15, min(MAX_BITS.bit_length() - 1, (32 * keys.count()).bit_length()))
-    word, place, bitmap = fresh(df, "word", "place", "bitmap")
-    h = F.pmod(F.xxhash64(*on), F.lit(bits))
-    maps = keys.select(h.alias("h")).groupBy(F.shiftright("h", 15).alias(word)).agg(F.bitmap_construct_agg(F.col("h") % _BITMAP).alias(bitmap))
-    rows = df.withColumn(word, F.shiftright(h, 15)).withColumn(place, (h % _BITMAP).cast("int"))
-    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    found = F.coalesce(F.getbit(byte, F.col(place) % 8) == 1, F.lit(False))
-    return rows.join(F.broadcast(maps), word, "left").withColumn(flag, found).drop(word, place, bitmap)
+    line, h, *words = fresh(df, "line", "h", *(f"word{i}" for i in range(_WORDS)))
+    hashed = F.pmod(F.xxhash64(*on), F.lit(bits))
+    width = 64 * _WORDS
+    word = F.floor(F.col(h) % width / 64)
+    bit = F.expr(f"shiftleft(1L, cast(`{h}` % 64 as int))")
+    maps = keys.select(hashed.alias(h)).groupBy(F.floor(F.col(h) / width).alias(line)).agg(*[F.bit_or(F.when(word == i, bit)).alias(w) for i, w in enumerate(words)])
+    rows = df.withColumn(h, hashed).withColumn(line, F.floor(F.col(h) / width)).join(F.broadcast(maps), line, "left")
+    own = F.lit(None).cast("long")
+    for i, w in enumerate(words):
+        own = F.when(word == i, F.col(w)).otherwise(own)
+    found = F.coalesce(F.getbit(own, (F.col(h) % 64).cast("int")) == 1, F.lit(False))
+    return rows.withColumn(flag, found).drop(line, h, *words)
 
 
 def only(df: DataFrame, on: Sequence[str], keys: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quarry.llm.common import arrow_map, discard, materialise, text_of, text_test
+from quarry.llm.common import arrow_map, discard, keep_rows, materialise, text_of
 
 DICTIONARY_DOCUMENTS = 1_500
 CALIBRATION = 1_500
@@ -179,6 +179,10 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     return arrow_map(source, f"{id_col} long, held_out boolean, score double, predicted int", rows, arrow)
 
 
-def is_good(model: QualityModel, text: Column, accept_at: float = ACCEPT_AT) -> Column:
-    """Whether a text (null: empty) is good enough, as a column; whole texts of any length are read."""
-    return text_test(lambda texts: [model.score(t) >= accept_at for t in texts], text)
+def drop_poor(docs: DataFrame, model: QualityModel, text_col: str = "text", accept_at: float = ACCEPT_AT) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is ``accept_at`` or more.
+
+    Null is empty, whole texts of any length are read, equal texts go or stay
+    together, an empty table stays empty.
+    """
+    return keep_rows(docs, text_col, lambda texts: [model.score(t) >= accept_at for t in texts])

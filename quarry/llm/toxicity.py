@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from xxhash import xxh3_64_intdigest
 
-from quarry.llm.common import arrow_map, discard, join_by_size, located, materialise, only, slices, text_of, text_test
+from quarry.llm.common import arrow_map, discard, join_by_size, keep_rows, located, materialise, only, slices, text_of
 
 SAMPLE_TOXIC = 4_000
 SAMPLE_CLEAN = 8_000
@@ -45,7 +45,7 @@ MIN_DOCUMENTS, MIN_Z, MAX_WORDS = 3, 3.0, 16_384
 #: Weight of the squared weights, and steps of the fit.
 RIDGE, STEPS = 1e-5, 600
 #: A task hands on its counts of features when one language has more than so many.
-MAX_HELD = 300_000
+MAX_HELD = 160_000
 
 _WORD = re.compile(r"\w+")
 #: Odd numbers that mix the hashes of a word triple.
@@ -299,6 +299,10 @@ def score(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text_co
     return arrow_map(source, f"{id_col} long, expected_severity double, grade int, toxic_probability double, toxic boolean", rows, arrow)
 
 
-def is_clean(model: SeverityModel, text: Column, reject_at: float = 0.5) -> Column:
-    """Whether a text (null: empty) is not toxic, as a column; whole texts of any length are read."""
-    return text_test(lambda texts: [not len(p) or bool(p[0] < reject_at) for p in map(model.at_least, texts)], text)
+def drop_toxic(docs: DataFrame, model: SeverityModel, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text :func:`score` doesn't call toxic.
+
+    Null is empty, whole texts of any length are read, equal texts go or stay
+    together, an empty table stays empty.
+    """
+    return keep_rows(docs, text_col, lambda texts: [not len(p) or bool(p[0] < reject_at) for p in map(model.at_least, texts)])

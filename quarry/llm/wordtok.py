@@ -23,7 +23,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Pieces kept per worker process (about 150 bytes each).
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 #: Characters handled at a time, so that a very long text stays cheap.
 SLICE_CHARS = 1_000_000
 
@@ -91,6 +91,7 @@ class WordEncoder:
         self._pool = np.zeros(1 << 16, np.uint32)
         self._ends = np.zeros(1 << 14, np.int64)  # item i + 1: the end of piece i in the pool
         self._learned = 0
+        self._gone = 0
 
     def _look_up(self, pieces: list[str]) -> list[list[int]]:
         """Ids from the library: by its model alone where the steps before it change nothing."""
@@ -119,9 +120,18 @@ class WordEncoder:
         fresh.clear()
 
     def _forget(self) -> None:
-        """Empty a cache that is full; what is frequent comes back with the next texts."""
-        self._numbers.clear()
-        self._learned = 0
+        """Make room in a cache that is full.
+
+        The first pieces, which are the frequent ones, stay and the newest go; when
+        ten times the cache has gone that way the texts may have changed, and all go.
+        """
+        self._gone += len(self._numbers) - self._most
+        if self._gone > 10 * self._most:
+            self._numbers.clear()
+            self._gone = 0
+        while len(self._numbers) > self._most:
+            self._numbers.popitem()
+        self._learned = len(self._numbers)
 
     def _encode(self, pieces: list[str], counts: list[int]) -> list[np.ndarray]:
         """The ids of texts that have ``counts`` of the pieces each."""

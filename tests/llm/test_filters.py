@@ -46,7 +46,7 @@ def test_toxicity_on_held_out_labels(spark):
     assert found[1, True] / (found[1, True] + found.get((1, False), 0)) > 0.85
     assert found.get((0, True), 0) / found[0, False] < 0.01
     assert (np.diff(model.thresholds) > 0).all()
-    clean = docs.filter(toxicity.is_clean(model, F.col("text"))).count()
+    clean = toxicity.drop_toxic(docs, model).count()
     assert clean == toxicity.score(docs, model).filter("not toxic").count()
 
 
@@ -56,7 +56,7 @@ def test_toxicity_special(spark, special, nothing):
         rows = toxicity.score(special, model).collect()
         assert len(rows) == special.count() and all(0 <= r.expected_severity <= 3 for r in rows)
         assert toxicity.score(nothing, model).count() == 0
-    assert special.filter(toxicity.is_clean(toxicity.SeverityModel(), F.col("text"))).count() == special.count()
+    assert toxicity.drop_toxic(special, toxicity.SeverityModel()).count() == special.count()
 
 
 def test_toxicity_takes_grades(spark):
@@ -109,7 +109,7 @@ def test_quality_on_held_out_labels(spark):
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.95
     good = [r for r in rows if r.quality == 1]
     assert sum(r.predicted for r in good) / len(good) > 0.97
-    assert docs.filter(quality.is_good(model, F.col("text"))).count() == quality.score(docs, model).filter("predicted = 1").count()
+    assert quality.drop_poor(docs, model).count() == quality.score(docs, model).filter("predicted = 1").count()
     again = quality.fit(docs.repartition(7), labels.repartition(3))
     assert (again.good, again.bad, again.slope) == (model.good, model.bad, model.slope)
 
