@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarry.llm import exact_dedup, ngram_join, packing, quality, toxicity
 from quarry.llm.common import delete_scratch, scratch, temporary_scratch
@@ -28,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows go or stay together; without labels all rows stay.
     """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), from_files=True)
-    return docs.filter(toxicity.is_clean(model, F.col("text")))
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +38,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels), and all go if that is below the acceptance score.
     """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.filter(quality.is_good(model, F.col("text")))
+    return quality.drop_poor(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
