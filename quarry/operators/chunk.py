@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from quarry.functions.scalars import count_newlines, lines, message_text, trim_unicode
 
 BREAK = "\n\n"
+#: Between a line and its number; texts may hold it, too.
+_MARK = "\x01"
 
 
 def paragraph_array(body: Column) -> Column:
@@ -24,27 +26,32 @@ def chunk_paragraphs(docs: DataFrame, id_col: str = "id", body_col: str = "body"
     ).select("doc_id", F.col("i").alias("line_start"), F.col("i").alias("line_end"), "text", "doc_path")
 
 
+def _numbered_paragraphs(body: Column) -> Column:
+    """array of (line_start, line_end, text).
+
+    Each line that isn't empty gets its number in front before the text is cut into
+    paragraphs, so that no count has to run along; the numbers are taken out again.
+    """
+    marked = F.transform(F.split(body, "\n", -1), lambda x, i: F.when(x != "", F.concat(i.cast("string"), F.lit(_MARK), x)).otherwise(x))
+    parts = F.filter(F.split(F.array_join(marked, "\n"), BREAK, -1), lambda p: (p != "") & (p != "\n"))
+    # an odd line end between two paragraphs is at the start of the second
+    first = lambda p: F.regexp_extract(p, f"^\n?([0-9]+){_MARK}", 1).cast("int")
+    plain = lambda p: F.ltrim(F.regexp_replace(p, f"(?md)^[0-9]+{_MARK}", ""), F.lit("\n"))
+    cut = F.transform(parts, lambda p: F.struct(first(p).alias("at"), plain(p).alias("part")))
+    trimmed = F.transform(cut, lambda c: F.struct((c["at"] + count_newlines(F.regexp_extract(c["part"], r"(?U)^(\s*)", 1))).cast("int").alias("start"), trim_unicode(c["part"]).alias("text")))
+    chunks = F.transform(trimmed, lambda c: F.struct(c["start"].alias("line_start"), (c["start"] + count_newlines(c["text"])).cast("int").alias("line_end"), c["text"].alias("text")))
+    return F.filter(chunks, lambda c: c["text"] != "")
+
+
 def chunk_markdown(docs: DataFrame, id_col: str = "id", body_col: str = "body", path_col: str = "path", title_col: str | None = None) -> DataFrame:
     """The same paragraphs with their true 0-based line range.
 
     A document without a paragraph gives one chunk that holds its title (the file
-    name unless ``title_col`` is given). The running line count is folded over the
-    paragraphs inside the row, so there is no shuffle.
+    name unless ``title_col`` is given). It all happens inside the row, without a
+    shuffle and in time proportional to the text.
     """
     title = F.col(title_col) if title_col else F.element_at(F.split(F.col(path_col), "/"), -1)
-    parts = F.split(F.col(body_col), BREAK, -1)
-    empty = F.array().cast("array<struct<line_start:int,line_end:int,text:string>>")
-
-    def step(acc: Column, part: Column) -> Column:
-        text = trim_unicode(part)
-        lead = F.regexp_extract(part, r"(?U)^(\s*)", 1)
-        start = (acc["at"] + count_newlines(lead)).cast("int")
-        chunk = F.struct(start.alias("line_start"), (start + count_newlines(text)).cast("int").alias("line_end"), text.alias("text"))
-        found = F.when(text != "", F.concat(acc["found"], F.array(chunk))).otherwise(acc["found"])
-        return F.struct((acc["at"] + count_newlines(part) + 2).cast("int").alias("at"), found.alias("found"))
-
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    found = F.aggregate(parts, start, step, lambda acc: acc["found"])
+    found = _numbered_paragraphs(F.col(body_col))
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("doc_path"), found.alias("found"), _whole(title).alias("whole"))
     out = out.select("doc_id", "doc_path", F.inline(F.when(F.size("found") > 0, F.col("found")).otherwise(F.col("whole"))))
     return out.select("doc_id", "line_start", "line_end", "text", "doc_path")

@@ -101,3 +101,11 @@ def test_path_uuid_matches_python(spark, tmp_path):
 
     df = spark.createDataFrame([(str(tmp_path),)], "p string")
     assert df.select(scalars.path_uuid(F.col("p"))).first()[0] == str(workspace_id(tmp_path))
+
+
+def test_markdown_of_very_many_paragraphs(spark):
+    """In time proportional to the text; lines that look like numbered ones stay as they are."""
+    body = "\n\n".join(f"{i}\x01 line\n{i}\x01" for i in range(200_000))
+    rows = chunk.chunk_markdown(spark.createDataFrame([(1, body, "/a.md")], "id long, body string, path string")).collect()
+    assert len(rows) == 200_000
+    assert all((r.line_start, r.line_end, r.text) == (3 * i, 3 * i + 1, f"{i}\x01 line\n{i}\x01") for i, r in enumerate(rows))
