@@ -129,8 +129,8 @@ def rfc3339(ts: Column) -> Column:
 
 
 def parse_floats(json: Column) -> Column:
-    """A JSON array of numbers as array<float>; anything else is null."""
-    return F.from_json(json, "array<float>")
+    """A JSON array of numbers as array<float>; anything else is an error, null stays null."""
+    return F.from_json(json, "array<float>", {"mode": "FAILFAST"})
 
 
 def ordered_embeddings(json: Column) -> Column:
@@ -141,7 +141,7 @@ def ordered_embeddings(json: Column) -> Column:
         F.size(data) > 0,
         F.transform(
             F.sequence(F.lit(0), last),
-            lambda i: F.coalesce(F.element_at(F.filter(data, lambda d: d["index"] == i), 1)["embedding"], F.array().cast("array<float>")),
+            lambda i: F.coalesce(F.get(F.filter(data, lambda d: d["index"] == i), F.lit(0))["embedding"], F.array().cast("array<float>")),
         ),
     ).otherwise(F.array().cast("array<array<float>>"))
 

@@ -68,3 +68,8 @@ def newest(records: DataFrame, incoming: DataFrame, key: str, time: str) -> Data
 def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys of ``a`` that ``b`` does not have."""
     return a.select(key).join(b.select(key), key, "left_anti")
+
+
+def with_documents(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """Hits or vectors (by doc_id) with their documents' columns (by id); those of unknown documents are left out."""
+    return hits.join(documents.withColumnRenamed("id", "doc_id"), "doc_id")

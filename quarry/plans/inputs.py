@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.chunk import chunk_markdown
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,6 +26,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), "text", _path().alias("doc_path"))
 
 
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of all documents as chunks: many in a file."""
+    return chunk_markdown(corpus(spark, sf_dir))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector with a document's number belongs to its chunk."""
     held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")

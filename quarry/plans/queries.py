@@ -51,7 +51,7 @@ CONTEXTS = """contexts AS (
   FROM records)"""
 
 
-def bm25_sql(phrases: list[str], condition: str = "", prefix: str = "") -> str:
+def bm25_sql(phrases: list[str], condition: str = "", prefix: str = "", held: str = CHUNKS) -> str:
     """CTEs up to ``scored``; {i} in the condition stands for "has phrase i"."""
     has = [f"contains(lower(text), '{p}')" for p in phrases]
     counts = ", ".join(f"count(*) FILTER (WHERE {h}) AS n_{i}" for i, h in enumerate(has))
@@ -61,7 +61,7 @@ def bm25_sql(phrases: list[str], condition: str = "", prefix: str = "") -> str:
     fs = ", ".join(f"CAST((length(text) - length(replace(lower(text), '{p}', ''))) / {len(p)} AS DOUBLE) AS f_{i}" for i, p in enumerate(phrases))
     where = (condition or " AND ".join("{%d}" % i for i in range(len(phrases)))).format(*has)
     under = f" AND starts_with(doc_path, '{prefix}')" if prefix else ""
-    return f"""{CHUNKS},
+    return f"""{held},
 stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(CAST(greatest(length(text) - 2, 0) AS DOUBLE)) AS avg_d, {counts} FROM chunks),
 scored AS (SELECT doc_id, line_start, line_end, text, doc_path, -({terms}) AS score FROM (
   SELECT *, CAST(greatest(length(text) - 2, 0) AS DOUBLE) AS d, {fs} FROM chunks WHERE ({where}){under}) CROSS JOIN stats)"""
@@ -106,6 +106,10 @@ markdown AS (
 """
 
 
+#: The paragraphs of all documents as chunks: many in a file.
+PARAGRAPHS = f"{CHK_PARTS}, chunks AS (SELECT * FROM markdown)"
+
+
 @query(
     "chk1_chunk_paragraphs",
     f"WITH {CHK_PARTS} SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS line_start, CAST(row_number() OVER w - 1 AS INTEGER) AS line_end, t AS text, doc_path "
@@ -217,18 +221,23 @@ def format_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.table(spark, sf_dir, "events").select("event_id", scalars.format_utc(F.col("ts")).alias("shown"))
 
 
-@query("sca17_parse_float_array", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings")
+@query("sca17_parse_float_array", "SELECT vec_id, CAST(unnest(generate_series(0, len(embedding) - 1)) AS INTEGER) AS i, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings")
 def parse_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = inputs.table(spark, sf_dir, "embeddings").select("vec_id", scalars.parse_floats(F.to_json("embedding")).alias("v"))
-    return held.select("vec_id", F.size("v").alias("n"), F.get("v", F.lit(0)).cast("double").alias("first"))
+    held = inputs.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(scalars.parse_floats(F.to_json("embedding"))).alias("i", "value"))
+    return held.withColumn("value", F.col("value").cast("double"))
 
 
-@query("sca18_ordered_embeddings", "SELECT vec_id, CAST(2 AS INTEGER) AS n, CAST(embedding[1] AS DOUBLE) AS at_0, CAST(embedding[2] AS DOUBLE) AS at_1 FROM embeddings")
+@query(
+    "sca18_ordered_embeddings",
+    """SELECT vec_id, CAST(0 AS INTEGER) AS slot, CAST(unnest(generate_series(0, len(embedding) - 1)) AS INTEGER) AS i, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings
+UNION ALL SELECT vec_id, CAST(2 AS INTEGER), CAST(unnest(generate_series(0, len(embedding) - 1)) AS INTEGER), CAST(unnest(list_reverse(embedding)) AS DOUBLE) FROM embeddings""",
+)
 def ordered_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An answer whose vectors come in the wrong order."""
-    item = lambda i: F.struct(F.lit(i).alias("index"), F.array(F.get("embedding", F.lit(i))).alias("embedding"))
-    held = inputs.table(spark, sf_dir, "embeddings").select("vec_id", scalars.ordered_embeddings(F.to_json(F.struct(F.array(item(1), item(0)).alias("data")))).alias("v"))
-    return held.select("vec_id", F.size("v").alias("n"), *[F.get(F.get("v", F.lit(i)), F.lit(0)).cast("double").alias(f"at_{i}") for i in (0, 1)])
+    """An answer whose vectors come in the wrong order and that lacks one: slot 1 stays empty."""
+    item = lambda i, v: F.struct(F.lit(i).alias("index"), v.alias("embedding"))
+    data = F.array(item(2, F.reverse("embedding")), item(0, F.col("embedding"))).alias("data")
+    held = inputs.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(scalars.ordered_embeddings(F.to_json(F.struct(data)))).alias("slot", "v"))
+    return held.select("vec_id", "slot", F.posexplode("v").alias("i", "value")).withColumn("value", F.col("value").cast("double"))
 
 
 @query("src11_read_file_range", "SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS text FROM documents")
@@ -280,13 +289,19 @@ def fts_match_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.bm25(inputs.chunks(spark, sf_dir), '("Apache License" OR idiot ab) NOT version').select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query("rnk1_fts_search_paragraph_files", f"WITH {bm25_sql(['the'], held=PARAGRAPHS)}, {files_sql()} SELECT id, path, round(score, 6) AS score FROM grouped")
+def fts_search_paragraph_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with several hits: fewer than the limit may be left of the chunks that are fetched."""
+    return rank.fts_files(inputs.paragraphs(spark, sf_dir), "the").select("id", "path", F.round("score", 6).alias("score"))
+
+
 @query(
     "agg4_group_by_file",
-    f"""WITH {bm25_sql(['license', 'the'])}, {files_sql()}
+    f"""WITH {bm25_sql(['the'], held=PARAGRAPHS)}, {files_sql()}
 SELECT g.id, g.path, round(g.score, 6) AS file_score, t.line_start, t.line_end, t.text, round(t.score, 6) AS score FROM grouped g JOIN grouped_top t ON t.doc_id = g.id""",
 )
 def group_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = rank.flat_hits(rank.fts_files(inputs.chunks(spark, sf_dir), TERMS))
+    hits = rank.flat_hits(rank.fts_files(inputs.paragraphs(spark, sf_dir), "the"))
     return hits.withColumn("file_score", F.round("file_score", 6)).withColumn("score", F.round("score", 6))
 
 
@@ -620,25 +635,25 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hits_with_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of a search with their documents' rows."""
     hits = rank.bm25(inputs.chunks(spark, sf_dir), "license").select("doc_id", "score")
-    held = inputs.stored_files(spark, sf_dir).select(F.col("id").alias("doc_id"), "path", F.col("length").alias("n_chars"))
-    return hits.join(held, "doc_id").select("doc_id", "path", "n_chars", F.round("score", 6).alias("score"))
+    held = inputs.stored_files(spark, sf_dir).select("id", "path", F.col("length").alias("n_chars"))
+    return changes.with_documents(hits, held).select("doc_id", "path", "n_chars", F.round("score", 6).alias("score"))
 
 
 @query("joi2_vectors_with_documents", f"WITH {VECTORS} SELECT v.doc_id, v.doc_path, d.n_chars FROM vectors v JOIN documents d ON d.doc_id = v.doc_id")
 def vectors_with_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = inputs.stored_files(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("length").alias("n_chars"))
-    return inputs.vectors(spark, sf_dir).join(held, "doc_id").select("doc_id", "doc_path", "n_chars")
+    held = inputs.stored_files(spark, sf_dir).select("id", F.col("length").alias("n_chars"))
+    return changes.with_documents(inputs.vectors(spark, sf_dir), held).select("doc_id", "doc_path", "n_chars")
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two short result lists that share files and hits."""
     held = inputs.chunks(spark, sf_dir)
     fts = rank.fts_files(held, "the", limit=20)
-    near = rank.group_by_file(rank.best(held.filter("doc_id < 40").withColumn("score", F.col("doc_id").cast("double")), 40), 20)
+    near = rank.group_by_file(rank.best(held.withColumn("score", F.col("doc_id").cast("double")), 40), 20)
     return fts, near
 
 
-_LISTS = f"{bm25_sql(['the'])}, {files_sql('scored', 100, 20, 'fts')}, low AS (SELECT *, CAST(doc_id AS DOUBLE) AS score FROM chunks WHERE doc_id < 40), {files_sql('low', 40, 20, 'semantic')}"
+_LISTS = f"{bm25_sql(['the'])}, {files_sql('scored', 100, 20, 'fts')}, low AS (SELECT *, CAST(doc_id AS DOUBLE) AS score FROM chunks), {files_sql('low', 40, 20, 'semantic')}"
 
 
 @query("joi7_rrf_full_join", f"WITH {_LISTS}, " + fused_sql(60.0, 1.0, 1.0, 40).replace("CAST(1 AS BIGINT) AS hits", "f.id IS NOT NULL AND s.id IS NOT NULL AS in_both"))
@@ -650,10 +665,20 @@ def rrf_full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.join(both, "path", "left").select("id", "path", F.round("score", 9).alias("score"), F.coalesce("in_both", F.lit(False)).alias("in_both"))
 
 
-@query("joi8_merge_hits", f"WITH {_LISTS} SELECT coalesce(f.id, s.id) AS id, CAST(0 AS INTEGER) AS line_start, CASE WHEN f.id IS NULL THEN 'semantic' ELSE 'fts' END AS source FROM fts f FULL JOIN semantic s ON f.path = s.path")
+@query(
+    "joi8_merge_hits",
+    f"""WITH {bm25_sql(['the'], held=PARAGRAPHS)}, {files_sql('scored', 100, 20, 'fts')}, near AS (SELECT *, CAST(abs(length(text) - 40) AS DOUBLE) AS score FROM chunks WHERE contains(lower(text), 'the')),
+{files_sql('near', 100, 20, 'semantic')},
+f AS (SELECT t.doc_id AS id, t.line_start, t.line_end FROM fts_top t JOIN fts g ON g.id = t.doc_id), s AS (SELECT t.doc_id AS id, t.line_start, t.line_end FROM semantic_top t JOIN semantic g ON g.id = t.doc_id)
+SELECT id, line_start, 'fts' AS source FROM f
+UNION ALL SELECT id, line_start, 'semantic' FROM s WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = s.id AND f.line_start = s.line_start AND f.line_end = s.line_end)""",
+)
 def merge_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hit of both lists is kept once, as the full-text hit."""
-    merged = rank.merge_ranked(*_lists(spark, sf_dir), limit=40)
+    """Files with several hits in each list; a hit of both lists is kept once, as the full-text hit."""
+    held = inputs.paragraphs(spark, sf_dir)
+    score = F.abs(F.length("text") - 40).cast("double")
+    near = rank.group_by_file(rank.best(held.filter(F.contains(F.lower("text"), F.lit("the"))).withColumn("score", score), 100), 20)
+    merged = rank.merge_ranked(rank.fts_files(held, "the", limit=20), near, limit=40)
     return merged.select("id", F.explode("chunks").alias("c")).select("id", "c.line_start", "c.source")
 
 
@@ -713,9 +738,7 @@ def store_upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def name_if_newer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A device's own name register takes a newer name; a null time is the oldest."""
-    r, c = inputs.device_records(spark, sf_dir).alias("r"), inputs.device_contexts(spark, sf_dir).alias("c")
-    newer = F.coalesce(F.col("c.updated_at") > F.col("r.updated_at"), F.lit(False))
-    return r.join(c, F.col("r.id") == F.col("c.id")).select("r.id", F.when(newer, F.col("c.name")).otherwise(F.col("r.name")).alias("name"))
+    return devices.newer_names(inputs.device_records(spark, sf_dir), inputs.device_contexts(spark, sf_dir))
 
 
 @query("dml8_registry_lines_sorted", f"WITH {DEVICES} SELECT CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS line, id FROM records")

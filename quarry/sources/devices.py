@@ -138,3 +138,10 @@ def merge_file(spark: SparkSession, path: str, context: dict, now: datetime) ->
 def record(line: str) -> dict:
     """One line of a registry as a dict."""
     return json.loads(line)
+
+
+def newer_names(records: DataFrame, contexts: DataFrame) -> DataFrame:
+    """id and name of the known devices that report: the newer name wins, and a null time is the oldest."""
+    r, c = records.alias("r"), contexts.alias("c")
+    newer = F.coalesce(F.col("c.updated_at") > F.col("r.updated_at"), F.lit(False))
+    return r.join(c, F.col("r.id") == F.col("c.id")).select("r.id", F.when(newer, F.col("c.name")).otherwise(F.col("r.name")).alias("name"))
