@@ -7,6 +7,7 @@ import os
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -80,14 +81,22 @@ def ollama_embedder(model: str, dimension: int, base: str = "http://localhost:11
     return Embedder(embed, dimension)
 
 
+@lru_cache(4)
+def _fastembed_model(model: str):
+    """The model, loaded once in a process."""
+    from fastembed import TextEmbedding
+
+    return TextEmbedding(model)
+
+
 def fastembed_embedder(model: str, dimension: int) -> Embedder:
     try:
-        from fastembed import TextEmbedding
+        import fastembed  # noqa: F401
     except ImportError as e:
         raise ValueError("the provider 'fastembed' needs the fastembed package") from e
 
     def embed(texts: list[str]) -> list[list[float]]:
-        return [v.tolist() for v in TextEmbedding(model).embed(texts)]
+        return [v.tolist() for v in _fastembed_model(model).embed(texts)]
 
     return Embedder(embed, dimension)
 

@@ -186,3 +186,15 @@ def test_stream(spark, tree, tmp_path):
     said = []
     watch_tree(Workspace(spark, tree, store_path=str(tmp_path / "store")), interval=0, cycles=2, log=said.append)
     assert names(store.documents(), tree) == [".hidden.md", "_u.md", "a.md", "log.jsonl", "sub/b.TXT"] and len(said) == 1
+
+
+def test_manifests_are_published_whole_and_once(spark, tmp_path):
+    a, b = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    a._publish("CURRENT-1.json", "{}")
+    with pytest.raises(Exception, match="CURRENT-1"):
+        b._publish("CURRENT-1.json", '{"files": "other"}')
+    assert a.manifest() == {} and not [f for f in os.listdir(a.path) if f.startswith("_aside")]
+    staged = [x.stage(spark.range(3)) for x in (a, b)]
+    a.clear_stage()
+    assert staged[1].count() == 3
+    b.clear_stage()
