@@ -297,11 +297,11 @@ def fts_search_paragraph_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "agg4_group_by_file",
-    f"""WITH {bm25_sql(['the'], held=PARAGRAPHS)}, {files_sql()}
+    f"""WITH {bm25_sql(['the'], prefix='/ws/en/src1', held=PARAGRAPHS)}, {files_sql()}
 SELECT g.id, g.path, round(g.score, 6) AS file_score, t.line_start, t.line_end, t.text, round(t.score, 6) AS score FROM grouped g JOIN grouped_top t ON t.doc_id = g.id""",
 )
 def group_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = rank.flat_hits(rank.fts_files(inputs.paragraphs(spark, sf_dir), "the"))
+    hits = rank.flat_hits(rank.fts_files(inputs.paragraphs(spark, sf_dir), "the", path_prefix="/ws/en/src1"))
     return hits.withColumn("file_score", F.round("file_score", 6)).withColumn("score", F.round("score", 6))
 
 
