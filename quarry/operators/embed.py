@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import urllib.request
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 
 from quarry.operators.changes import pending
@@ -74,13 +77,27 @@ def openai_embedder(model: str, dimension: int, base: str = "https://api.openai.
     return Embedder(embed, dimension)
 
 
-def ollama_embedder(model: str, dimension: int, base: str = "http://localhost:11434") -> Embedder:
+def ollama_embedder(model: str, dimension: int, base: str = "http://localhost:11434", **_) -> Embedder:
     def embed(texts: list[str]) -> list[list[float]]:
         return _post(f"{base.rstrip('/')}/api/embed", {"model": model, "input": texts}, {})["embeddings"]
 
     return Embedder(embed, dimension)
 
 
+#: Names of local models and where they are published (fixed values).
+FASTEMBED_MODELS = {
+    "AllMiniLML6V2": "sentence-transformers/all-MiniLM-L6-v2",
+    "BGESmallENV15": "BAAI/bge-small-en-v1.5",
+    "BGEBaseENV15": "BAAI/bge-base-en-v1.5",
+    "BGELargeENV15": "BAAI/bge-large-en-v1.5",
+    "NomicEmbedTextV1": "nomic-ai/nomic-embed-text-v1",
+    "NomicEmbedTextV15": "nomic-ai/nomic-embed-text-v1.5",
+    "MultilingualE5Small": "intfloat/multilingual-e5-small",
+    "MultilingualE5Base": "intfloat/multilingual-e5-base",
+    "MultilingualE5Large": "intfloat/multilingual-e5-large",
+}
+
+
 @lru_cache(4)
 def _fastembed_model(model: str):
     """The model, loaded once in a process."""
@@ -89,14 +106,17 @@ def _fastembed_model(model: str):
     return TextEmbedding(model)
 
 
-def fastembed_embedder(model: str, dimension: int) -> Embedder:
+def fastembed_embedder(model: str, dimension: int, **_) -> Embedder:
+    if model not in FASTEMBED_MODELS:
+        raise ValueError(f"unknown fastembed model: {model}; there are {', '.join(FASTEMBED_MODELS)}")
+    name = FASTEMBED_MODELS[model]
     try:
         import fastembed  # noqa: F401
     except ImportError as e:
         raise ValueError("the provider 'fastembed' needs the fastembed package") from e
 
     def embed(texts: list[str]) -> list[list[float]]:
-        return [v.tolist() for v in _fastembed_model(model).embed(texts)]
+        return [v.tolist() for v in _fastembed_model(name).embed(texts)]
 
     return Embedder(embed, dimension)
 
@@ -115,8 +135,34 @@ def build_embedder(provider: str, model: str = "", dimension: int = 64, **option
     return PROVIDERS[provider](model, dimension, **options)
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder, batch: int = BATCH) -> DataFrame:
-    """Chunks (with text_hash) with their vectors."""
+@contextmanager
+def reporting(done: Accumulator | None, total: int, on_progress: Callable[[int, int], None] | None, every: float = 0.5):
+    """Call ``on_progress`` while the block runs, whenever ``done`` has grown, and with the total once it succeeds."""
+    if on_progress is None or done is None:
+        yield
+        return
+    over, told = threading.Event(), 0
+
+    def follow() -> None:
+        nonlocal told
+        while not over.wait(every):
+            now = min(done.value, total - 1)  # a task that runs twice counts twice
+            if now > told:
+                told = now
+                on_progress(now, total)
+
+    thread = threading.Thread(target=follow, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()
+    on_progress(total, total)
+
+
+def embed_chunks(chunks: DataFrame, embedder: Embedder, batch: int = BATCH, done: Accumulator | None = None) -> DataFrame:
+    """Chunks (with text_hash) with their vectors; ``done`` counts them."""
     arrow = pa.schema(
         [("doc_id", pa.int64()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("doc_path", pa.string()), ("text", pa.string()), ("text_hash", pa.string()), ("embedding", pa.list_(pa.float32()))]
     )
@@ -126,6 +172,8 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder, batch: int = BATCH) -> D
             for at in range(0, whole.num_rows, batch):
                 some = whole.slice(at, batch)
                 vectors = embedder(some.column(4).to_pylist())
+                if done is not None:
+                    done.add(some.num_rows)
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(list(vectors), pa.list_(pa.float32()))], schema=arrow)
 
     schema = "doc_id long, line_start int, line_end int, doc_path string, text string, text_hash string, embedding array<float>"

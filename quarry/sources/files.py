@@ -57,8 +57,8 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "path string, mtime bigint, length bigint").filter(is_indexed(F.col("path")))
 
 
-def read_bodies(files: DataFrame) -> DataFrame:
-    """The files with their ``body``; unreadable and non-UTF-8 files are left out.
+def read_all(files: DataFrame) -> DataFrame:
+    """The files with their ``content``, null where a file cannot be read.
 
     Executors read the files, a few at a time.
     """
@@ -76,11 +76,20 @@ def read_bodies(files: DataFrame) -> DataFrame:
                         content.append(None)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(content, pa.binary())], schema=arrow)
 
-    raw = files.select("path", "mtime", "length").mapInArrow(read, "path string, mtime bigint, length bigint, content binary")
+    return files.select("path", "mtime", "length").mapInArrow(read, "path string, mtime bigint, length bigint, content binary")
+
+
+def text_of(raw: DataFrame) -> DataFrame:
+    """Files with ``content`` as files with a ``body``; unreadable and non-UTF-8 ones are left out."""
     text = F.col("content").cast("string")
     return raw.filter(F.col("content").isNotNull() & F.is_valid_utf8(text)).select("path", "mtime", "length", text.alias("body"))
 
 
+def read_bodies(files: DataFrame) -> DataFrame:
+    """The files with their ``body``; unreadable and non-UTF-8 files are left out."""
+    return text_of(read_all(files))
+
+
 def read_file(spark: SparkSession, path: str) -> DataFrame:
     """One row: the whole file."""
     return spark.createDataFrame([(path, Path(path).read_text())], "path string, body string")

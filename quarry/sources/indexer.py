@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from quarry.operators import changes, chunk
 from quarry.sources import files
 from quarry.sources.store import Store
 
+#: Of the files that executors could not read, so many are tried on the driver.
+UNREAD_TRIED = 20
+
 
 def documents_of(bodies: DataFrame) -> DataFrame:
     """id, path, body of files: the id is a hash of the path."""
@@ -28,13 +33,27 @@ def chunks_of(documents: DataFrame, line_ranges: bool = True) -> DataFrame:
 
 
 def _index(store: Store, listed: DataFrame, line_ranges: bool) -> int:
-    """Read, chunk and write files; each is read and chunked once."""
-    return write_bodies(store, files.read_bodies(listed), line_ranges)
+    """Read, chunk and write files; each is read and chunked once.
+
+    Files that nobody can read are left out. One that the driver can read and an
+    executor cannot means that the executors do not reach the tree: an error, as the
+    index would silently lack it.
+    """
+    held = store.stage(files.read_all(listed))
+    unread = [r["path"] for r in held.filter(F.col("content").isNull()).select("path").limit(UNREAD_TRIED).collect()]
+    lost = [p for p in unread if os.access(p, os.R_OK)]
+    if lost:
+        store.clear_stage()
+        raise OSError(f"executors cannot read {lost[0]}, which the driver can; do they reach the tree?")
+    return _write(store, files.text_of(held), line_ranges)
 
 
 def write_bodies(store: Store, bodies: DataFrame, line_ranges: bool = True) -> int:
     """Write documents given as path, mtime, length, body; their number."""
-    held = store.stage(bodies)
+    return _write(store, store.stage(bodies), line_ranges)
+
+
+def _write(store: Store, held: DataFrame, line_ranges: bool) -> int:
     n = held.count()
     if n:
         documents = documents_of(held)
@@ -78,3 +97,11 @@ def delete_file(spark: SparkSession, store: Store, root: str, path: str) -> None
     """Forget one file."""
     found = str(files.resolve(root, path))
     store.remove_documents(store.documents().filter(F.col("path") == found).select("id"))
+
+
+def apply_event(spark: SparkSession, store: Store, root: str, path: str, line_ranges: bool = True) -> bool:
+    """Index a file that exists, forget one that does not; True if it is indexed now."""
+    if files.resolve(root, path).is_file():
+        return update_file(spark, store, root, path, line_ranges)
+    delete_file(spark, store, root, path)
+    return False

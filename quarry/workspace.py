@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Mapping
-from dataclasses import dataclass, field
+import platform
+import socket
+from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import UTC, datetime
 from enum import StrEnum
-from hashlib import md5
 from pathlib import Path
 from uuid import UUID, uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.operators import rank
+from quarry import schemas
+from quarry.config import APP, Config, Folders, ReplicaKind, path_id
 from quarry.operators.embed import Embedder, build_embedder
 from quarry.sources import devices, files, indexer
+from quarry.sources.replicate import LocalOnly, Replica
 from quarry.sources.store import Store
 
 MARKER = ".quarry"
@@ -29,44 +31,6 @@ class SearchMode(StrEnum):
     HYBRID = "hybrid"
 
 
-@dataclass(frozen=True)
-class EmbeddingConfig:
-    enabled: bool = False
-    provider: str = "hash"
-    model: str = ""
-    dimension: int = 64
-
-
-@dataclass(frozen=True)
-class HybridConfig:
-    fts_weight: float = 0.5
-    k: int = rank.RRF_K
-
-
-@dataclass(frozen=True)
-class Config:
-    embedding: EmbeddingConfig = field(default_factory=EmbeddingConfig)
-    hybrid: HybridConfig = field(default_factory=HybridConfig)
-    line_ranges: bool = True
-
-    @classmethod
-    def load(cls, held: Mapping | None = None, env: Mapping[str, str] | None = None) -> Config:
-        """From nested mappings; environment variables override."""
-        held, env = held or {}, os.environ if env is None else env
-        e, h = dict(held.get("embedding", {})), dict(held.get("hybrid", {}))
-        for name, section, key, kind in (
-            ("QUARRY_EMBEDDING_ENABLED", e, "enabled", lambda v: v.lower() in ("1", "true", "yes")),
-            ("QUARRY_EMBEDDING_PROVIDER", e, "provider", str),
-            ("QUARRY_EMBEDDING_MODEL", e, "model", str),
-            ("QUARRY_EMBEDDING_DIMENSION", e, "dimension", int),
-            ("QUARRY_HYBRID_FTS_WEIGHT", h, "fts_weight", float),
-            ("QUARRY_HYBRID_K", h, "k", int),
-        ):
-            if name in env:
-                section[key] = kind(env[name])
-        return cls(EmbeddingConfig(**e), HybridConfig(**h), held.get("line_ranges", True))
-
-
 @dataclass(frozen=True)
 class RetrieveParams:
     query: str
@@ -90,10 +54,7 @@ def init(path: str | Path) -> Path:
 
 def workspace_id(root: str | Path) -> UUID:
     """The same for the same path on any device."""
-    raw = bytearray(md5(str(files.canonical(root)).encode()).digest())
-    raw[6] = 0x80 | raw[6] & 0x0F
-    raw[8] = 0x80 | raw[8] & 0x3F
-    return UUID(bytes=bytes(raw))
+    return path_id(files.canonical(root))
 
 
 def device_id(folder: str | Path) -> str:
@@ -107,14 +68,22 @@ def device_id(folder: str | Path) -> str:
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, root: str | Path, config: Config | None = None, store_path: str | None = None):
+    """``replica`` is told of every file that is written or deleted, unless the configuration says ``none``."""
+
+    def __init__(
+        self, spark: SparkSession, root: str | Path, config: Config | None = None, store_path: str | None = None,
+        replica: Replica | None = None, folders: Folders | None = None,
+    ):
         self.spark, self.root, self.config = spark, str(files.canonical(root)), config or Config()
         self.store = Store(spark, store_path or f"{self.root}/{MARKER}/store")
+        self.replica: Replica = replica if replica and self.config.replica.backend != ReplicaKind.NONE else LocalOnly()
+        self.folders = folders or Folders.of()
 
     @property
     def embedder(self) -> Embedder | None:
+        """None unless vectors are configured."""
         e = self.config.embedding
-        return build_embedder(e.provider, e.model, e.dimension) if e.enabled else None
+        return build_embedder(e.provider, e.model, e.dimension, **e.options()) if self.config.has_vectors else None
 
     # -- indexing
 
@@ -124,8 +93,9 @@ class Workspace:
     def refresh(self) -> tuple[int, int]:
         return indexer.sync_incremental(self.spark, self.store, self.root, self.config.line_ranges)
 
-    def embed_pending(self) -> int:
-        return self.store.embed_pending(self.embedder) if self.embedder else 0
+    def embed_pending(self, on_progress: Callable[[int, int], None] | None = None) -> int:
+        embedder = self.embedder
+        return self.store.embed_pending(embedder, on_progress) if embedder else 0
 
     def sync_and_embed(self) -> tuple[int, int, int]:
         return (*self.refresh(), self.embed_pending())
@@ -152,7 +122,7 @@ class Workspace:
         found = self.path(path)
         found.parent.mkdir(parents=True, exist_ok=True)
         found.write_text(text)
-        indexer.update_file(self.spark, self.store, self.root, str(found), self.config.line_ranges)
+        self.on_event(str(found))
 
     def append_file(self, path: str, text: str) -> None:
         found = self.path(path)
@@ -161,7 +131,20 @@ class Workspace:
     def delete_file(self, path: str) -> None:
         found = self.path(path)
         found.unlink()
-        indexer.delete_file(self.spark, self.store, self.root, str(found))
+        self.on_event(str(found))
+
+    def forget(self, path: str) -> None:
+        """Take one file out of the index, whether it exists or not."""
+        found = str(self.path(path))
+        indexer.delete_file(self.spark, self.store, self.root, found)
+        self.replica.remove_file(found)
+
+    def on_event(self, path: str) -> bool:
+        """Follow one file that changed: it is indexed if it exists and forgotten if not. True if it is indexed now."""
+        found = str(self.path(path))
+        indexed = indexer.apply_event(self.spark, self.store, self.root, found, self.config.line_ranges)
+        (self.replica.add_file if Path(found).exists() else self.replica.remove_file)(found)
+        return indexed
 
     # -- search
 
@@ -195,10 +178,24 @@ class Workspace:
     def devices(self) -> DataFrame:
         return devices.load(self.spark, self.registry)
 
-    def report_device(self, context: dict) -> bool:
+    @property
+    def device(self) -> str:
+        return device_id(self.folders.data)
+
+    def host(self) -> dict:
+        """What this host reports of itself."""
+        facts = {"hostname": socket.gethostname(), "app_id": APP, "app_version": str(schemas.VERSION), "platform": platform.system().lower(), "arch": platform.machine()}
+        return facts | {"id": self.device, "name": facts["hostname"]}
+
+    def report_device(self, context: dict | None = None) -> bool:
+        """Merge a host, this one by default, into the registry; whether that changed it."""
         Path(self.registry).parent.mkdir(parents=True, exist_ok=True)
-        return devices.merge_file(self.spark, self.registry, context, datetime.now(UTC))
+        changed = devices.merge_file(self.spark, self.registry, context or self.host(), datetime.now(UTC))
+        if changed:
+            self.replica.add_file(self.registry)
+        return changed
 
     def rename_device(self, target: str, name: str) -> None:
         found = devices.find(self.devices(), target).first()["id"]
         devices.save(devices.set_name(self.devices(), found, name, datetime.now(UTC)), self.registry)
+        self.replica.add_file(self.registry)
