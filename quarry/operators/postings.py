@@ -1,43 +1,34 @@
-"""A trigram postings table: which chunks contain which three characters.
+"""Trigram postings: which chunks contain which three characters.
 
-Optional. It turns a full-text search's pass over all text into a read of a few
-partitions of the table plus an exact check of the chunks that have all trigrams
-of a phrase.
+They turn a full-text search's pass over all text into a look-up of a few trigrams
+and an exact check of the chunks that have all trigrams of a phrase. The store keeps
+them with the chunks, sorted by trigram, so that row groups' statistics leave out
+nearly all of the table; a common trigram's rows are spread over files by document.
 """
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 256
-
 
-def trigram_rows(chunks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """bucket, trigram, doc_id, line_start: each distinct trigram of a chunk once."""
+def trigrams(chunks: DataFrame) -> DataFrame:
+    """trigram, doc_id, line_start: each distinct trigram of a chunk's lower-cased text once."""
     low = F.lower("text")
     # positions in an array of characters are found at once, those in a string by counting
     held = chunks.filter(F.length(low) >= 3).select("doc_id", "line_start", F.split(low, "").alias("c"))
     three = lambda i: F.concat(*[F.get("c", i + k) for k in range(3)])
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("c") - 3), three))
-    rows = held.select("doc_id", "line_start", F.explode(grams).alias("trigram"))
-    return rows.select(F.pmod(F.xxhash64("trigram"), F.lit(buckets)).cast("int").alias("bucket"), "trigram", "doc_id", "line_start")
-
-
-def write_postings(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Rebuild the table below ``path``, partitioned by bucket and sorted by trigram."""
-    rows = trigram_rows(chunks, buckets)
-    # a bucket is spread over several files, as common trigrams have very many chunks
-    spread = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(8)))
-    spread.sortWithinPartitions("bucket", "trigram").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return held.select(F.explode(grams).alias("trigram"), "doc_id", "line_start")
 
 
-def candidates(postings: DataFrame, phrase: str, buckets: int = BUCKETS) -> DataFrame:
+def candidates(postings: DataFrame, phrase: str) -> DataFrame:
     """doc_id, line_start of the chunks that have every trigram of a phrase (it may still be missing)."""
     low = phrase.lower()
     grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
-    spark = postings.sparkSession
-    wanted = spark.createDataFrame([(g,) for g in grams], "trigram string").select(F.pmod(F.xxhash64("trigram"), F.lit(buckets)).cast("int").alias("bucket"), "trigram")
-    numbers = sorted({r["bucket"] for r in wanted.collect()})  # one per trigram of the phrase, for partition pruning
-    found = postings.filter(F.col("bucket").isin(numbers) & F.col("trigram").isin(grams))
-    return found.groupBy("doc_id", "line_start").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams)).select("doc_id", "line_start")
+    # equalities reach the files' statistics at any number; a long list of values would only as a range
+    found = postings.filter(reduce(operator.or_, [F.col("trigram") == g for g in grams]))
+    return found.groupBy("doc_id", "line_start").agg(F.count_distinct("trigram").alias("n")).filter(F.col("n") == len(grams)).select("doc_id", "line_start")

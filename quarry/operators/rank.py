@@ -28,14 +28,28 @@ def under_prefix(df: DataFrame, prefix: str | None, column: str = "doc_path") ->
     return df if not prefix else df.filter(F.col(column).startswith(prefix))
 
 
-def corpus_stats(chunks: DataFrame, match: Match) -> DataFrame:
-    """One row: n, avg_d and the number of chunks that contain each phrase (n_0, n_1, ...)."""
+def _totals(length: Column) -> list[Column]:
+    return [F.count("*").alias("n"), F.avg(F.greatest(length - 2, F.lit(0)).cast("double")).alias("avg_d")]
+
+
+def totals(chunks: DataFrame, length: Column) -> DataFrame:
+    """One row: the number of chunks and their mean length in trigrams."""
+    return chunks.agg(*_totals(length))
+
+
+def corpus_stats(chunks: DataFrame, match: Match, all_chunks: DataFrame | None = None) -> DataFrame:
+    """One row: n, avg_d and the number of chunks that contain each phrase (n_0, n_1, ...).
+
+    With ``all_chunks``, the totals of a corpus, ``chunks`` need only be those with a phrase.
+    """
     text = F.lower("text")
     counts = [F.count_if(F.contains(text, F.lit(p))).alias(f"n_{i}") for i, p in enumerate(match.phrases)]
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.greatest(F.length("text") - 2, F.lit(0)).cast("double")).alias("avg_d"), *counts)
+    if all_chunks is None:
+        return chunks.agg(*_totals(F.length("text")), *counts)
+    return all_chunks.crossJoin(chunks.agg(*counts))  # one row each
 
 
-def bm25(chunks: DataFrame, query: str | Match, path_prefix: str | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, query: str | Match, path_prefix: str | None = None, totals: DataFrame | None = None) -> DataFrame:
     """Chunks that match, with ``score``; statistics come from all chunks, before the prefix.
 
     Two passes over the text: one aggregate for the statistics (a single row, which
@@ -44,7 +58,7 @@ def bm25(chunks: DataFrame, query: str | Match, path_prefix: str | None = None)
     match = parse_match(query) if isinstance(query, str) else query
     if match.root.kind == "nothing":
         return chunks.limit(0).withColumn("score", F.lit(0.0))
-    stats = corpus_stats(chunks, match)
+    stats = corpus_stats(chunks, match, totals)
     low = F.lower("text")
     has = [F.contains(low, F.lit(p)) for p in match.phrases]
     hits = under_prefix(chunks, path_prefix).filter(match.condition(has))
@@ -72,13 +86,13 @@ def group_by_file(hits: DataFrame, limit: int) -> DataFrame:
     return files.select(F.col("doc_id").alias("id"), F.col("doc_path").alias("path"), "score", shown.alias("chunks")).orderBy("score", "path").limit(limit)
 
 
-def fts_chunks(chunks: DataFrame, query: str, limit: int = 10, path_prefix: str | None = None, overfetch: int = OVERFETCH) -> DataFrame:
-    return best(bm25(chunks, query, path_prefix), overfetch * limit)
+def fts_chunks(chunks: DataFrame, query: str, limit: int = 10, path_prefix: str | None = None, overfetch: int = OVERFETCH, totals: DataFrame | None = None) -> DataFrame:
+    return best(bm25(chunks, query, path_prefix, totals), overfetch * limit)
 
 
-def fts_files(chunks: DataFrame, query: str, limit: int = 10, path_prefix: str | None = None, overfetch: int = OVERFETCH) -> DataFrame:
+def fts_files(chunks: DataFrame, query: str, limit: int = 10, path_prefix: str | None = None, overfetch: int = OVERFETCH, totals: DataFrame | None = None) -> DataFrame:
     """Full-text search: the best ``overfetch * limit`` chunks, grouped to ``limit`` files."""
-    return group_by_file(fts_chunks(chunks, query, limit, path_prefix, overfetch), limit)
+    return group_by_file(fts_chunks(chunks, query, limit, path_prefix, overfetch, totals), limit)
 
 
 def substring_files(documents: DataFrame, query: str, limit: int = 10, path_prefix: str | None = None) -> DataFrame:
@@ -131,10 +145,10 @@ def merge_ranked(fts: DataFrame, semantic: DataFrame, k: int = RRF_K, weight_fts
 
 def hybrid_files(
     chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: Sequence[float] | None, limit: int = 10, path_prefix: str | None = None,
-    k: int = RRF_K, weight_fts: float = 1.0, weight_semantic: float = 1.0,
+    k: int = RRF_K, weight_fts: float = 1.0, weight_semantic: float = 1.0, totals: DataFrame | None = None,
 ) -> DataFrame:
     """Both searches for three times the files, fused; without a query vector the plain full-text result."""
-    fts = fts_files(chunks, query, HYBRID_OVERFETCH * limit, path_prefix)
+    fts = fts_files(chunks, query, HYBRID_OVERFETCH * limit, path_prefix, totals=totals)
     if query_vector is None or vectors is None:
         return fts.orderBy("score", "path").limit(limit)
     return merge_ranked(fts, vector_files(vectors, query_vector, HYBRID_OVERFETCH * limit, path_prefix), k, weight_fts, weight_semantic, limit)

@@ -315,7 +315,7 @@ def substring_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with a phrase: all its trigrams by the postings table, then an exact check."""
     held = inputs.chunks(spark, sf_dir)
-    found = held.join(postings.candidates(postings.trigram_rows(held), "Apache License"), ["doc_id", "line_start"], "left_semi")
+    found = held.join(postings.candidates(postings.trigrams(held), "Apache License"), ["doc_id", "line_start"], "left_semi")
     return found.filter(F.contains(F.lower("text"), F.lit("apache license"))).select("doc_id", "line_start")
 
 

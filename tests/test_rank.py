@@ -116,7 +116,7 @@ def test_postings(chunks):
 
     for phrase in ("hello world", "café", "license"):
         want = {(r.doc_id, r.line_start) for r in chunks.filter(F.contains(F.lower("text"), F.lit(phrase))).collect()}
-        got = {tuple(r) for r in postings.candidates(postings.trigram_rows(chunks), phrase).collect()}
+        got = {tuple(r) for r in postings.candidates(postings.trigrams(chunks), phrase).collect()}
         assert want <= got
 
 

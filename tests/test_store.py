@@ -4,6 +4,8 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import schemas
+from quarry.operators import rank
 from quarry.operators.embed import build_embedder, hash_embedder
 from quarry.sources import devices, files, indexer
 from quarry.sources.store import SchemaTooNewError, Store
@@ -198,3 +200,62 @@ def test_manifests_are_published_whole_and_once(spark, tmp_path):
     a.clear_stage()
     assert staged[1].count() == 3
     b.clear_stage()
+
+
+def rows_of(spark, ids, text="the license of {} is apache"):
+    documents = spark.createDataFrame([(i, f"/ws/{i}.md") for i in ids], "id bigint, path string")
+    chunks = spark.createDataFrame([(i, n, n, text.format(i) + " x" * n, f"/ws/{i}.md") for i in ids for n in range(3)], schemas.CHUNKS)
+    return documents, chunks, documents.select("path", F.lit(1).cast("bigint").alias("mtime"), F.lit(2).cast("bigint").alias("length"))
+
+
+def bytes_below(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+
+
+def test_a_change_writes_what_it_holds(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.upsert_documents(*rows_of(spark, range(3000)))
+    before, first = bytes_below(store.path), store.manifest()["tables"]
+    store.upsert_documents(*rows_of(spark, [5], "nothing about {}"))
+    assert bytes_below(store.path) - before < before / 10
+    assert all(first[t][0] in store.manifest()["tables"][t] for t in first if first[t])
+    assert (store.documents().count(), store.chunks().count(), store.files().count()) == (3000, 9000, 3000)
+    assert [r.text for r in store.chunks().filter("doc_id = 5 AND line_start = 0").collect()] == ["nothing about 5"]
+
+
+def test_changes_against_whole_tables(spark, tmp_path):
+    """A row of changes that merges parts and clears keys, against a dictionary; searches against all text."""
+    store, want = Store(spark, str(tmp_path / "s")), {}
+    batches = [(range(40), "first {} apache"), ([1, 2], "second {} license"), ([3], None), ([2, 50], "third {} apache license"), ([50, 3], "again {} aaaa")]
+    batches += [([60 + i], "more {} apache") for i in range(9)] + [([1, 60], None), ([1], "back {} license"), (range(30), "late {} apache")]
+    for ids, text in batches:
+        if text is None:
+            store.remove_documents(spark.createDataFrame([(i,) for i in ids], "id bigint"))
+        else:
+            store.upsert_documents(*rows_of(spark, ids, text))
+        for i in ids:
+            want.pop(i, None)
+            if text:
+                want[i] = text.format(i)
+    held = {r.doc_id: r.text for r in store.chunks().filter("line_start = 0").collect()}
+    assert held == want and store.chunks().count() == 3 * len(want)
+    assert {r.id for r in store.documents().collect()} == set(want) == {int(r.path[4:-3]) for r in store.files().collect()}
+    assert max(map(len, store.manifest()["tables"].values())) < 8 + 8
+    for _ in range(2):
+        for query in ("apache", "apache license", "license OR aaaa", "apache NOT late", "aaa", "nowhere", "ap"):
+            got, plain = store.search_fts(query, 100), rank.fts_files(store.chunks(), query, 100)
+            show = lambda df: [(r.id, round(r.score, 9), len(r.chunks)) for r in df.collect()]
+            assert show(got) == show(plain), query
+        store.compact()
+        store.vacuum()
+        assert store.manifest()["gone"] == {"documents": [], "files": []} and {len(p) for p in store.manifest()["tables"].values()} <= {0, 1}
+    assert {r.doc_id: r.text for r in store.chunks().filter("line_start = 0").collect()} == want
+
+
+def test_many_candidates(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.upsert_documents(*rows_of(spark, range(200)))
+    assert [r.path for r in store.search_fts("license", 3).collect()] == [r.path for r in rank.fts_files(store.chunks(), "license", 3).collect()]
+    bare = Store(spark, str(tmp_path / "bare"), indexed=False)
+    bare.upsert_documents(*rows_of(spark, range(5)))
+    assert "postings" not in bare.manifest()["tables"] and bare.search_fts("license").count() == 5
