@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A key that holds more than this share of all rows is "hot". At most
@@ -170,6 +171,27 @@ def located(docs: DataFrame, from_files: bool) -> tuple[DataFrame, str, str]:
     return placed(materialise(docs, "rows")), file, at
 
 
+def ranked(df: DataFrame, keys: Sequence[Column], rank: str) -> DataFrame:
+    """``df`` in the order of ``keys``, written to the scratch folder, with each row's place in it as ``rank`` (from 0).
+
+    Every task writes one range of the order as a file; a row's rank is its number
+    there and the rows of the files before. The files' totals, one row for each
+    task of the sort, are all that is broadcast. Equal keys share a range, so let
+    the last key spread them.
+    """
+    part, file, start = fresh(df, "part", "file", "start")
+    path = scratch(df.sparkSession, "ranked")
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(part, F.spark_partition_id()).write.parquet(path)
+    table = df.sparkSession.read.schema(f"{df._jdf.schema().toDDL()}, {part} int").parquet(path)
+    meta = table.metadataColumn("_metadata")
+    rows = table.select("*", meta["file_path"].alias(file), meta["row_index"].alias(rank))
+    ends = rows.groupBy(part, file).agg((F.max(rank) + 1).alias("n"))
+    starts = ends.select(file, (F.sum("n").over(W.orderBy(part, file)) - F.col("n")).alias(start))
+    out = rows.join(F.broadcast(starts), file).withColumn(rank, F.col(rank) + F.col(start)).drop(part, file, start)
+    out._scratch_path = path
+    return out
+
+
 def among(df: DataFrame, on: Sequence[str], keys: DataFrame, flag: str) -> DataFrame:
     """``df`` with a boolean ``flag``: true for each row whose key is in ``keys``, and for few others.
 

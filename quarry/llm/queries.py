@@ -166,6 +166,75 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), from_files=True)
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering lower-cases the text of a fifth of the rows."""
+    from pyspark.sql import functions as F
+
+    from quarry.llm import merkle
+
+    docs = table(spark, sf_dir, "documents")
+    lowered = [F.translate(c, _UPPER, _LOWER) if c == "text" else F.col(c) for c in merkle.COLUMNS]
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(docs, F.when(chosen, merkle.leaf(lowered)))
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+#: CRC-32 by its bits (the polynomial is a fixed value), since DuckDB has no such function.
+_CRC_SQL = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"""
+_LEAF_SQL = "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+
+def _climb_sql(name: str, leaves: str) -> str:
+    """Nodes of all levels over ``leaves`` (tree, pos, n, h), and the runs that they form."""
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS level, pos, n, h FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 16, n
+), {name}_runs AS (
+  SELECT tree, level, pos // 16 AS run, list(h ORDER BY pos) AS hs FROM {name} WHERE n > 1 GROUP BY ALL
+), {name}_top AS (SELECT tree, level AS height, h FROM {name} WHERE n = 1)"""
+
+
+def _fold_sql(name: str, nodes: str, start: str) -> str:
+    """Every row of ``start`` (id, tree, pos, h, sibs) folded up to the top of its tree."""
+    others = "hs[1:pos % 16] || hs[pos % 16 + 2:]"
+    return f"""
+{name} AS (
+  SELECT id, tree, 0 AS level, pos, h, sibs FROM {start}
+  UNION ALL
+  SELECT f.id, f.tree, f.level + 1, pos // 16, sha256(array_to_string(hs[1:pos % 16] || [h] || hs[pos % 16 + 2:], '')), sibs || array_to_string({others}, '')
+  FROM {name} f JOIN {nodes}_runs r ON r.tree = f.tree AND r.level = f.level AND r.run = pos // 16
+)"""
+
+
+OP11_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS id, doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree,
+         {_LEAF_SQL.format('text')} AS leaf,
+         CASE WHEN {_CRC_SQL} % 5 = 0 THEN {_LEAF_SQL.format(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS other
+  FROM documents
+), placed AS (
+  SELECT *, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM docs
+), {_climb_sql('low', 'placed')}, subroots AS (
+  SELECT '' AS tree, low_top.tree AS of, h, row_number() OVER (ORDER BY low_top.tree) - 1 AS pos, count(*) OVER () AS n FROM low_top
+), {_climb_sql('high', 'subroots')}, starts AS (
+  SELECT id, tree, pos, coalesce(other, leaf) AS h, '' AS sibs FROM placed
+), {_fold_sql('up', 'low', 'starts')}, middle AS (
+  SELECT id, '' AS tree, s.pos, up.h, sibs FROM up JOIN low_top t ON t.tree = up.tree AND t.height = up.level JOIN subroots s ON s.of = up.tree
+), {_fold_sql('over', 'high', 'middle')}
+SELECT doc_id, leaf, t.h AS subroot, r.h AS root, sha256(sibs) AS proof_sha256, o.h AS folded_root, o.h = r.h AS verified
+FROM over o JOIN high_top r ON r.height = o.level JOIN placed p ON p.id = o.id JOIN low_top t ON t.tree = p.tree
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -177,11 +246,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_token_rollup": op9_token_rollup,
     "op10_ngram_join": op10_ngram_join,
+    "op11_merkle": op11_merkle,
     "token_rollup_words": token_rollup_words,
     "interleaved_pages": interleaved_pages,
 }
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op7_url_filter": OP7_SQL,
+    "op11_merkle": OP11_SQL,
     "token_rollup_words": TOKEN_ROLLUP_WORDS_SQL,
 }
