@@ -235,6 +235,38 @@ FROM over o JOIN high_top r ON r.height = o.level JOIN placed p ON p.id = o.id J
 """
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.lexical import search_documents
+
+    return search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _terms_sql(text: str) -> str:
+    return rf"regexp_extract_all(translate({text}, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+#: Every document that shares a term with an item is scored.
+OP12_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id, {_terms_sql('text')} AS terms FROM documents
+), held AS (SELECT *, CAST(len(terms) AS BIGINT) AS n FROM docs WHERE len(terms) > 0), corpus AS (
+  SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM held
+), items AS (SELECT DISTINCT item_id, unnest({_terms_sql('text')}) AS term FROM benchmark), words AS (
+  SELECT id, doc_id, n, unnest(terms) AS term FROM held
+), postings AS (
+  SELECT id, doc_id, n, term, count(*) AS tf FROM words SEMI JOIN items USING (term) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, corpus GROUP BY term
+), scored AS (
+  SELECT item_id, id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM items JOIN postings USING (term) JOIN weights USING (term), corpus GROUP BY item_id, id, doc_id
+), placed AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -247,6 +279,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_rollup": op9_token_rollup,
     "op10_ngram_join": op10_ngram_join,
     "op11_merkle": op11_merkle,
+    "op12_lexical": op12_lexical,
     "token_rollup_words": token_rollup_words,
     "interleaved_pages": interleaved_pages,
 }
@@ -254,5 +287,6 @@ ORACLES: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op7_url_filter": OP7_SQL,
     "op11_merkle": OP11_SQL,
+    "op12_lexical": OP12_SQL,
     "token_rollup_words": TOKEN_ROLLUP_WORDS_SQL,
 }
