@@ -267,6 +267,12 @@ SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
 """
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.simhash import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"), from_files=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -280,6 +286,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
     "op11_merkle": op11_merkle,
     "op12_lexical": op12_lexical,
+    "op13_simhash": op13_simhash,
     "token_rollup_words": token_rollup_words,
     "interleaved_pages": interleaved_pages,
 }
