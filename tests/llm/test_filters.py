@@ -1,11 +1,13 @@
 """Toxicity, quality, URL filters and media columns."""
 
+import ast
 import hashlib
 import os
 import random
 import re
 import zlib
 from html import unescape
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -184,9 +186,33 @@ def test_parse_keeps_order_and_captions():
     shown = [(i["kind"], i["text"] or i["ref"], i["caption"]) for i in items]
     assert shown[:5] == [("text", "One & two", None), ("text", "three four", None), ("image", "a", "of a"), ("text", "five", None), ("image", "b", "of b")]
     assert shown[-2:] == [("text", "alone", None), ("text", "six", None)]
+    assert shown[5] == ("video", "c", "of c")
     assert media.parse(None) == media.parse("") == []
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<figure><img src=a><figure><img src=b><figcaption>B</figcaption></figure><figcaption>A</figcaption></figure>", [("a", "A"), ("b", "B")]),
+        ("<figure><img src=a alt=x><figure><img src=b><figcaption>B</figcaption></figure></figure>", [("a", "x"), ("b", "B")]),
+        ("<div><figure><img src=a></div><img src=b><div><figure><img src=c><figcaption>C</figcaption></figure></div>", [("a", None), ("b", None), ("c", "C")]),
+        ("<figure><img src=a><figure><img src=b><figcaption>B", [("a", None), ("b", "B")]),
+        ("<figure><figcaption>A<figure><img src=b></figure><img src=a>", [("b", None), ("a", "A")]),
+        ("<figure><img src=a><figcaption>A</figcaption><figcaption>more</figcaption></figure>", [("a", "A"), ("more", None)]),
+        ("<figcaption>c</figcaption><img src=a>", [("c", None), ("a", None)]),
+        ("<figure>" * 3000 + "<img src=a><figcaption>A" + "</figure>" * 3000, [("a", "A")]),
+    ],
+)
+def test_captions_of_nested_and_unclosed_figures(html, want):
+    assert [(i["ref"] or i["text"], i["caption"]) for i in media.parse(html)] == want
+
+
+def test_no_module_defines_a_name_twice():
+    for path in Path(media.__file__).parent.parent.rglob("*.py"):
+        names = [n.name for n in ast.parse(path.read_text()).body if isinstance(n, ast.FunctionDef | ast.ClassDef)]
+        assert len(names) == len(set(names)), path
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.binary(max_size=1000))
 def test_png_round_trip(content):
