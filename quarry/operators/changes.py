@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +23,13 @@ def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
     return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new.select(*old.columns))
 
 
+ACTIONS = ("insert", "update_text", "update_range", "keep", "delete")
+
+
+def _action(was: Column, now: Column, same_text: Column, same_end: Column) -> Column:
+    return F.when(was.isNull(), "insert").when(now.isNull(), "delete").when(~same_text, "update_text").when(~same_end, "update_range").otherwise("keep")
+
+
 def chunk_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """doc_id, line_start, action (insert, update_text, update_range, keep, delete).
 
@@ -30,13 +37,7 @@ def chunk_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     o = old.select("doc_id", "line_start", F.col("text").alias("old_text"), F.col("line_end").alias("old_end"), F.lit(True).alias("was"))
     n = new.select("doc_id", "line_start", F.col("text").alias("new_text"), F.col("line_end").alias("new_end"), F.lit(True).alias("is"))
-    action = (
-        F.when(F.col("was").isNull(), "insert")
-        .when(F.col("is").isNull(), "delete")
-        .when(F.col("old_text") != F.col("new_text"), "update_text")
-        .when(F.col("old_end") != F.col("new_end"), "update_range")
-        .otherwise("keep")
-    )
+    action = _action(F.col("was"), F.col("is"), F.col("old_text") == F.col("new_text"), F.col("old_end") == F.col("new_end"))
     return o.join(n, ["doc_id", "line_start"], "full").select("doc_id", "line_start", action.alias("action"))
 
 
@@ -46,6 +47,22 @@ def pending(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return own.join(vectors.select("doc_id", "line_start", "text_hash"), ["doc_id", "line_start", "text_hash"], "left_anti")
 
 
+def chunk_states(old: DataFrame, new: DataFrame, vectors: DataFrame) -> DataFrame:
+    """doc_id, line_start, text_hash, action, embedded of the old and the new chunks of some documents.
+
+    ``embedded`` says that a vector of the new text is there. Keys and hashes alone
+    are shuffled, and nothing after the joins is, so a count of the actions that is
+    taken while the result is written holds whatever tasks run twice.
+    """
+    o = old.select("doc_id", "line_start", F.sha2("text", 256).alias("was"), F.col("line_end").alias("old_end"))
+    n = new.select("doc_id", "line_start", F.sha2("text", 256).alias("text_hash"), "line_end")
+    v = vectors.groupBy("doc_id", "line_start").agg(F.collect_set("text_hash").alias("held"))
+    action = _action(F.col("was"), F.col("text_hash"), F.col("was") == F.col("text_hash"), F.col("old_end") == F.col("line_end"))
+    known = F.coalesce(F.array_contains("held", F.col("text_hash")), F.lit(False))
+    both = o.join(n, ["doc_id", "line_start"], "full").join(v, ["doc_id", "line_start"], "left")
+    return both.select("doc_id", "line_start", "text_hash", action.alias("action"), known.alias("embedded"))
+
+
 def embedded(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Keys of the chunks that have a vector."""
     return chunks.select("doc_id", "line_start").join(vectors.select("doc_id", "line_start"), ["doc_id", "line_start"], "left_semi")

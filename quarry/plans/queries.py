@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import reduce
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars
 from quarry.functions.vectors import l2_between, l2_distance
-from quarry.operators import changes, chunk, postings, rank
+from quarry.operators import changes, chunk, chunkers, postings, rank
 from quarry.operators.embed import embed_pending, hash_embedder
 from quarry.operators.match import parse_match
 from quarry.plans import inputs
-from quarry.sources import devices, files
+from quarry.sources import devices, files, indexer, tree
 from quarry.sources.store import Store
-from quarry.streaming.watch import apply_batch
+from quarry.streaming import debounce
+from quarry.streaming.watch import apply_batch, index_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -416,16 +421,48 @@ def chunk_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.chunk_diff(*inputs.changed_chunks(spark, sf_dir))
 
 
-@query("dml6_remove_documents", f"WITH {CHUNKS} SELECT doc_id, line_start FROM chunks WHERE doc_id % 11 <> 0")
+def _filled(spark: SparkSession, sf_dir: str, **tables: DataFrame) -> Store:
+    """A store with the tables' documents, files and chunks."""
+    store = Store(spark, f"{_scratch(spark)}/store")
+    held = inputs.stored_files(spark, sf_dir)
+    store.replace(**{"documents": held.select("id", "path"), "files": held.drop("id"), "chunks": inputs.chunks(spark, sf_dir)} | tables)
+    return store
+
+
+def _counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n of each table."""
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()])
+
+
+@query(
+    "dml6_remove_documents",
+    f"""WITH {CHUNKS}, {VECTORS}, left_over AS (SELECT * FROM documents WHERE doc_id % 11 <> 0)
+SELECT 'documents' AS name, count(*) AS n FROM left_over UNION ALL SELECT 'files', count(*) FROM left_over UNION ALL SELECT 'chunks', count(*) FROM left_over
+UNION ALL SELECT 'vectors', count(*) FROM vectors WHERE doc_id % 11 <> 0
+UNION ALL SELECT 'pending', count(*) FROM left_over WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)
+UNION ALL SELECT 'postings', CAST(sum(len(list_distinct(list_transform(generate_series(1, length(text) - 2), lambda i: substr(lower(text), i, 3))))) AS BIGINT) FROM left_over WHERE length(text) >= 3
+UNION ALL SELECT 'problems', 0""",
+)
 def remove_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = changes.difference(inputs.stored_files(spark, sf_dir), inputs.listed_files(spark, sf_dir), "id").withColumnRenamed("id", "doc_id")
-    return changes.remove(inputs.chunks(spark, sf_dir), gone, ["doc_id"]).select("doc_id", "line_start")
+    """Every 11th document is removed from a store with all that belongs to it; what each table holds then, and what the tables disagree on."""
+    store = _filled(spark, sf_dir, chunk_vectors=inputs.vectors(spark, sf_dir))
+    store.remove_documents(changes.difference(inputs.stored_files(spark, sf_dir), inputs.listed_files(spark, sf_dir), "id"))
+    return _counts({
+        "documents": store.documents(), "files": store.files(), "chunks": store.chunks(), "vectors": store.vectors(), "pending": store.table("pending"),
+        "postings": store.table("postings"), "problems": store.check(),
+    })
 
 
-@query("dml7_insert_embeddings", f"WITH {VECTORS} SELECT doc_id, CAST(line_start AS INTEGER) AS line_start, sha256(text) AS text_hash, CAST(len(embedding) AS INTEGER) AS n FROM vectors")
+@query(
+    "dml7_insert_embeddings",
+    """SELECT doc_id, CAST(0 AS INTEGER) AS line_start, sha256(text) AS text_hash, CAST(32 AS INTEGER) AS dimension, CAST(0 AS BIGINT) AS pending_left FROM documents WHERE text IS NOT NULL""",
+)
 def insert_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors find their chunk by key; those without one are left out."""
-    return inputs.vectors(spark, sf_dir).select("doc_id", "line_start", "text_hash", F.size("embedding").alias("n"))
+    """A store embeds its chunks: what it keeps of each vector, and how many chunks still wait."""
+    store = _filled(spark, sf_dir)
+    store.embed_pending(hash_embedder(32))
+    left = store.table("pending").agg(F.count("*").alias("pending_left"))
+    return store.vectors().select("doc_id", "line_start", "text_hash", F.size("embedding").alias("dimension")).crossJoin(left)  # one row
 
 
 @query("joi3_embedded_keys", f"WITH {VECTORS} SELECT doc_id, CAST(line_start AS INTEGER) AS line_start FROM vectors")
@@ -476,13 +513,17 @@ def vec_info(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT action, count(*) AS n FROM acts GROUP BY action""",
 )
 def sync_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.chunk_diff(*inputs.changed_chunks(spark, sf_dir)).groupBy("action").agg(F.count("*").alias("n"))
+    """The counts that a store's commit returns for documents that are written again."""
+    old, new = inputs.changed_chunks(spark, sf_dir)
+    store = _filled(spark, sf_dir, chunks=old)
+    held = inputs.stored_files(spark, sf_dir).select("id", "path")
+    actions = store.upsert_documents(held, new)
+    return spark.createDataFrame([(k, n) for k, n in actions.items()], "action string, n bigint")  # as many rows as actions
 
 
 @query("agg8_folder_size", "SELECT '/ws/' || lang || '/' || source AS folder, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY ALL")
 def folder_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    return inputs.stored_files(spark, sf_dir).groupBy(folder.alias("folder")).agg(F.sum("length").alias("size"))
+    return files.folder_sizes(inputs.stored_files(spark, sf_dir)).select("folder", "size")
 
 
 # -- devices
@@ -558,10 +599,16 @@ def device_registry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- embedding and streaming
 
 
-@query("emb1_embed_pending")
+@query(
+    "emb1_embed_pending",
+    """SELECT doc_id, CAST(0 AS INTEGER) AS line_start, sha256(text) AS text_hash, CAST(32 AS INTEGER) AS dimension, CASE WHEN text = '' THEN 0.0 ELSE 1.0 END AS norm
+FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""",
+)
 def embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The offline embedder over all chunks without a vector."""
-    return embed_pending(inputs.chunks(spark, sf_dir), inputs.vectors(spark, sf_dir), hash_embedder(32)).select("doc_id", "line_start", "text_hash", "embedding")
+    """The offline embedder over all chunks without a vector: keys, sizes and lengths of the new vectors."""
+    found = embed_pending(inputs.chunks(spark, sf_dir), inputs.vectors(spark, sf_dir), hash_embedder(32))
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return found.select("doc_id", "line_start", "text_hash", F.size("embedding").alias("dimension"), F.round(F.sqrt(square), 5).alias("norm"))
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -570,21 +617,103 @@ def _scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="quarry-")
 
 
-@query("str5_stream_index_append", f"WITH {CHK_PARTS} SELECT doc_id, line_start, line_end, text, doc_path FROM markdown")
+@query(
+    "str5_stream_index_append",
+    """WITH logs AS (SELECT conv_id, CAST(row_number() OVER w - 1 AS INTEGER) AS line, turn, count(*) OVER (PARTITION BY conv_id) AS n,
+  """
+    + TRIM.format("replace(role || ': ' || text, chr(10) || chr(10), chr(10))")
+    + """ AS text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT '/ws/logs/' || conv_id || '.jsonl' AS doc_path, line AS line_start, text, line < (n + 1) // 2 AS embedded FROM logs""",
+)
 def stream_index_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive as a stream, are indexed batch by batch, and the store is read."""
-    folder = _scratch(spark)
+    """Logs arrive half written, are embedded, and arrive whole: lines that were there keep their vectors."""
+    folder, logs = _scratch(spark), inputs.logs(spark, sf_dir)
     store = Store(spark, f"{folder}/store")
-    schema = inputs.table(spark, sf_dir, "documents").schema
-    path = F.concat(F.lit("/ws/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    # the pattern matches a single file as well as a folder
-    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]").select(
-        path.alias("path"), (F.lit(1700000000) + F.col("doc_id")).alias("mtime"), F.col("n_chars").alias("length"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("body")
-    )
-    run = arriving.writeStream.foreachBatch(lambda batch, _: apply_batch(store, batch)).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
-    run.awaitTermination()
-    number = F.regexp_extract("doc_path", r"/(\d+)\.md$", 1).cast("bigint")
-    return store.chunks().withColumn("doc_id", number)
+    lines = F.split("body", "\n")
+    half = F.array_join(F.slice(lines, F.lit(1), F.ceil(F.size(lines) / 2).cast("int")), "\n")
+    for time, body in ((1, half), (2, F.col("body"))):
+        rows = logs.select("path", F.lit(time).cast("bigint").alias("mtime"), F.length(body).cast("bigint").alias("length"), body.alias("body"))
+        rows.write.mode("append").parquet(f"{folder}/arrivals")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{folder}/arrivals")
+        run = arriving.writeStream.foreachBatch(lambda batch, n: apply_batch(store, batch, number=("logs", n))).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        run.awaitTermination()
+        if time == 1:
+            store.embed_pending(hash_embedder(16))
+    vectors = store.vectors().select("doc_id", "line_start", F.lit(True).alias("own"))
+    return store.chunks().join(vectors, ["doc_id", "line_start"], "left").select("doc_path", "line_start", "text", F.coalesce("own", F.lit(False)).alias("embedded"))
+
+
+def _written(rows: DataFrame, root: str) -> None:
+    """Write rows (path below the root, body) as files, on the executors."""
+    arrow = pa.schema([("n", pa.int64())])
+
+    def write(batches):
+        for batch in batches:
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                full = os.path.join(root, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                Path(full).write_text(body or "", newline="")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], schema=arrow)
+
+    rows.select("path", "body").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
+def _removed(rows: DataFrame, root: str) -> None:
+    """Delete the files of rows (path), on the executors."""
+
+    def remove(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                os.remove(os.path.join(root, path))
+            yield batch
+
+    rows.select("path").mapInArrow(remove, "path string").count()
+
+
+_TREE = "lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) || '.md'"
+
+
+@query(
+    "str3_stream_changes_and_deletes",
+    f"""WITH states AS (SELECT *, doc_id % 11 = 0 AS gone, doc_id % 7 = 0 AS touched FROM documents)
+SELECT {_TREE} AS path, CAST(count(*) OVER (PARTITION BY doc_id) AS BIGINT) AS n, CASE WHEN touched THEN 'touched' ELSE coalesce(nullif({TRIM.format("regexp_replace(text, chr(10) || '+', ' ', 'g')")}, ''), CAST(doc_id AS VARCHAR) || '.md') END AS text FROM states WHERE NOT gone""",
+)
+def stream_changes_and_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a tree of files that a stream follows over a restart: some are written again, some go."""
+    folder = tree.local(_scratch(spark))
+    root = f"{folder}/tree"
+    os.makedirs(root)
+    docs = inputs.table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.concat("lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.regexp_replace("text", "\n+", " ").alias("body"))
+    store = Store(spark, f"{folder}/store", indexed=False)
+    _written(rows, root)
+    index_stream(spark, store, root, f"{folder}/progress", once=True).awaitTermination()
+    _written(rows.filter("doc_id % 7 = 0").withColumn("body", F.lit("touched")), root)
+    _removed(rows.filter("doc_id % 11 = 0"), root)
+    for _ in range(2):  # the second time nothing is left to do
+        index_stream(spark, store, root, f"{folder}/progress", once=True).awaitTermination()
+    start = len(root) + 2
+    return store.chunks().groupBy("doc_path").agg(F.count("*").alias("n"), F.first("text").alias("text")).select(F.expr(f"substring(doc_path, {start})").alias("path"), "n", "text")
+
+
+@query(
+    "src1_sync_tree",
+    f"""WITH states AS (SELECT *, doc_id % 11 = 0 AS gone, doc_id % 7 = 0 AS touched FROM documents)
+SELECT * FROM (VALUES ('full', (SELECT count(*) FROM states), CAST(0 AS BIGINT)), ('again', CAST(0 AS BIGINT), CAST(0 AS BIGINT)),
+  ('changed', (SELECT count(*) FROM states WHERE touched AND NOT gone), (SELECT count(*) FROM states WHERE gone))) AS t(step, written, removed)""",
+)
+def sync_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full sync of a tree that the executors list, one without changes, and one after changes."""
+    root = f"{tree.local(_scratch(spark))}/tree"
+    os.makedirs(root)
+    rows = inputs.table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("body"))
+    store = Store(spark, f"{_scratch(spark)}/store", indexed=False)
+    _written(rows, root)
+    steps = [("full", *indexer.sync(spark, store, root)), ("again", *indexer.sync_incremental(spark, store, root))]
+    _written(rows.filter("doc_id % 7 = 0").withColumn("body", F.lit("touched")), root)
+    _removed(rows.filter("doc_id % 11 = 0"), root)
+    steps.append(("changed", *indexer.sync_incremental(spark, store, root)))
+    return spark.createDataFrame(steps, "step string, written bigint, removed bigint")
 
 
 # -- smaller parts, one by one
@@ -712,7 +841,8 @@ def db_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg10_stored_times", f"WITH {STORED} SELECT path, mtime FROM stored")
 def stored_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.stored_files(spark, sf_dir).select("path", "mtime")
+    """What a store remembers of the files."""
+    return _filled(spark, sf_dir).files().select("path", "mtime")
 
 
 @query(
@@ -751,14 +881,40 @@ def registry_lines_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "line int, id string")
 
 
+def _slices(rows: DataFrame, time: Column, folder: str, n: int) -> None:
+    """Write rows as ``n`` files, one after another, in the order of ``time``: a stream that takes one a batch gets them so."""
+    first, last = rows.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
+    width = (last - first) // n + 1
+    for i in range(n):
+        rows.filter(F.floor((F.unix_micros(time) - first) / width) == i).coalesce(1).write.mode("append").parquet(folder)
+
+
 @query(
     "str2_debounced_events",
-    """SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""",
+    """WITH cut AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 2 HOUR, true) AS fresh FROM events),
+bursts AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM cut),
+placed AS (SELECT *, row_number() OVER (PARTITION BY user_id, burst ORDER BY ts DESC, event_id DESC) AS n FROM bursts)
+SELECT user_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%SZ') AS events_until FROM placed WHERE n = 1""",
 )
 def debounced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a burst of events for one key the latest counts."""
-    rows = inputs.table(spark, sf_dir, "events")
-    return rows.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    """The events as a stream in four batches, every tenth one 12 hours late: the last event of each burst of a user.
+
+    A last event of nobody's, a month later, moves the watermark past all bursts.
+    """
+    folder = _scratch(spark)
+    rows = inputs.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"))
+    _slices(rows, F.col("ts") + F.when(F.col("event_id") % 10 == 0, F.expr("INTERVAL 12 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS")), f"{folder}/events", 4)
+    rows.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id")).write.mode("append").parquet(f"{folder}/events")
+    held = spark.conf.get(debounce.PROVIDER)
+    debounce.use_rocksdb(spark)
+    try:
+        arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+        bursts = debounce.debounce(arriving, "user_id", "event_id", "ts", "2 hours", "1 day")
+        writer = bursts.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+        writer.start(f"{folder}/bursts", format="parquet", outputMode="append").awaitTermination()
+    finally:
+        spark.conf.set(debounce.PROVIDER, held)
+    return spark.read.schema(bursts.schema).parquet(f"{folder}/bursts").withColumn("events_until", scalars.format_utc(F.col("events_until")))
 
 
 @query("ext5_jsonl_chunk_arrays", "SELECT conv_id AS id, CAST(count(*) AS INTEGER) AS n FROM conversations GROUP BY conv_id")
@@ -766,3 +922,37 @@ def jsonl_chunk_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunker as a column of structs."""
     held = inputs.logs(spark, sf_dir)
     return held.select("id", F.size(chunk.jsonl_array(F.col("body"), scalars.file_name(F.col("path")))).alias("n"))
+
+
+CHUNK_TABLE = f"""WITH {CHK_PARTS}, plain AS (
+  SELECT 'ordinals' AS chunker, doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS line_start, CAST(row_number() OVER w - 1 AS INTEGER) AS line_end, t AS text FROM trimmed WHERE t <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT * FROM plain UNION ALL SELECT 'markdown', doc_id, line_start, line_end, text FROM markdown"""
+
+
+@query("ext5_chunk_table_function", CHUNK_TABLE)
+def chunk_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs by number and by line, from chunkers that are plugged into one table function."""
+    held = inputs.corpus(spark, sf_dir)
+    plain = chunkers.chunk_with(held, chunkers.Chunkers(default=chunkers.ordinals), check=False).withColumn("chunker", F.lit("ordinals"))
+    lines = chunkers.chunk_with(held, chunkers.Chunkers.standard()).withColumn("chunker", F.lit("markdown"))
+    return plain.unionByName(lines).select("chunker", "doc_id", "line_start", "line_end", "text")
+
+
+@query("ext5_chunk_table_function_jsonl", ORACLES["chk3_chunk_jsonl"])
+def chunk_table_function_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logs by the chunker of their extension."""
+    return chunkers.chunk_with(inputs.logs(spark, sf_dir), chunkers.Chunkers.standard())
+
+
+@query(
+    "ext5_chunk_sections",
+    """WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+marked AS (SELECT *, CAST(sum(CASE WHEN i % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS part FROM lines)
+SELECT doc_id, CAST(min(i) AS INTEGER) AS line_start, CAST(count(*) AS BIGINT) AS n FROM marked GROUP BY doc_id, part""",
+)
+def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third chunker: sections of a text whose every third line is a heading."""
+    rows = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("# "), x)).otherwise(F.concat(F.lit("- "), x)))
+    docs = inputs.table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.concat(F.col("doc_id").cast("string"), F.lit(".sections")).alias("path"), F.array_join(rows, "\n").alias("body"))
+    found = chunkers.chunk_with(docs, chunkers.Chunkers.standard().register(chunkers.sections, "sections"))
+    return found.select("doc_id", "line_start", (F.col("line_end") - F.col("line_start") + 1).cast("bigint").alias("n"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import extension
+from quarry.operators.chunkers import Chunkers
+from quarry.sources import tree
 
 #: Suffixes that are indexed as paragraphs and as JSON lines (fixed values).
 TEXT_EXTENSIONS = ("md", "markdown", "txt", "rst", "org")
@@ -29,32 +31,14 @@ def is_jsonl(path: Column) -> Column:
     return extension(path).isin(*JSONL_EXTENSIONS)
 
 
-def walk(root: str) -> Iterator[tuple[str, int, int]]:
-    """(path, seconds of last change or 0, length) of files; symlinks are not followed.
+def listing(spark: SparkSession, root: str, chunkers: Chunkers | None = None) -> DataFrame:
+    """path, mtime, length of the files that are indexed, listed by the executors.
 
-    Hidden directories below the root are left out, hidden files are not.
+    Spark's own file source skips names that start with ``.`` or ``_``; this one
+    skips hidden folders only. ``chunkers`` may add extensions.
     """
-    for folder, folders, names in os.walk(root, followlinks=False):
-        folders[:] = sorted(f for f in folders if not f.startswith("."))
-        for name in sorted(names):
-            path = os.path.join(folder, name)
-            if os.path.islink(path):
-                continue
-            try:
-                info = os.stat(path)
-                yield path, int(info.st_mtime), info.st_size
-            except OSError:
-                yield path, 0, 0
-
-
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path, mtime, length of the files that are indexed.
-
-    Spark's own file source skips names that start with ``.`` or ``_``, so the
-    driver lists and only names and times travel.
-    """
-    rows = list(walk(root))
-    return spark.createDataFrame(rows, "path string, mtime bigint, length bigint").filter(is_indexed(F.col("path")))
+    kind = is_indexed(F.col("path"))
+    return tree.listing(spark, root).filter(kind | chunkers.handles(F.col("path")) if chunkers else kind)
 
 
 def read_all(files: DataFrame) -> DataFrame:
@@ -130,6 +114,12 @@ def resolve(root: str | Path, path: str | Path, inside: bool = True) -> Path:
     return found
 
 
-def folder_size(root: str) -> int:
-    """Bytes of all files below a folder."""
-    return sum(os.lstat(os.path.join(d, n)).st_size for d, _, names in os.walk(root) for n in names)
+def folder_sizes(files: DataFrame) -> DataFrame:
+    """folder, files, size of listed files (path, length), by the folder that they are in."""
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    return files.groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("size"))
+
+
+def folder_size(spark: SparkSession, root: str) -> int:
+    """Bytes of all files below a folder, hidden folders included."""
+    return tree.listing(spark, root, hidden=True).agg(F.sum("length")).first()[0] or 0

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import fnv1a64
 from quarry.operators import changes, chunk
+from quarry.operators.chunkers import Chunkers, chunk_with
 from quarry.sources import files
 from quarry.sources.store import Store
 
@@ -21,19 +23,36 @@ def documents_of(bodies: DataFrame) -> DataFrame:
     return bodies.select(fnv1a64(F.col("path")).alias("id"), "path", "body")
 
 
-def chunks_of(documents: DataFrame, line_ranges: bool = True) -> DataFrame:
+class Synced(tuple):
+    """(documents written, documents removed), and ``actions``: how many chunks were inserted, updated, kept and deleted."""
+
+    actions: Counter
+
+    def __new__(cls, written: int, removed: int, actions: Counter | None = None) -> Synced:
+        out = super().__new__(cls, (written, removed))
+        out.actions = actions or Counter()
+        return out
+
+
+def chunks_of(documents: DataFrame, line_ranges: bool = True, chunkers: Chunkers | None = None) -> DataFrame:
     """Chunks of all documents, each by the chunker of its kind.
 
     Paragraphs carry their line range, or their ordinal without ``line_ranges``
-    (a document without paragraphs then has no chunk).
+    (a document without paragraphs then has no chunk). Extensions in ``chunkers``
+    go through these; the others are chunked natively in the row.
     """
-    jsonl = documents.filter(files.is_jsonl(F.col("path")))
-    text = documents.filter(~files.is_jsonl(F.col("path")))
-    return chunk.chunk_jsonl(jsonl).unionByName(chunk.chunk_markdown(text) if line_ranges else chunk.chunk_paragraphs(text))
+    path, plugged = F.col("path"), None
+    if chunkers and chunkers.extensions():
+        own = F.coalesce(chunkers.handles(path), F.lit(False))
+        plugged, documents = chunk_with(documents.filter(own), chunkers), documents.filter(~own)
+    jsonl = documents.filter(files.is_jsonl(path))
+    text = documents.filter(~files.is_jsonl(path))
+    out = chunk.chunk_jsonl(jsonl).unionByName(chunk.chunk_markdown(text) if line_ranges else chunk.chunk_paragraphs(text))
+    return out.unionByName(plugged) if plugged else out
 
 
-def _index(store: Store, listed: DataFrame, line_ranges: bool) -> int:
-    """Read, chunk and write files; each is read and chunked once.
+def _index(store: Store, listed: DataFrame, line_ranges: bool, chunkers: Chunkers | None = None, removed: DataFrame | None = None, batch: tuple[str, int] | None = None) -> Synced:
+    """Read, chunk and write files, and remove documents, in one commit; each file is read and chunked once.
 
     Files that nobody can read are left out. One that the driver can read and an
     executor cannot means that the executors do not reach the tree: an error, as the
@@ -45,52 +64,69 @@ def _index(store: Store, listed: DataFrame, line_ranges: bool) -> int:
     if lost:
         store.clear_stage()
         raise OSError(f"executors cannot read {lost[0]}, which the driver can; do they reach the tree?")
-    return _write(store, files.text_of(held), line_ranges)
+    return _write(store, files.text_of(held), line_ranges, chunkers, removed, batch)
 
 
-def write_bodies(store: Store, bodies: DataFrame, line_ranges: bool = True) -> int:
-    """Write documents given as path, mtime, length, body; their number."""
-    return _write(store, store.stage(bodies), line_ranges)
+def write_bodies(store: Store, bodies: DataFrame, line_ranges: bool = True, batch: tuple[str, int] | None = None) -> Synced:
+    """Write documents given as path, mtime, length, body."""
+    return _write(store, store.stage(bodies), line_ranges, batch=batch)
 
 
-def _write(store: Store, held: DataFrame, line_ranges: bool) -> int:
-    n = held.count()
+def _write(store: Store, held: DataFrame, line_ranges: bool, chunkers: Chunkers | None = None, removed: DataFrame | None = None, batch: tuple[str, int] | None = None) -> Synced:
+    n, actions = held.count(), Counter()
+    gone = removed.count() if removed is not None else 0
     if n:
         documents = documents_of(held)
-        chunks = store.stage(chunks_of(documents, line_ranges))
-        store.upsert_documents(documents.select("id", "path"), chunks, held.select("path", "mtime", "length"))
+        chunks = store.stage(chunks_of(documents, line_ranges, chunkers))
+        actions = store.upsert_documents(documents.select("id", "path"), chunks, held.select("path", "mtime", "length"), removed if gone else None, batch)
+    elif gone:
+        store.remove_documents(removed, batch)
     store.clear_stage()
-    return n
+    return Synced(n, gone, actions)
 
 
-def _remove_vanished(store: Store, listed: DataFrame) -> int:
-    gone = store.documents().join(listed.select("path"), "path", "left_anti").select("id")
-    n = gone.count()
-    if n:
-        store.remove_documents(gone)
-    return n
+def _vanished(store: Store, listed: DataFrame) -> DataFrame:
+    return store.stage(store.documents().join(listed.select("path"), "path", "left_anti").select("id"))
+
 
+def _sync(store: Store, listed: DataFrame, chosen: DataFrame, line_ranges: bool, chunkers: Chunkers | None) -> Synced:
+    return _index(store, chosen, line_ranges, chunkers, _vanished(store, listed))
 
-def sync(spark: SparkSession, store: Store, root: str, line_ranges: bool = True) -> tuple[int, int]:
-    """Index every file below ``root``; (documents written, documents removed)."""
-    listed = files.listing(spark, root)
-    return _index(store, listed, line_ranges), _remove_vanished(store, listed)
 
+def sync(spark: SparkSession, store: Store, root: str, line_ranges: bool = True, chunkers: Chunkers | None = None) -> Synced:
+    """Index every file below ``root`` and forget what is no longer there."""
+    listed = store.stage(files.listing(spark, root, chunkers))
+    return _sync(store, listed, listed, line_ranges, chunkers)
 
-def sync_incremental(spark: SparkSession, store: Store, root: str, line_ranges: bool = True) -> tuple[int, int]:
+
+def sync_incremental(spark: SparkSession, store: Store, root: str, line_ranges: bool = True, chunkers: Chunkers | None = None) -> Synced:
     """The same for files whose time or length differs from what is stored."""
-    listed = files.listing(spark, root)
-    fresh = changes.changed_files(listed, store.files())
-    written = _index(store, fresh, line_ranges) if fresh.limit(1).count() else 0
-    return written, _remove_vanished(store, listed)
+    listed = store.stage(files.listing(spark, root, chunkers))
+    return _sync(store, listed, changes.changed_files(listed, store.files()), line_ranges, chunkers)
+
+
+def apply_changes(store: Store, events: DataFrame, line_ranges: bool = True, chunkers: Chunkers | None = None, batch: tuple[str, int] | None = None) -> Synced:
+    """Follow events (path, mtime, length, event) in one commit: files are read and indexed, deleted ones forgotten.
+
+    A batch that the store has already is left alone. A file that vanished since it
+    was listed is forgotten with the event that tells so.
+    """
+    if batch and store.applied(batch[0]) >= batch[1]:
+        return Synced(0, 0)
+    path = F.col("path")
+    indexed = files.is_indexed(path) | chunkers.handles(path) if chunkers else files.is_indexed(path)
+    held = store.stage(events.filter(indexed))
+    gone = store.stage(held.filter("event = 'delete'").select(fnv1a64(path).alias("id")))
+    return _index(store, held.filter("event <> 'delete'").select("path", "mtime", "length"), line_ranges, chunkers, gone, batch)
 
 
-def update_file(spark: SparkSession, store: Store, root: str, path: str, line_ranges: bool = True) -> bool:
+def update_file(spark: SparkSession, store: Store, root: str, path: str, line_ranges: bool = True, chunkers: Chunkers | None = None) -> bool:
     """Index one file again; False if its kind is not indexed."""
     found = files.resolve(root, path)
     info = found.stat()
-    listed = spark.createDataFrame([(str(found), int(info.st_mtime), info.st_size)], "path string, mtime bigint, length bigint").filter(files.is_indexed(F.col("path")))
-    return _index(store, listed, line_ranges) > 0
+    listed = spark.createDataFrame([(str(found), int(info.st_mtime), info.st_size)], "path string, mtime bigint, length bigint")
+    kind = files.is_indexed(F.col("path"))
+    return _index(store, listed.filter(kind | chunkers.handles(F.col("path")) if chunkers else kind), line_ranges, chunkers)[0] > 0
 
 
 def delete_file(spark: SparkSession, store: Store, root: str, path: str) -> None:
@@ -99,9 +135,9 @@ def delete_file(spark: SparkSession, store: Store, root: str, path: str) -> None
     store.remove_documents(store.documents().filter(F.col("path") == found).select("id"))
 
 
-def apply_event(spark: SparkSession, store: Store, root: str, path: str, line_ranges: bool = True) -> bool:
+def apply_event(spark: SparkSession, store: Store, root: str, path: str, line_ranges: bool = True, chunkers: Chunkers | None = None) -> bool:
     """Index a file that exists, forget one that does not; True if it is indexed now."""
     if files.resolve(root, path).is_file():
-        return update_file(spark, store, root, path, line_ranges)
+        return update_file(spark, store, root, path, line_ranges, chunkers)
     delete_file(spark, store, root, path)
     return False

@@ -1,8 +1,8 @@
 """Continuous indexing.
 
-Spark's file source delivers new files but neither changes nor deletions, so two
-things work together: a stream over the tree indexes files as they arrive, and a
-cycle compares the listing with the store, which finds everything else.
+A stream over a tree delivers what was inserted, changed and deleted since the last
+batch (``sources.tree``), and each batch becomes one commit of the store. A cycle that
+compares the listing with the store does the same without a stream.
 """
 
 from __future__ import annotations
@@ -13,44 +13,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.scalars import hidden
-from quarry.sources import files
-from quarry.sources.indexer import write_bodies
+from quarry.operators.chunkers import Chunkers
+from quarry.sources import tree
+from quarry.sources.indexer import Synced, apply_changes, write_bodies
 from quarry.sources.store import Store
 
 #: How long a burst of events is gathered.
 DEBOUNCE = "300 milliseconds"
 
 
-def events(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
-    """A stream of path, mtime, length, body of the indexed files below ``root`` that are not hidden."""
-    kind = "path string, modificationTime timestamp, length bigint, content binary"
-    raw = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(root)
-    path = F.regexp_replace("path", "^file:/+", "/")
-    text = F.col("content").cast("string")
-    relative = F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))
-    rows = raw.filter(files.is_indexed(path) & ~hidden(relative) & F.is_valid_utf8(text))
-    return rows.select(path.alias("path"), F.unix_seconds("modificationTime").alias("mtime"), "length", text.alias("body"))
+def apply_batch(store: Store, batch: DataFrame, line_ranges: bool = True, number: tuple[str, int] | None = None) -> Synced:
+    """Index one micro-batch of bodies (path, mtime, length, body); of several events for a path the latest counts.
 
-
-def apply_batch(store: Store, batch: DataFrame, line_ranges: bool = True) -> None:
-    """Index one micro-batch; of several events for a path the latest counts.
-
-    Running a batch again gives the same store, as rows are replaced by key.
+    Running a batch again gives the same store, as rows are replaced by key; a
+    batch with a ``number`` (stream, batch) that the store has already is left alone.
     """
+    if number and store.applied(number[0]) >= number[1]:
+        return Synced(0, 0)
     one = batch.groupBy("path").agg(F.max_by(F.struct("mtime", "length", "body"), "mtime").alias("e")).select("path", "e.*")
-    write_bodies(store, one, line_ranges)
+    return write_bodies(store, one, line_ranges, number)
 
 
-def index_stream(spark: SparkSession, store: Store, root: str, checkpoint: str, once: bool = False, on_batch: Callable[[int], None] | None = None):
-    """Start indexing files as they arrive; with ``once`` up to what is there now."""
+def index_stream(
+    spark: SparkSession, store: Store, root: str, checkpoint: str, once: bool = False, on_batch: Callable[[int, Synced], None] | None = None,
+    line_ranges: bool = True, chunkers: Chunkers | None = None,
+):
+    """Start following a tree; with ``once`` up to what is there now.
+
+    Insertions, changes and deletions of a batch are one commit, which carries the
+    batch's number: a batch that is run again after a restart changes nothing more.
+    ``checkpoint`` is a folder that the executors reach by its path, since the
+    listing of the last batch is kept beside it.
+    """
+    stream = checkpoint.rstrip("/")
 
     def run(batch: DataFrame, number: int) -> None:
-        apply_batch(store, batch)
+        done = apply_changes(store, batch, line_ranges, chunkers, (stream, number))
         if on_batch:
-            on_batch(number)
+            on_batch(number, done)
 
-    writer = events(spark, root).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    events = tree.changes(spark, root, tree.local(f"{stream}-listed"))
+    writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DEBOUNCE)).start()
 
 

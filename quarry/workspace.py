@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry import schemas
 from quarry.config import APP, Config, Folders, ReplicaKind, path_id
+from quarry.operators.chunkers import Chunkers
 from quarry.operators.embed import Embedder, build_embedder
 from quarry.sources import devices, files, indexer
 from quarry.sources.replicate import LocalOnly, Replica
@@ -68,16 +69,19 @@ def device_id(folder: str | Path) -> str:
 
 
 class Workspace:
-    """``replica`` is told of every file that is written or deleted, unless the configuration says ``none``."""
+    """``replica`` is told of every file that is written or deleted, unless the configuration says ``none``.
+
+    ``chunkers`` adds chunkers, and extensions that are indexed by them.
+    """
 
     def __init__(
         self, spark: SparkSession, root: str | Path, config: Config | None = None, store_path: str | None = None,
-        replica: Replica | None = None, folders: Folders | None = None,
+        replica: Replica | None = None, folders: Folders | None = None, chunkers: Chunkers | None = None,
     ):
         self.spark, self.root, self.config = spark, str(files.canonical(root)), config or Config()
         self.store = Store(spark, store_path or f"{self.root}/{MARKER}/store")
         self.replica: Replica = replica if replica and self.config.replica.backend != ReplicaKind.NONE else LocalOnly()
-        self.folders = folders or Folders.of()
+        self.folders, self.chunkers = folders or Folders.of(), chunkers
 
     @property
     def embedder(self) -> Embedder | None:
@@ -87,11 +91,11 @@ class Workspace:
 
     # -- indexing
 
-    def sync(self) -> tuple[int, int]:
-        return indexer.sync(self.spark, self.store, self.root, self.config.line_ranges)
+    def sync(self) -> indexer.Synced:
+        return indexer.sync(self.spark, self.store, self.root, self.config.line_ranges, self.chunkers)
 
-    def refresh(self) -> tuple[int, int]:
-        return indexer.sync_incremental(self.spark, self.store, self.root, self.config.line_ranges)
+    def refresh(self) -> indexer.Synced:
+        return indexer.sync_incremental(self.spark, self.store, self.root, self.config.line_ranges, self.chunkers)
 
     def embed_pending(self, on_progress: Callable[[int, int], None] | None = None) -> int:
         embedder = self.embedder
@@ -142,7 +146,7 @@ class Workspace:
     def on_event(self, path: str) -> bool:
         """Follow one file that changed: it is indexed if it exists and forgotten if not. True if it is indexed now."""
         found = str(self.path(path))
-        indexed = indexer.apply_event(self.spark, self.store, self.root, found, self.config.line_ranges)
+        indexed = indexer.apply_event(self.spark, self.store, self.root, found, self.config.line_ranges, self.chunkers)
         (self.replica.add_file if Path(found).exists() else self.replica.remove_file)(found)
         return indexed
 

@@ -40,7 +40,8 @@ def test_sync_and_refresh(spark, tree, tmp_path):
     assert indexer.sync_incremental(spark, store, str(tree)) == (0, 0)
     (tree / "a.md").write_text("Changed license.\n\nThe license text.")
     (tree / "sub/b.TXT").unlink()
-    assert indexer.sync_incremental(spark, store, str(tree)) == (1, 1)
+    done = indexer.sync_incremental(spark, store, str(tree))
+    assert done == (1, 1) and done.actions == {"update_text": 1, "keep": 1}
     assert "sub/b.TXT" not in names(store.files(), tree)
     (tree / "sub/b.TXT").write_text("hello again")
     os.utime(tree / "sub/b.TXT", (1, 1))
@@ -180,11 +181,12 @@ def test_stream(spark, tree, tmp_path):
 
     store = Store(spark, str(tmp_path / "store"))
     index_stream(spark, store, str(tree), str(tmp_path / "progress"), once=True).awaitTermination()
-    assert names(store.documents(), tree) == ["a.md", "log.jsonl", "sub/b.TXT"]  # the source skips . and _ names
+    assert names(store.documents(), tree) == [".hidden.md", "_u.md", "a.md", "log.jsonl", "sub/b.TXT"]
     (tree / "late.md").write_text("hello late")
     index_stream(spark, store, str(tree), str(tmp_path / "progress"), once=True).awaitTermination()
     assert "late.md" in names(store.documents(), tree)
     (tree / "late.md").unlink()
+    (tree / "a.md").write_text("changed")
     said = []
     watch_tree(Workspace(spark, tree, store_path=str(tmp_path / "store")), interval=0, cycles=2, log=said.append)
     assert names(store.documents(), tree) == [".hidden.md", "_u.md", "a.md", "log.jsonl", "sub/b.TXT"] and len(said) == 1
@@ -250,6 +252,50 @@ def test_changes_against_whole_tables(spark, tmp_path):
         store.vacuum()
         assert store.manifest()["gone"] == {"documents": [], "files": []} and {len(p) for p in store.manifest()["tables"].values()} <= {0, 1}
     assert {r.doc_id: r.text for r in store.chunks().filter("line_start = 0").collect()} == want
+    assert store.check().count() == 0
+
+
+def test_pending_is_kept_up_to_date(spark, tmp_path):
+    """After every commit of a random row the kept tables are what follows from the chunks."""
+    import random
+
+    rng, store, embedder = random.Random(4), Store(spark, str(tmp_path / "s")), hash_embedder(4)
+    for step in range(9):
+        kind = rng.choice(["write", "write", "remove", "embed", "dimension", "compact"]) if step else "write"
+        ids = rng.sample(range(12), 4)
+        if kind == "write":
+            actions = store.upsert_documents(*rows_of(spark, ids, rng.choice(["first {} text", "second {} text"])))
+            assert actions.total() - actions["delete"] == 12
+        elif kind == "remove":
+            store.remove_documents(spark.createDataFrame([(i,) for i in ids], "id bigint"))
+        elif kind == "embed":
+            n = store.table("pending").count()
+            assert store.embed_pending(embedder) == n and store.table("pending").count() == 0
+        elif kind == "dimension":
+            embedder = hash_embedder(rng.choice([4, 8]))
+            store.ensure_dimension(embedder.dimension)
+        else:
+            store.compact()
+            store.vacuum()
+        assert [tuple(r) for r in store.check().collect()] == [], (step, kind)
+
+
+def test_check_finds_what_is_wrong(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.upsert_documents(*rows_of(spark, range(3)))
+    store.commit({"documents": spark.createDataFrame([(1, "/ws/1.md")], "id bigint, path string")})
+    store.commit(whole={"pending": store.table("pending").filter("doc_id <> 2"), "postings": store.table("postings").filter("doc_id <> 0")})
+    assert {r.problem for r in store.check().collect()} == {"document twice", "not pending", "posting missing"}
+
+
+def test_a_store_without_kept_pending_chunks(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.upsert_documents(*rows_of(spark, range(3)))
+    held = store.manifest()
+    held["tables"].pop("pending")
+    store._save(store._generation() + 1, held["tables"], held["gone"], {})
+    assert store.vec_info().first().pending_count == 9 and store.pending().count() == 9
+    assert store.check().count() == 0
 
 
 def test_many_candidates(spark, tmp_path):
