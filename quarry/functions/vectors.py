@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,13 +29,14 @@ def l2_distance(vector: Column, query: Sequence[float]) -> Column:
         return F.when(F.size(vector) == len(q), F.sqrt(total))
     target = np.asarray(q)
 
-    @F.pandas_udf("double")
-    def far(batch: pd.Series) -> pd.Series:
-        held = [v is not None and len(v) == len(target) for v in batch]
-        out = np.full(len(batch), np.nan)
-        if any(held):
-            out[held] = np.sqrt(((np.stack(batch[held].to_list()).astype(float) - target) ** 2).sum(axis=1))
-        return pd.Series(out).where(~np.isnan(out), None)
+    @F.arrow_udf("double")
+    def far(vectors: pa.Array) -> pa.Array:
+        fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), len(target)), False)
+        held = vectors.filter(fits).flatten()  # one flat array of numbers; null ones become NaN
+        points = held.to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(target))
+        out = np.full(len(vectors), np.nan)
+        out[fits.to_numpy(zero_copy_only=False)] = np.sqrt(((points - target) ** 2).sum(axis=1))
+        return pa.array(out, mask=np.isnan(out))
 
     return far(vector)
 
