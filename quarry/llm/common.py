@@ -27,6 +27,9 @@ _WORDS = 8
 #: Facts that meet one copy of a dimension row in :func:`join_salted`.
 SALT_ROWS = 1000
 
+#: Rows and bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
 _scratch: list[str] = []
 
 
@@ -114,6 +117,15 @@ def slices(batch: pa.RecordBatch, rows: int, most_bytes: int | None = None) -> I
         at, done = end, int(ends[end - 1])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, which are held twice: outside the JVM's heap and in the worker."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = spark.conf.get(key).rstrip("bB")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
+
+
 def arrow_map(
     df: DataFrame,
     schema: str,
@@ -128,6 +140,7 @@ def arrow_map(
             for part in slices(batch, batch_rows):
                 yield pa.RecordBatch.from_pydict(rows(part), schema=arrow)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -136,7 +149,8 @@ def keep_rows(df: DataFrame, text_col: str, test: Callable[[list], list]) -> Dat
 
     Whole rows go through Python in slices, so that no queue holds them in between.
     """
-    at = df.columns.index(text_col)
+    small_batches(df.sparkSession)
+    at = [c.lower() for c in df.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,6 +170,7 @@ def located(docs: DataFrame, from_files: bool) -> tuple[DataFrame, str, str]:
     of its path) and the row's number there. ``from_files`` says that ``docs`` is a
     plain read of Parquet files; anything else is written to the scratch folder.
     """
+    small_batches(docs.sparkSession)
     file, at = fresh(docs, "file", "at")
 
     def placed(table: DataFrame) -> DataFrame:

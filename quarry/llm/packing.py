@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_of
+from quarry.llm.common import small_batches, text_of
 from quarry.llm.wordtok import encoder
 
 TIERS = (512, 1024, 2048, 4096)
@@ -193,4 +193,5 @@ def pack_documents(
                     yield from batches_of(packer.flush(False))
         yield from batches_of(packer.flush(True))
 
+    small_batches(docs.sparkSession)
     return source.mapInArrow(run, PIECES_SQL + (", ids array<int>" if emit_ids else ""))
