@@ -8,22 +8,27 @@ import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 from functools import reduce
+from itertools import count
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry import schemas
+from quarry.config import Config
 from quarry.functions import scalars
 from quarry.functions.vectors import l2_between, l2_distance
-from quarry.operators import changes, chunk, chunkers, postings, rank
-from quarry.operators.embed import embed_pending, hash_embedder
+from quarry.operators import cells, changes, chunk, chunkers, postings, rank
+from quarry.operators.embed import Embedder, embed_pending, hash_embedder
 from quarry.operators.match import parse_match
 from quarry.plans import inputs
 from quarry.sources import devices, files, indexer, tree
+from quarry.sources.replicate import SharedFolder
 from quarry.sources.store import Store
 from quarry.streaming import debounce
-from quarry.streaming.watch import apply_batch, index_stream
+from quarry.streaming.watch import apply_batch, index_stream, watch_tree
+from quarry.workspace import RetrieveParams, Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -354,6 +359,25 @@ def vector_search_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.no_files(inputs.chunks(spark, sf_dir)).select("id", "path", "score")
 
 
+@query("rnk4_cells_nearest", ORACLES["rnk4_vector_knn_chunks"])
+def cells_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest chunks from vectors in cells, of which only those that can hold one are read."""
+    found = _cells(spark, sf_dir).nearest(inputs.query_vector(spark, sf_dir), 50)
+    return found.select("doc_id", "line_start", "doc_path", F.round("score", 6).alias("score"))
+
+
+@query("rnk5_cells_prefix", ORACLES["rnk5_vector_search_prefix"])
+def cells_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _cells(spark, sf_dir).nearest(inputs.query_vector(spark, sf_dir), 50, "/ws/de")
+    return rank.group_by_file(near, 10).select("id", "path", F.round("score", 6).alias("score"))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> cells.Cells:
+    path = f"{_scratch(spark)}/cells"
+    cells.write(inputs.vectors(spark, sf_dir), path, 64)
+    return cells.Cells(spark, path, schemas.VECTORS)
+
+
 # -- hybrid
 
 
@@ -380,8 +404,19 @@ def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rnk9_retrieve_default_weights", _hybrid_sql(0.5, 0.5))
 def retrieve_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workspace's search with its configured weights; its embedder gives the query's vector."""
     q = inputs.query_vector(spark, sf_dir)
-    return _fused(rank.hybrid_files(inputs.chunks(spark, sf_dir), inputs.vectors(spark, sf_dir), TERMS, q, weight_fts=0.5, weight_semantic=0.5))
+    root = tree.local(_scratch(spark))
+    os.makedirs(root, exist_ok=True)
+
+    class Known(Workspace):
+        embedder = Embedder(lambda texts: [q for _ in texts], len(q))
+
+    workspace = Known(spark, root, Config.load({"embedding": {"enabled": True, "dimension": len(q)}}, {}))
+    workspace.store.ensure_dimension(len(q))
+    held = inputs.stored_files(spark, sf_dir)
+    workspace.store.replace(documents=held.select("id", "path"), chunks=inputs.chunks(spark, sf_dir), chunk_vectors=inputs.vectors(spark, sf_dir))
+    return _fused(workspace.retrieve(RetrieveParams(TERMS)))
 
 
 @query("rnk7_hybrid_fts_only", f"WITH {bm25_sql(['license', 'the'])}, {files_sql('scored', 150, 10)} SELECT id, path, round(score, 6) AS score FROM grouped")
@@ -652,9 +687,10 @@ def _written(rows: DataFrame, root: str) -> None:
             for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 full = os.path.join(root, path)
                 os.makedirs(os.path.dirname(full), exist_ok=True)
-                Path(full).write_text(body or "", newline="")
+                Path(full).write_bytes(body if isinstance(body, bytes) else (body or "").encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], schema=arrow)
 
+    os.makedirs(root, exist_ok=True)
     rows.select("path", "body").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
 
 
@@ -775,14 +811,11 @@ def vectors_with_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two short result lists that share files and hits."""
-    held = inputs.chunks(spark, sf_dir)
-    fts = rank.fts_files(held, "the", limit=20)
-    near = rank.group_by_file(rank.best(held.withColumn("score", F.col("doc_id").cast("double")), 40), 20)
-    return fts, near
+    """Two short result lists that share files: by words and by distance."""
+    return rank.fts_files(inputs.chunks(spark, sf_dir), "the", limit=20), rank.vector_files(inputs.vectors(spark, sf_dir), inputs.query_vector(spark, sf_dir), limit=20)
 
 
-_LISTS = f"{bm25_sql(['the'])}, {files_sql('scored', 100, 20, 'fts')}, low AS (SELECT *, CAST(doc_id AS DOUBLE) AS score FROM chunks), {files_sql('low', 40, 20, 'semantic')}"
+_LISTS = f"{bm25_sql(['the'])}, {files_sql('scored', 100, 20, 'fts')}, {_nearest_sql()}, {files_sql('near', 100, 20, 'semantic')}"
 
 
 @query("joi7_rrf_full_join", f"WITH {_LISTS}, " + fused_sql(60.0, 1.0, 1.0, 40).replace("CAST(1 AS BIGINT) AS hits", "f.id IS NOT NULL AND s.id IS NOT NULL AS in_both"))
@@ -874,7 +907,9 @@ def name_if_newer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dml8_registry_lines_sorted", f"WITH {DEVICES} SELECT CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS line, id FROM records")
 def registry_lines_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry file's lines, in order of ids."""
-    path = f"{tempfile.mkdtemp(prefix='quarry-')}/devices.jsonl"
+    folder = tree.local(_scratch(spark))
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder}/devices.jsonl"
     devices.save(inputs.device_records(spark, sf_dir), path)
     with open(path, encoding="utf-8") as file:
         rows = [(i, devices.record(x)["id"]) for i, x in enumerate(file, 1)]
@@ -956,3 +991,92 @@ def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.concat(F.col("doc_id").cast("string"), F.lit(".sections")).alias("path"), F.array_join(rows, "\n").alias("body"))
     found = chunkers.chunk_with(docs, chunkers.Chunkers.standard().register(chunkers.sections, "sections"))
     return found.select("doc_id", "line_start", (F.col("line_end") - F.col("line_start") + 1).cast("bigint").alias("n"))
+
+
+@query("rnk1_store_search_fts", ORACLES["rnk1_fts_search_files"])
+def store_search_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through a store: the chunks that the postings name, and totals from stored lengths."""
+    return _filled(spark, sf_dir).search_fts(TERMS).select("id", "path", F.round("score", 6).alias("score"))
+
+
+@query(
+    "flt6_store_match_language",
+    f"WITH {bm25_sql(['apache license', 'idiot', 'version'], '({0} OR {1}) AND NOT {2}')}, {files_sql()} SELECT id, path, round(score, 6) AS score FROM grouped",
+)
+def store_match_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase, OR, NOT and a term that is too short, through a store's postings."""
+    return _filled(spark, sf_dir).search_fts('("Apache License" OR idiot ab) NOT version').select("id", "path", F.round("score", 6).alias("score"))
+
+
+@query(
+    "ext7_replicate_two_hosts",
+    f"""WITH states AS (SELECT *, doc_id % 11 = 0 AS gone, doc_id % 7 = 0 AS at_b, doc_id % 5 = 0 AS at_a FROM documents)
+SELECT {_TREE} AS path, CASE WHEN gone OR at_b THEN 'b' ELSE 'a' END AS host, gone AS deleted,
+  CASE WHEN NOT gone THEN sha256(CASE WHEN at_b THEN 'changed at b' WHEN at_a THEN 'changed at a' ELSE text END) END AS hash, true AS same FROM states""",
+)
+def replicate_two_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of host a, exchanged with b; both change some, b later and with deletions; what a holds then, and whether b holds the same."""
+    folder, clock = tree.local(_scratch(spark)), count(1)
+    rows = inputs.table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("body"))
+    hosts = {}
+    for name in "ab":
+        os.makedirs(f"{folder}/{name}")
+        hosts[name] = SharedFolder(spark, f"{folder}/{name}", f"{folder}/shared", name, now=lambda: next(clock) * 1_000_000)
+    _written(rows, hosts["a"].root)
+    for name in "ab":
+        hosts[name].sync()
+    _written(rows.filter("doc_id % 5 = 0").withColumn("body", F.lit("changed at a")), hosts["a"].root)
+    _written(rows.filter("doc_id % 7 = 0").withColumn("body", F.lit("changed at b")), hosts["b"].root)
+    _removed(rows.filter("doc_id % 11 = 0"), hosts["b"].root)
+    for name in "aba":
+        hosts[name].sync()
+    key = ["path", "time", "host", "deleted"]
+    same = hosts["b"].versions().select(*key, F.col("hash").alias("other"))
+    both = hosts["a"].versions().join(same, key, "left")
+    return both.select("path", "host", "deleted", "hash", F.col("hash").eqNullSafe(F.col("other")).alias("same"))
+
+
+def _tree_of(spark: SparkSession, sf_dir: str, body: Column | None = None) -> str:
+    """The documents as files below a new folder, written by the executors."""
+    root = f"{tree.local(_scratch(spark))}/tree"
+    docs = inputs.table(spark, sf_dir, "documents")
+    _written(docs.select(F.concat("lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), (F.col("text") if body is None else body).alias("body")), root)
+    return root
+
+
+@query("src4_utf8_files_only", f"SELECT {_TREE} AS path, CAST(length(coalesce(text, '')) AS INTEGER) AS chars FROM documents WHERE doc_id % 9 <> 0")
+def utf8_files_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that aren't UTF-8 (every ninth starts with a wrong byte) are left out."""
+    octets = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    root = _tree_of(spark, sf_dir, F.when(F.col("doc_id") % 9 == 0, F.concat(F.unhex(F.lit("FF")), octets)).otherwise(octets))
+    bodies = files.read_bodies(files.listing(spark, root))
+    return bodies.select(F.expr(f"substring(path, {len(root) + 2})").alias("path"), F.length("body").alias("chars"))
+
+
+@query("src12_list_dir", "SELECT DISTINCT 'en/' || source AS path, true AS is_dir FROM documents WHERE lang = 'en'")
+def list_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.list_dir(spark, _tree_of(spark, sf_dir), "en")
+
+
+@query("flt4_substring_prefix", f"SELECT doc_id AS id, {PATH} AS path FROM documents WHERE contains(lower(text), 'license') AND starts_with({PATH}, '/ws/en/src') ORDER BY path LIMIT 10")
+def substring_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = inputs.chunks(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("doc_path").alias("path"), F.col("text").alias("body"))
+    return rank.substring_files(docs, "License", path_prefix="/ws/en/src").select("id", "path")
+
+
+@query("str4_watch_cycles", "SELECT CAST(count(*) AS VARCHAR) || ' indexed, 0 removed' AS said FROM documents")
+def watch_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three cycles over a tree that doesn't change: the first indexes it, the others have nothing to say."""
+    said: list[str] = []
+    watch_tree(Workspace(spark, _tree_of(spark, sf_dir), store_path=f"{_scratch(spark)}/store"), interval=0, cycles=3, log=said.append)
+    return spark.createDataFrame([(x,) for x in said], "said string")
+
+
+@query("mnt3_rebuild", "SELECT count(*) AS written, CAST(0 AS BIGINT) AS removed, count(*) AS documents, CAST(0 AS BIGINT) AS problems FROM documents")
+def rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that is thrown away and filled from the tree again."""
+    workspace = Workspace(spark, _tree_of(spark, sf_dir), store_path=f"{_scratch(spark)}/store")
+    workspace.sync()
+    written, removed = workspace.rebuild()
+    counts = workspace.store.documents().agg(F.count("*").alias("documents")).crossJoin(workspace.store.check().agg(F.count("*").alias("problems")))  # one row each
+    return counts.select(F.lit(written).cast("bigint").alias("written"), F.lit(removed).cast("bigint").alias("removed"), "documents", "problems")

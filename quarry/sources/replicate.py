@@ -28,7 +28,7 @@ from pathlib import Path
 from typing import Protocol, runtime_checkable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.sources import files, tree
@@ -72,8 +72,9 @@ def newest_versions(versions: DataFrame) -> DataFrame:
     return versions.groupBy("path").agg(F.max_by(F.struct(*rest), order).alias("v")).select("path", "v.*")
 
 
-def _inside(path: str) -> bool:
-    return bool(path) and not os.path.isabs(path) and ".." not in Path(path).parts
+def _inside(path: Column) -> Column:
+    """Below the root, whatever a host has written."""
+    return (path != "") & ~path.startswith("/") & ~path.rlike(r"(^|/)\.\.(/|$)")
 
 
 class SharedFolder:
@@ -221,7 +222,7 @@ class SharedFolder:
         taken = 0
         if paths:
             before = own.select("path", F.struct("time", "host").alias("has"))
-            come = newest_versions(self.spark.read.schema(BATCH).parquet(*paths)).filter(F.udf(_inside, "boolean")("path"))
+            come = newest_versions(self.spark.read.schema(BATCH).parquet(*paths)).filter(_inside(F.col("path")))
             won = self._scratch(come.join(before, "path", "left").filter(F.col("has").isNull() | (F.struct("time", "host") > F.col("has"))).drop("has"))
             taken = won.count()
             if taken:
