@@ -42,6 +42,8 @@ BEGINNINGS = (4, 5, 6, 7)
 #: The floor is low, since few documents of a rare language can show a difference;
 #: the ridge penalty does the rest.
 MIN_DOCUMENTS, MIN_Z, MAX_WORDS = 3, 3.0, 16_384
+#: A language's features are ranked in so many slices before they are ranked together.
+SLICES = 32
 #: Weight of the squared weights, and steps of the fit.
 RIDGE, STEPS = 1e-5, 600
 #: A task hands on its counts of features when one language has more than so many.
@@ -69,6 +71,15 @@ def features(text: str) -> Counter:
     return out
 
 
+def present(text: str) -> set[str]:
+    """The features that a text has."""
+    found = set(words(text))
+    out = set(found)
+    for k in BEGINNINGS:
+        out.update([word[:k] + "-" for word in found if len(word) > k])
+    return out
+
+
 def fit_cumulative(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, grade: np.ndarray, weight: np.ndarray, width: int, steps: int = STEPS, ridge: float = RIDGE):
     """(weights, ascending thresholds) by maximum likelihood, from sparse x[rows, cols].
 
@@ -108,17 +119,25 @@ class SeverityModel:
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
+    def __post_init__(self):
+        self._names = sorted(self.weights)
+        numbers = {name: i for i, name in enumerate(self._names)}
+        self._begins = {name[:-1]: i for name, i in numbers.items() if name.endswith("-")}
+        self._words = {name: i for name, i in numbers.items() if not name.endswith("-")}
+        self._starts = {begin[: min(BEGINNINGS)] for begin in self._begins}
+
     def at_least(self, text: str) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ..."""
-        known: Counter = Counter()
-        held = self.weights.keys()
+        known: dict[int, int] = {}
+        whole, begins, starts, least = self._words, self._begins, self._starts, min(BEGINNINGS)
         for word, n in Counter(words(text)).items():
-            if word in held:
-                known[word] += n
-            for k in BEGINNINGS:
-                if len(word) > k and (begin := word[:k] + "-") in held:
-                    known[begin] += n
-        eta = sum((1 + log(n)) * self.weights[w] for w, n in sorted(known.items()))
+            if (i := whole.get(word)) is not None:
+                known[i] = known.get(i, 0) + n
+            if word[:least] in starts:  # as any of its beginnings' is
+                for k in BEGINNINGS:
+                    if len(word) > k and (i := begins.get(word[:k])) is not None:
+                        known[i] = known.get(i, 0) + n
+        eta = sum((1 + log(known[i])) * self.weights[self._names[i]] for i in sorted(known))
         return 1 / (1 + np.exp(-(eta - self.thresholds).clip(-40, 40)))
 
 
@@ -197,7 +216,7 @@ def _vocabulary(texts: DataFrame, labelled: DataFrame, place: list[str]) -> list
             for batch in slices(whole, 500):
                 for lang, text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     own = held.setdefault(lang, [Counter(), Counter()])
-                    own[toxic].update(features(text).keys())
+                    own[toxic].update(present(text))
                     if len(held) > MAX_HELD // 100 or len(own[toxic]) > MAX_HELD // 2:
                         yield from out()
         yield from out()
@@ -221,8 +240,10 @@ def _vocabulary(texts: DataFrame, labelled: DataFrame, place: list[str]) -> list
     both = materialise(both.filter("z IS NOT NULL OR every_z IS NOT NULL").select("lang", "word", "z", "every_z"), "screened")
     own = both.filter("z IS NOT NULL").select(F.lit(True).alias("own"), "lang", "word", "z")
     every = both.filter("every_z IS NOT NULL").select(F.lit(False).alias("own"), F.lit("").alias("lang"), "word", F.col("every_z").alias("z")).distinct()
-    rank = F.row_number().over(W.partitionBy("own", "lang").orderBy(F.abs("z").desc(), "word"))
-    kept = own.unionByName(every).withColumn("rank", rank).filter(F.col("rank") <= MAX_WORDS)
+    order, slice_ = [F.abs("z").desc(), F.col("word")], F.pmod(F.xxhash64("word"), F.lit(SLICES))
+    # the best of each slice of a language first, so that no task ranks more than SLICES * MAX_WORDS
+    some = own.unionByName(every).withColumn("slice", slice_).withColumn("rank", F.row_number().over(W.partitionBy("own", "lang", "slice").orderBy(*order))).filter(F.col("rank") <= MAX_WORDS)
+    kept = some.withColumn("rank", F.row_number().over(W.partitionBy("own", "lang").orderBy(*order))).filter(F.col("rank") <= MAX_WORDS)
     best = kept.groupBy("word").agg(F.min(F.struct("rank", (-F.abs("z")).alias("less"), "z")).alias("m"))
     out = [(r["word"], r["z"]) for r in best.select("word", "m.*").orderBy("rank", "less", "word").limit(MAX_WORDS).select("word", "z").collect()]
     discard(both)
