@@ -104,12 +104,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def slices(batch: pa.RecordBatch, rows: int, most_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``rows`` rows and ``most_bytes`` bytes of text (but of one row at least)."""
+    """Slices of at most ``rows`` rows and ``most_bytes`` bytes of texts and lists of numbers (but of one row at least)."""
     most_bytes = most_bytes or SLICE_BYTES
     size = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
             size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(column.type) and pa.types.is_primitive(column.type.value_type):
+            size += pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False) * (column.type.value_type.bit_width // 8)
     ends, at, done = np.cumsum(size), 0, 0
     while at < batch.num_rows:
         end = max(at + 1, min(at + rows, int(np.searchsorted(ends, done + most_bytes, "right"))))

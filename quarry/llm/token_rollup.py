@@ -10,10 +10,22 @@ and is committed when the second folder is complete. Folders of a batch belong t
 it alone: a batch that broke off is simply written again, and one that is
 committed is skipped, so sending a batch twice changes nothing. Totals are the
 sums over committed batches; no stored total is ever rewritten.
+
+Eight batches are merged into one part, eight such parts into a larger one, and so
+on, where rows that cancel each other go; so a look into the ledger reads a number of
+parts that is logarithmic in the number of batches. ``merged-N.json`` says which part
+stands for which batches; the highest N counts.
+
+One writer works at a time. It holds a lease that it renews while it works; the lease
+of a writer that died ends by itself after LEASE seconds.
 """
 
 from __future__ import annotations
 
+import json
+import threading
+import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 
@@ -27,6 +39,9 @@ KEYS = ("source", "lang", "tokenizer")
 LEDGER = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
 ROLLUP = "source string, lang string, tokenizer string, docs long, tokens long"
 
+#: Parts of one level that are merged, and seconds after which a lease that isn't renewed ends.
+MERGE_AT, LEASE = 8, 600.0
+
 #: A version's counter: counts for a list of texts, or a column of the text.
 Counter = Callable[[list], list] | Callable[[Column], Column]
 
@@ -100,18 +115,81 @@ class TokenRollup:
         path = jvm.org.apache.hadoop.fs.Path(where)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _names(self, where: str) -> list[str]:
+        fs, path = self._fs(where)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _merged(self) -> tuple[int, list[dict]]:
+        """The number and the content of the newest list of merged parts: name, level, batches."""
+        n = max((int(x[7:-5]) for x in self._names(self.path) if x.startswith("merged-") and x.endswith(".json")), default=0)
+        if not n:
+            return 0, []
+        fs, path = self._fs(f"{self.path}/merged-{n}.json")
+        stream = fs.open(path)
+        try:
+            return n, json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
     def committed(self) -> list[str]:
         """Names of the committed batches."""
-        fs, path = self._fs(f"{self.path}/rollup")
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(n.removeprefix("batch=") for n in names if fs.exists(self._fs(f"{self.path}/rollup/{n}/_SUCCESS")[1]))
-
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        held = [f"{self.path}/{kind}/batch={b}" for b in self.committed()]
+        names = [n.removeprefix("batch=") for n in self._names(f"{self.path}/rollup") if n.startswith("batch=")]
+        fs, _ = self._fs(self.path)
+        done = {n for n in names if fs.exists(self._fs(f"{self.path}/rollup/batch={n}/_SUCCESS")[1])}
+        return sorted(done.union(*[p["batches"] for p in self._merged()[1]]))
+
+    def _parts(self) -> list[dict]:
+        """Merged parts, and batches as parts of level 0, that make up the rollup."""
+        merged = self._merged()[1]
+        covered = {b for p in merged for b in p["batches"]}
+        return merged + [{"name": f"batch={b}", "level": 0, "batches": [b]} for b in self.committed() if b not in covered]
+
+    def _read(self, kind: str, schema: str, parts: list[dict] | None = None) -> DataFrame:
+        held = [f"{self.path}/{kind}/{p['name']}" for p in (self._parts() if parts is None else parts)]
         return self.spark.read.schema(schema).parquet(*held) if held else self.spark.createDataFrame([], schema)
 
+    def _merge(self) -> None:
+        """Merge parts where there are enough of a level; readers see the old parts or the new one."""
+        while True:
+            parts, levels = self._parts(), {}
+            for p in parts:
+                levels.setdefault(p["level"], []).append(p)
+            full = next((levels[k] for k in sorted(levels) if len(levels[k]) >= MERGE_AT), None)
+            if full is None:
+                return
+            name = f"merged={uuid.uuid4().hex}"
+            sums = [F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")]
+            for kind, schema, keys in (("ledger", LEDGER, ("doc_id", *KEYS)), ("rollup", ROLLUP, KEYS)):
+                one = self._read(kind, schema, full).groupBy(*keys).agg(*sums).filter("docs <> 0 OR tokens <> 0")
+                one.write.parquet(f"{self.path}/{kind}/{name}")
+            n, merged = self._merged()
+            gone = {p["name"] for p in full}
+            merged = [p for p in merged if p["name"] not in gone] + [{"name": name, "level": full[0]["level"] + 1, "batches": sorted(b for p in full for b in p["batches"])}]
+            self._put(f"{self.path}/merged-{n + 1}.json", json.dumps(merged, sort_keys=True))
+
+    def _put(self, where: str, content: str) -> None:
+        """Write a file aside and rename it, so that it is there whole or not at all."""
+        fs, aside = self._fs(f"{self.path}/_aside-{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
+        out.write(bytearray(content.encode()))
+        out.close()
+        if not fs.rename(aside, self._fs(where)[1]):
+            raise RuntimeError(f"{where} is there already")
+
+    def vacuum(self) -> None:
+        """Delete parts that merged ones stand for, and older lists; nobody may be reading them."""
+        with self._writing():
+            n, merged = self._merged()
+            keep = {p["name"] for p in self._parts()}
+            for kind in ("ledger", "rollup"):
+                for name in self._names(f"{self.path}/{kind}"):
+                    if name not in keep:
+                        fs, path = self._fs(f"{self.path}/{kind}/{name}")
+                        fs.delete(path, True)
+            for k in range(1, n):
+                fs, path = self._fs(f"{self.path}/merged-{k}.json")
+                fs.delete(path, False)
+
     def ledger(self, ids: DataFrame | None = None) -> DataFrame:
         """What stands now (of the documents in ``ids.doc_id``): doc_id, source, lang, tokenizer, docs, tokens.
 
@@ -140,10 +218,24 @@ class TokenRollup:
         except Exception as e:
             if not fs.exists(path):
                 raise
-            raise RuntimeError(f"another writer holds {self.path}; if it died, delete {path.toString()}") from e
+            since = time.time() - fs.getFileStatus(path).getModificationTime() / 1000
+            # of several that find the lease over, one can move it away
+            if since < LEASE or not fs.rename(path, self._fs(f"{self.path}/_ended-{uuid.uuid4().hex}")[1]):
+                raise RuntimeError(f"another writer holds {self.path}; its lease ends in {max(0, LEASE - since):.0f} s unless it is renewed") from e
+            fs.create(path, False).close()
+        over = threading.Event()
+
+        def renew() -> None:
+            while not over.wait(LEASE / 6):
+                fs.setTimes(path, int(time.time() * 1000), -1)
+
+        thread = threading.Thread(target=renew, daemon=True)
+        thread.start()
         try:
             yield
         finally:
+            over.set()
+            thread.join()
             fs.delete(path, False)
 
     def _commit(self, batch: str, rows: DataFrame) -> bool:
@@ -152,6 +244,7 @@ class TokenRollup:
         signed = self.spark.read.schema(LEDGER).parquet(ledger)
         sums = signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         sums.write.mode("overwrite").parquet(rollup)  # one row per key
+        self._merge()
         return True
 
     def upsert(self, batch: str, counts: DataFrame) -> bool:

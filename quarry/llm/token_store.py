@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, scratch, text_of
+from quarry.llm.common import arrow_map, scratch, slices, text_of
 from quarry.llm.wordtok import encoder
 
 SCHEMA = "part int, doc_id long, part_start long, n_tokens int, ids array<int>"
@@ -39,7 +39,8 @@ def write_ids(
     source = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
         .withColumn("tie", tie)
-        .repartitionByRange("doc_id", "tie")
+        .withColumn("copy", F.monotonically_increasing_id())  # repeated rows need not share a range
+        .repartitionByRange("doc_id", "tie", "copy")
         .sortWithinPartitions("doc_id", "tie", "text")
         .select("doc_id", "text")
     )
@@ -48,8 +49,7 @@ def write_ids(
     def run(batches):
         part, start, end = TaskContext.get().partitionId(), 0, np.array([end_id], np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for some in slices(batch, 500):
                 ids = encoder(tokenizer).batch(some.column(1).to_pylist())
                 n = np.array([len(i) + 1 for i in ids], np.int64)
                 flat = np.concatenate([x for i in ids for x in (i, end)]).astype(np.int32)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map
+from quarry.llm.common import arrow_map, discard, join_by_size, materialise
 
 #: Rules up to which the trie is broadcast (some 100 bytes each).
 MAX_TRIE_RULES = 200_000
@@ -155,8 +155,9 @@ def _by_join(urls: DataFrame, rules: DataFrame, id_col: str, default: str) -> Da
         "verdict",
     ).groupBy("r_host", "r_dir", "r_path").agg(F.max("verdict").alias("r_verdict"))  # block > allow
     labels, parts = F.split("host", r"\."), F.split("path", "(?<=/)")
+    pairs = materialise(base.groupBy("host", "path").agg(F.count("*").alias("n")), "pairs")
     tries = (
-        base.select("host", "path").distinct()
+        pairs.select("host", "path")
         .withColumn("r_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
         .withColumn("r_dir", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.regexp_extract(F.array_join(F.slice(parts, F.lit(1), i), ""), r"^([\s\S]*/)", 1)))))
     )
@@ -165,6 +166,8 @@ def _by_join(urls: DataFrame, rules: DataFrame, id_col: str, default: str) -> Da
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.size(F.split("r_host", r"\.")).alias("labels"), F.length("r_path").alias("chars"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best"))
     )
-    return base.join(best, ["host", "path"], "left").select(
-        F.col("id").alias(id_col), "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict")
-    )
+    judged = materialise(pairs.join(best, ["host", "path"], "left").select("host", "path", "n", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict")), "judged")
+    # one pair, that of all malformed urls for example, may have a large part of the rows
+    total = judged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    discard(pairs)
+    return join_by_size(base, judged, ["host", "path"], "n", total).select(F.col("id").alias(id_col), "host", "path", "rule", "verdict")

@@ -111,10 +111,10 @@ def brute_join(rows, threshold=0.8):
     return links, list(classes.values())
 
 
-def check_join(docs, **options):
+def check_join(docs, result=None, **options):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     links, classes = brute_join(rows)
-    got = ngram_join.similar_documents(docs, **options).collect()
+    got = (ngram_join.similar_documents(docs, **options) if result is None else result).collect()
     first = lambda c: min((rows[i][0] for i in c), key=lambda x: (x is not None, x))  # noqa: E731  nulls first
     want = Counter((rows[i][0], first(c), links[i], len(c)) for c in classes for i in c)
     assert Counter((r.doc_id, r.class_id, r.n_links, r.class_size) for r in got) == want
@@ -176,7 +176,9 @@ def test_join_special(special, nothing):
 
 @needs_data
 def test_join_on_the_test_tables(spark):
-    check_join(spark.read.parquet(f"{DATA}/documents.parquet"))
+    from quarry.llm.queries import QUERIES
+
+    check_join(spark.read.parquet(f"{DATA}/documents.parquet"), QUERIES["op10_ngram_join"](spark, DATA))
 
 
 def test_components(spark):

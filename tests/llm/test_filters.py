@@ -172,6 +172,22 @@ def test_trie(rules, host, path):
     assert (got or (None, "allow")) == brute(url, rules)[2:]
 
 
+def test_rows_are_kept_whatever_the_case_of_the_column(spark):
+    docs = spark.createDataFrame([(1, "good", 2), (2, "bad", 3), (3, None, 4)], "doc_id long, Text string, text_ long")
+    model = toxicity.SeverityModel({"bad": 9.0}, np.array([1.0]))
+    assert sorted(r.doc_id for r in toxicity.drop_toxic(docs, model).collect()) == [1, 3]
+
+
+def test_join_with_a_hot_url(spark):
+    """Malformed urls are one pair of empty host and path, and may be most of the rows."""
+    urls = [None, "no scheme", "http://A.example.com/en/x", "http://b.org", "http:///en/"]
+    rows = [(i, urls[0] if i % 3 else urls[i % 5]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    rules = [*URL_RULES, ("block", "", "/en/")]
+    one, other = (sorted(map(tuple, url_filter.filter_urls(df, rules, max_trie_rules=n).collect()), key=str) for n in (100, 0))
+    assert one == other and len(one) == 3000
+
+
 # -- media
 
 

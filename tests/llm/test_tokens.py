@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -253,6 +254,51 @@ def test_rollup_has_one_writer(spark, tmp_path):
     assert rollup.delete("x", spark.range(1).withColumnRenamed("id", "doc_id"))
 
 
+def test_rollup_s_lease_ends(spark, tmp_path, monkeypatch):
+    rollup = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
+    ids = spark.range(1).withColumnRenamed("id", "doc_id")
+    rollup.delete("x", ids)
+    (tmp_path / "r/_writer").touch()  # a writer that died
+    with pytest.raises(RuntimeError, match="another writer"):
+        rollup.delete("y", ids)
+    os.utime(tmp_path / "r/_writer", (1, 1))
+    assert rollup.delete("y", ids) and not (tmp_path / "r/_writer").exists()
+    monkeypatch.setattr(token_rollup, "LEASE", 0.6)
+    with rollup._writing():  # a living writer renews its lease
+        time.sleep(1.5)
+        with pytest.raises(RuntimeError, match="another writer"):
+            rollup.delete("z", ids)
+
+
+def test_rollup_merges_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_rollup, "MERGE_AT", 3)
+    rollup, want = token_rollup.TokenRollup(spark, str(tmp_path / "r")), {}
+    for step in range(10):
+        ids = [step % 4, 10 + step]
+        if step in (4, 7):
+            rollup.delete(f"b{step}", spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+            for i in ids:
+                want.pop(i, None)
+        else:
+            rows = [(i, "s", None, "w", 1, 100 * step + i) for i in ids]
+            rollup.upsert(f"b{step}", spark.createDataFrame(rows, token_rollup.LEDGER))
+            want |= {r[0]: r[5] for r in rows}
+        assert {r.doc_id: r.tokens for r in rollup.ledger().collect()} == want
+        assert [(r.docs, r.tokens) for r in rollup.totals().collect()] == [(len(want), sum(want.values()))]
+        assert len(rollup._parts()) <= 5
+    assert rollup.committed() == sorted(f"b{i}" for i in range(10))
+    assert not rollup.upsert("b3", spark.createDataFrame([], token_rollup.LEDGER))
+    rollup.vacuum()
+    assert len(os.listdir(tmp_path / "r/ledger")) == len(rollup._parts()) < 6
+    assert {r.doc_id: r.tokens for r in rollup.ledger().collect()} == want and rollup.committed() == sorted(f"b{i}" for i in range(10))
+
+
+def test_token_store_of_repeated_rows(spark, tmp_path):
+    docs = spark.createDataFrame([(7, "the same text")] * 400 + [(7, "other")], "doc_id long, text string").repartition(4)
+    rows = token_store.round_trip(docs, PATH).orderBy("start").collect()
+    assert [r.start for r in rows] == list(np.cumsum([0] + [r.n_tokens for r in rows])[:-1]) and len(rows) == 401
+
+
 def test_other_tokenizer_files_go_through_the_library(tmp_path):
     from tokenizers import models, normalizers, pre_tokenizers
 
