@@ -57,16 +57,19 @@ def chunk_markdown(docs: DataFrame, id_col: str = "id", body_col: str = "body",
     return out.select("doc_id", "line_start", "line_end", "text", "doc_path")
 
 
-def chunk_markdown_by_window(docs: DataFrame, id_col: str = "id", body_col: str = "body", path_col: str = "path") -> DataFrame:
+def chunk_markdown_by_window(docs: DataFrame, id_col: str = "id", body_col: str = "body", path_col: str = "path", title_col: str | None = None) -> DataFrame:
     """Line ranges by a running sum over a window: for documents with very many paragraphs."""
-    parts = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("doc_path"), F.posexplode(F.split(F.col(body_col), BREAK, -1)).alias("i", "part"))
-    before = F.coalesce(F.sum(count_newlines(F.col("part")) + 2).over(W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    title = F.col(title_col) if title_col else F.element_at(F.split(F.col(path_col), "/"), -1)
+    parts = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("doc_path"), title.alias("title"), F.posexplode(F.split(F.col(body_col), BREAK, -1)).alias("i", "part"))
+    own = W.partitionBy("doc_id")
+    before = F.coalesce(F.sum(count_newlines(F.col("part")) + 2).over(own.orderBy("i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     text = trim_unicode(F.col("part"))
     start = (F.col("before") + count_newlines(F.regexp_extract("part", r"(?U)^(\s*)", 1))).cast("int")
-    return (
-        parts.withColumn("before", before).withColumn("text", text).filter("text <> ''").withColumn("line_start", start)
-        .select("doc_id", "line_start", (F.col("line_start") + count_newlines(F.col("text"))).cast("int").alias("line_end"), "text", "doc_path")
-    )
+    rows = parts.withColumn("before", before).withColumn("text", text).withColumn("found", F.max(F.col("text") != "").over(own))
+    bare = ~F.col("found") & (F.col("i") == 0)  # stands for a document without paragraphs
+    rows = rows.filter(bare | (F.col("text") != "")).withColumn("line_start", F.when(F.col("found"), start).otherwise(0)).withColumn("text", F.when(F.col("found"), F.col("text")).otherwise(F.col("title")))
+    end = F.when(F.col("found"), F.col("line_start") + count_newlines(F.col("text"))).otherwise(0)
+    return rows.select("doc_id", "line_start", end.cast("int").alias("line_end"), "text", "doc_path")
 
 
 def _jsonl_chunks(body: Column) -> Column:

@@ -134,7 +134,7 @@ def chunk_markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_markdown(inputs.corpus(spark, sf_dir))
 
 
-@query("win3_markdown_by_window", f"WITH {CHK_PARTS} SELECT * FROM markdown WHERE doc_id IN (SELECT doc_id FROM trimmed WHERE t <> '')")
+@query("win3_markdown_by_window", f"WITH {CHK_PARTS} SELECT * FROM markdown")
 def chunk_markdown_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_markdown_by_window(inputs.corpus(spark, sf_dir))
 
@@ -200,6 +200,13 @@ def distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("vec_id", F.round(l2_distance(F.col("embedding"), inputs.query_vector(spark, sf_dir)), 6).alias("distance"))
 
 
+@query("sca8_l2_distance_long", f"SELECT a.vec_id, round(sqrt(2) * {DISTANCE.format('a.embedding', 'b.embedding')}, 5) AS distance FROM embeddings a, embeddings b WHERE b.vec_id = 0")
+def distance_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors beyond the length up to which the distance is one expression: each embedding twice."""
+    held = inputs.table(spark, sf_dir, "embeddings").withColumn("embedding", F.concat("embedding", "embedding"))
+    return held.select("vec_id", F.round(l2_distance(F.col("embedding"), inputs.query_vector(spark, sf_dir) * 2), 5).alias("distance"))
+
+
 @query("sca8_l2_between", f"SELECT a.vec_id, round({DISTANCE.format('a.embedding', 'b.embedding')}, 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def distance_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = inputs.table(spark, sf_dir, "embeddings")
