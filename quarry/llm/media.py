@@ -253,6 +253,30 @@ def resolve(sequences: DataFrame, media: DataFrame, id_col: str) -> DataFrame:
     return join_by_size(refs, dim, ["digest"], "named", refs.count()).drop("named")
 
 
+def pages_as_media(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Store every text block of the pages once, and resolve the pages' sequences to what is stored.
+
+    One row per item: id, position, kind, ref, caption, digest, n_bytes, media_bytes,
+    feature. A text block is a payload, found by its digest in the store, so blocks
+    that many pages share are stored once; its position is the one that it has on
+    its page. Media that the pages refer to keep position, ref and caption; a ref
+    to a digest of the store is resolved, others have no payload. Null and empty
+    pages have no items; repeated rows have theirs each; other columns aren't read.
+    """
+    spark, path = pages.sparkSession, scratch(pages.sparkSession, "media")
+    parsed = interleave(pages, id_col, html_col).select(F.col(id_col), F.posexplode("items").alias("at", "item")).select(id_col, "item.*")
+    own = F.when(F.col("kind") == "text", F.sha2("text", 256)).when(F.col("ref").startswith(SCHEME), F.substring("ref", len(SCHEME) + 1, 64))
+    items = materialise(parsed.withColumn("digest", own), "items")
+    blocks = items.filter("kind = 'text'").groupBy("digest").agg(F.first("text").alias("text"))
+    store_payloads(blocks.select("digest", F.col("text").cast("binary").alias("content")), path)
+    named = items.filter("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("named"))
+    dim = materialise(named.join(read_media(spark, path).select("digest", "n_bytes", "media_bytes", "feature"), "digest", "left"), "payloads")
+    total = items.count()
+    slim = items.select(id_col, "position", "kind", "ref", "caption", "digest")
+    found = join_by_size(slim.filter("digest IS NOT NULL"), dim, ["digest"], "named", total).drop("named")
+    return found.unionByName(slim.filter("digest IS NULL"), allowMissingColumns=True).select(id_col, "position", "kind", "ref", "caption", "digest", "n_bytes", "media_bytes", "feature")
+
+
 def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", from_files: bool = False) -> DataFrame:
     """Store each whole text (null: empty) as a payload, once, and resolve a page that shows it.
 

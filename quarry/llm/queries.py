@@ -123,6 +123,13 @@ def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "pages")).select("page_id", F.explode("items").alias("item")).select("page_id", "item.*")
 
 
+def pages_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of every page with the stored payload of each text block, found by its digest."""
+    from quarry.llm.media import pages_as_media
+
+    return pages_as_media(table(spark, sf_dir, "pages"))
+
+
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals under two public tokenizers."""
     from quarry.llm.common import scratch
@@ -289,6 +296,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_simhash": op13_simhash,
     "token_rollup_words": token_rollup_words,
     "interleaved_pages": interleaved_pages,
+    "pages_resolved": pages_resolved,
 }
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,

@@ -313,6 +313,35 @@ def test_media(spark, special, nothing):
     assert media.documents_as_media(nothing).count() == 0
 
 
+def test_pages_are_resolved_by_digest(spark):
+    known = hashlib.sha256(b"shared block").hexdigest()
+    rows = [
+        (1, "<p>shared block</p><figure><img src='x.png'><figcaption>of x</figcaption></figure><p>own"), (2, "<div>shared   block</div>"), (3, None), (3, ""),
+        (4, f"<p>one</p><figure><img src='digest:{known}'><figcaption>stored</figcaption></figure><img src='digest:{'0' * 64}' alt='gone'>"), (None, "<p>one"), (2, "<div>shared   block</div>"),
+    ]
+    got = media.pages_as_media(spark.createDataFrame(rows, "page_id long, html string")).collect()
+    want = []
+    for page, html in rows:
+        for item in media.parse(html):
+            content = item["text"].encode() if item["kind"] == "text" else b"shared block" if item["ref"].endswith(known) else None
+            digest = hashlib.sha256(content).hexdigest() if content else "0" * 64 if item["ref"].startswith("digest:") else None
+            image = media.to_png(media.pad(content)) if content else None
+            want.append((page, item["position"], item["kind"], item["ref"], item["caption"], digest, len(content) if content else None, len(image) if image else None, media.describe(media.pad(content)) if content else None))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+@needs_data
+def test_pages_resolved_on_the_test_tables(spark):
+    from quarry.llm.queries import interleaved_pages, pages_resolved
+
+    sf = "/root/testdata/sf0.001"
+    texts = {(r.page_id, r.position): r.text for r in interleaved_pages(spark, sf).collect()}
+    rows = pages_resolved(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.digest, r.n_bytes) == (hashlib.sha256(texts[r.page_id, r.position].encode()).hexdigest(), len(texts[r.page_id, r.position].encode()))
+
+
 @needs_data
 def test_interleave_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
