@@ -12,7 +12,8 @@ from quarry import tools
 from quarry.config import Config
 from quarry.functions.scalars import human_size
 from quarry.sources import devices
-from quarry.streaming.watch import watch_tree
+from quarry.sources.indexer import Synced
+from quarry.streaming.watch import index_stream, watch_tree
 from quarry.workspace import Workspace, find_root, init
 
 
@@ -31,11 +32,12 @@ def main(args: list[str] | None = None) -> int:
     watch = commands.add_parser("watch")
     watch.add_argument("--interval", type=float, help="seconds; else sync_interval_minutes of the configuration, else 60")
     watch.add_argument("--cycles", type=int, help="stop after so many")
+    watch.add_argument("--progress", help="follow changes as a stream that keeps its progress in this folder; with --cycles up to what is there now")
     search = commands.add_parser("search")
     search.add_argument("query")
     search.add_argument("--limit", type=int, default=10)
     cache = commands.add_parser("cache")
-    cache.add_argument("action", choices=["sync", "rebuild", "info", "embed", "clean"])
+    cache.add_argument("action", choices=["sync", "rebuild", "info", "embed", "clean", "cells", "check"])
     device = commands.add_parser("device").add_subparsers(dest="action", required=True)
     device.add_parser("list")
     device.add_parser("set-name").add_argument("name")
@@ -53,7 +55,7 @@ def main(args: list[str] | None = None) -> int:
     if given.command == "sync":
         workspace.report_device()
         print(tools.workspace_sync(workspace))
-        workspace.replica.sync()
+        workspace.exchange()
     elif given.command in ("upsert", "delete", "remove"):
         workspace.on_event(given.path) if given.command == "upsert" else workspace.forget(given.path)
     elif given.command == "search":
@@ -61,6 +63,10 @@ def main(args: list[str] | None = None) -> int:
     elif given.command == "mcp":
         tools.serve(workspace)
     elif given.command == "watch":
+        if given.progress:
+            stream = index_stream(spark, workspace.store, workspace.root, given.progress, once=given.cycles is not None, on_batch=_said, line_ranges=workspace.config.line_ranges)
+            stream.awaitTermination()
+            return 0
         interval = given.interval if given.interval is not None else workspace.config.sync_interval or 60
         watch_tree(workspace, interval=interval, cycles=given.cycles)
     elif given.command == "cache":
@@ -70,6 +76,11 @@ def main(args: list[str] | None = None) -> int:
     return 0
 
 
+def _said(number: int, done: Synced) -> None:
+    if any(done):
+        print(f"batch {number}: {done[0]} indexed, {done[1]} removed", flush=True)
+
+
 def _cache(workspace: Workspace, action: str) -> None:
     if action == "sync":
         print(tools.workspace_sync(workspace))
@@ -77,6 +88,10 @@ def _cache(workspace: Workspace, action: str) -> None:
         print(tools.workspace_rebuild(workspace))
     elif action == "embed":
         print(workspace.embed_pending(lambda done, total: print(f"{done} of {total}", file=sys.stderr)))
+    elif action == "cells":
+        workspace.store.build_cells()
+    elif action == "check":
+        workspace.store.check().show(truncate=False)
     elif action == "clean":
         gone = workspace.store.clean_stale()
         print("\n".join(f"removed: {path} ({size} bytes)" for path, size in gone) or "nothing to clean")

@@ -52,6 +52,7 @@ class ReplicaKind(StrEnum):
     AUTO = "auto"
     NONE = "none"
     GIT = "git"
+    FOLDER = "folder"
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,7 @@ class ReplicaConfig:
     backend: ReplicaKind = ReplicaKind.AUTO
     remote: str = "origin"
     branch: str | None = None
+    path: str | None = None  # the shared folder of the backend "folder"
 
 
 def _flag(value: str) -> bool:

@@ -18,7 +18,7 @@ from quarry.config import APP, Config, Folders, ReplicaKind, path_id
 from quarry.operators.chunkers import Chunkers
 from quarry.operators.embed import Embedder, build_embedder
 from quarry.sources import devices, files, indexer
-from quarry.sources.replicate import LocalOnly, Replica
+from quarry.sources.replicate import LocalOnly, Replica, SharedFolder
 from quarry.sources.store import Store
 
 MARKER = ".quarry"
@@ -80,8 +80,10 @@ class Workspace:
     ):
         self.spark, self.root, self.config = spark, str(files.canonical(root)), config or Config()
         self.store = Store(spark, store_path or f"{self.root}/{MARKER}/store")
-        self.replica: Replica = replica if replica and self.config.replica.backend != ReplicaKind.NONE else LocalOnly()
         self.folders, self.chunkers = folders or Folders.of(), chunkers
+        if replica is None and self.config.replica.backend == ReplicaKind.FOLDER and self.config.replica.path:
+            replica = SharedFolder(spark, self.root, self.config.replica.path, self.device)
+        self.replica: Replica = replica if replica and self.config.replica.backend != ReplicaKind.NONE else LocalOnly()
 
     @property
     def embedder(self) -> Embedder | None:
@@ -104,6 +106,13 @@ class Workspace:
     def sync_and_embed(self) -> tuple[int, int, int]:
         return (*self.refresh(), self.embed_pending())
 
+    def exchange(self) -> int:
+        """Exchange with the other hosts and index what came from them; how many files that were."""
+        taken = (self.replica.sync() or {}).get("taken", 0)
+        if taken:
+            self.refresh()
+        return taken
+
     def rebuild(self) -> tuple[int, int]:
         self.store.rebuild()
         return self.sync()

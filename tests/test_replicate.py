@@ -5,6 +5,7 @@ from itertools import count
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.config import Folders
 from quarry.sources.replicate import LocalOnly, Replica, SharedFolder, newest_versions
 from quarry.workspace import Config, Workspace
 
@@ -109,3 +110,20 @@ def test_as_a_workspace_s_replica(spark, tmp_path):
     w.replica.sync()
     h["b"].sync()
     assert content(h["b"].root)["n.md"] == "note"
+
+
+def test_configured_hosts(spark, tmp_path, monkeypatch):
+    """Two workspaces whose configuration names a shared folder."""
+    made = []
+    for name in "ab":
+        (tmp_path / name).mkdir()
+        monkeypatch.setenv("XDG_DATA_HOME", str(tmp_path / f"data-{name}"))
+        config = Config.load({"sync": {"backend": "folder", "path": str(tmp_path / "shared")}}, {})
+        made.append(Workspace(spark, tmp_path / name, config, folders=Folders.of()))
+    a, b = made
+    assert a.replica.host != b.replica.host
+    a.write_file("n.md", "hello from a")
+    assert (a.exchange(), b.exchange()) == (0, 1)
+    assert [r.text for r in b.store.chunks().collect()] == ["hello from a"]
+    b.delete_file("n.md")
+    assert (b.exchange(), a.exchange()) == (0, 1) and a.store.documents().count() == 0

@@ -173,6 +173,12 @@ def test_commands(spark, root, capsys, monkeypatch):
     (root / "b.txt").unlink()
     assert run(capsys, root, "watch", "--cycles", "1", "--interval", "0") == "0 indexed, 1 removed\n"
     assert run(capsys, root, "cache", "embed") == "0\n"
+    assert "problem" in run(capsys, root, "cache", "check") and run(capsys, root, "cache", "cells") == ""
+    (root / "late.md").write_text("hello late")
+    progress = str(root.parent / "progress")
+    assert "indexed, 0 removed" in run(capsys, root, "watch", "--cycles", "1", "--progress", progress)
+    (root / "late.md").unlink()
+    assert run(capsys, root, "watch", "--cycles", "1", "--progress", progress) == "batch 1: 0 indexed, 1 removed\n"
     assert cli.main(["--root", str(root.parent), "sync"]) == 1
 
 
