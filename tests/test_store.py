@@ -305,3 +305,35 @@ def test_many_candidates(spark, tmp_path):
     bare = Store(spark, str(tmp_path / "bare"), indexed=False)
     bare.upsert_documents(*rows_of(spark, range(5)))
     assert "postings" not in bare.manifest()["tables"] and bare.search_fts("license").count() == 5
+
+
+def bytes_read(spark):
+    """Input of all tasks so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorList(True).apply(0).totalInputBytes()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data here")
+def test_a_search_reads_less_than_the_text(spark, tmp_path):
+    """A phrase of few documents: the postings lead to them, and the same is found."""
+    from quarry.plans import inputs
+
+    store, sf = Store(spark, str(tmp_path / "s")), "/root/testdata/sf0.1"
+    chunks = inputs.chunks(spark, sf)
+    small = {"parquet.block.size": 1 << 20, "parquet.page.size": 64 << 10, "parquet.page.row.count.limit": 100}  # as the table is small, too
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    store.replace(documents=inputs.stored_files(spark, sf).select("id", "path"), chunks=chunks)
+    for key in small:
+        spark.conf.unset(key)
+    phrase = chunks.select("doc_id", F.regexp_extract("text", "[0-9][0-9 .@-]{6,}[0-9]", 0).alias("p")).filter("p <> ''").orderBy("doc_id").first().p
+    spent, found = [], []
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")  # else other threads read, which the figures lack
+    for search in (lambda q: rank.fts_files(store.chunks(), q), lambda q: store.search_fts(q)):
+        before = bytes_read(spark)
+        found.append([(r.path, round(r.score, 9)) for r in search(f'"{phrase}"').collect()])
+        spent.append(bytes_read(spark) - before)
+    spark.conf.unset("parquet.hadoop.vectored.io.enabled")
+    assert found[0] == found[1] and found[0]
+    assert spent[1] < spent[0] / 3, spent
