@@ -690,10 +690,13 @@ def _written(rows: DataFrame, root: str) -> None:
     arrow = pa.schema([("n", pa.int64())])
 
     def write(batches):
+        made = set()
         for batch in batches:
             for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 full = os.path.join(root, path)
-                os.makedirs(os.path.dirname(full), exist_ok=True)
+                if (folder := os.path.dirname(full)) not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
                 Path(full).write_bytes(body if isinstance(body, bytes) else (body or "").encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], schema=arrow)
 

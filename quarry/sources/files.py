@@ -66,7 +66,7 @@ def read_all(files: DataFrame) -> DataFrame:
 def text_of(raw: DataFrame) -> DataFrame:
     """Files with ``content`` as files with a ``body``; unreadable and non-UTF-8 ones are left out."""
     text = F.col("content").cast("string")
-    return raw.filter(F.col("content").isNotNull() & F.is_valid_utf8(text)).select("path", "mtime", "length", text.alias("body"))
+    return raw.filter(F.col("content").isNotNull() & F.is_valid_utf8(text)).withColumn("body", text).drop("content")
 
 
 def read_bodies(files: DataFrame) -> DataFrame:

@@ -16,11 +16,13 @@ from quarry.sources.store import Store
 
 #: Of the files that executors could not read, so many are tried on the driver.
 UNREAD_TRIED = 20
+#: Bytes of files that are read, and later chunked, by one task.
+PART_BYTES = 16 << 20
 
 
 def documents_of(bodies: DataFrame) -> DataFrame:
-    """id, path, body of files: the id is a hash of the path."""
-    return bodies.select(fnv1a64(F.col("path")).alias("id"), "path", "body")
+    """The files with their ``id``, a hash of the path."""
+    return bodies.withColumn("id", fnv1a64(F.col("path")))
 
 
 class Synced(tuple):
@@ -58,27 +60,31 @@ def _index(store: Store, listed: DataFrame, line_ranges: bool, chunkers: Chunker
     executor cannot means that the executors do not reach the tree: an error, as the
     index would silently lack it.
     """
-    held = store.stage(files.read_all(listed))
+    size = listed.agg(F.sum(F.greatest("length", F.lit(0)))).first()[0] or 0
+    # folders differ in size, and so do the partitions of a listing
+    held = store.stage(documents_of(files.read_all(listed.repartition(size // PART_BYTES + 1))))
     unread = [r["path"] for r in held.filter(F.col("content").isNull()).select("path").limit(UNREAD_TRIED).collect()]
     lost = [p for p in unread if os.access(p, os.R_OK)]
     if lost:
         store.clear_stage()
         raise OSError(f"executors cannot read {lost[0]}, which the driver can; do they reach the tree?")
-    return _write(store, files.text_of(held), line_ranges, chunkers, removed, batch)
+    return _write(store, files.text_of(held), held, line_ranges, chunkers, removed, batch)
 
 
 def write_bodies(store: Store, bodies: DataFrame, line_ranges: bool = True, batch: tuple[str, int] | None = None) -> Synced:
     """Write documents given as path, mtime, length, body."""
-    return _write(store, store.stage(bodies), line_ranges, batch=batch)
+    held = store.stage(documents_of(bodies))
+    return _write(store, held, held, line_ranges, batch=batch)
 
 
-def _write(store: Store, held: DataFrame, line_ranges: bool, chunkers: Chunkers | None = None, removed: DataFrame | None = None, batch: tuple[str, int] | None = None) -> Synced:
-    n, actions = held.count(), Counter()
+def _write(store: Store, held: DataFrame, staged: DataFrame, line_ranges: bool, chunkers: Chunkers | None = None, removed: DataFrame | None = None, batch: tuple[str, int] | None = None) -> Synced:
+    """Write the documents in ``held``, which is made from ``staged``."""
+    documents, actions = store.stage(held.select("id", "path", "mtime", "length")), Counter()  # without the texts
+    n = documents.count()
     gone = removed.count() if removed is not None else 0
     if n:
-        documents = documents_of(held)
-        chunks = store.stage(chunks_of(documents, line_ranges, chunkers))
-        actions = store.upsert_documents(documents.select("id", "path"), chunks, held.select("path", "mtime", "length"), removed if gone else None, batch)
+        chunks = chunks_of(held, line_ranges, chunkers)
+        actions = store.upsert_documents(documents.select("id", "path"), chunks, documents.select("path", "mtime", "length"), removed if gone else None, batch, staged)
     elif gone:
         store.remove_documents(removed, batch)
     store.clear_stage()

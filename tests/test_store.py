@@ -1,11 +1,12 @@
 import os
 from datetime import UTC, datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarry import schemas
-from quarry.operators import rank
+from quarry.operators import postings, rank
 from quarry.operators.embed import build_embedder, hash_embedder
 from quarry.sources import devices, files, indexer
 from quarry.sources.store import SchemaTooNewError, Store
@@ -288,6 +289,47 @@ def test_check_finds_what_is_wrong(spark, tmp_path):
     assert {r.problem for r in store.check().collect()} == {"document twice", "not pending", "posting missing"}
 
 
+def test_check_compares_postings_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Rows of the postings are shuffled for documents alone whose sums differ, however many these are."""
+    store, words = Store(spark, str(tmp_path / "s")), "ß日本😀 Ab"
+    docs = spark.range(100).select("id", F.concat(F.lit("/ws/"), "id", F.lit(".md")).alias("path"))
+    text = F.concat(F.lit(words), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.sha2((F.col("id") * 1000 + i).cast("string"), 256))))
+    chunks = docs.select(F.col("id").alias("doc_id"), F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), text.alias("text"), F.col("path").alias("doc_path"))
+    store.upsert_documents(docs, chunks)
+    want = {(t[i : i + 3], r.doc_id) for r in chunks.collect() for t in [r.text.lower()] for i in range(len(t) - 2)}
+    held = [(r.trigram, r.doc_id) for r in store.table("postings").collect()]
+    assert len(held) == len(want) and set(held) == want
+    before = shuffled(spark)
+    assert store.check().count() == 0
+    assert shuffled(spark) - before < len(held)
+    wrong = store.table("postings").filter("NOT (doc_id < 3 AND trigram = '日本😀')")
+    twice = wrong.union(wrong.filter("doc_id = 9 AND trigram = 'ß日本'"))
+    store.commit(whole={"postings": twice})
+    expected = [("posting in vain", 9), *[("posting missing", i) for i in range(3)]]
+    for few in (64, 1):
+        monkeypatch.setattr("quarry.sources.store.FEW", few)
+        assert sorted((r.problem, r.doc_id) for r in store.check().collect()) == expected
+
+
+@pytest.mark.parametrize("size", [1, 20, 1 << 20])
+def test_postings_of_a_group_are_in_order(monkeypatch, size):
+    """Each trigram of a text once, by trigram and document, where texts are looked at in groups of any size."""
+    texts = {5: "abcabc 日本日本日", 3: "bcabca", 8: "xyz", 4: "".join(map(chr, range(0x4E00, 0x5E00)))}
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(texts, pa.int64()), "line_start": pa.array([0] * 4, pa.int32()), "low": pa.array([t.encode() for t in texts.values()], pa.binary())})
+    monkeypatch.setattr(postings, "GROUP_BYTES", size)
+    monkeypatch.setattr(postings, "_KEYS", 1 << 37)
+    runs = [[(r["trigram"], r["doc_id"]) for b in postings._distinct(g) for r in b.to_pylist()] for g in postings._groups(batch)]
+    assert all(run == sorted(run) for run in runs if size == 1)
+    assert sorted(sum(runs, [])) == sorted({(t[i : i + 3], k) for k, t in texts.items() for i in range(len(t) - 2)})
+
+
+def shuffled(spark):
+    """Bytes that all tasks so far have shuffled."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
 def test_a_store_without_kept_pending_chunks(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     store.upsert_documents(*rows_of(spark, range(3)))
