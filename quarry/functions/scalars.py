@@ -48,7 +48,7 @@ def fnv1a64(s: Column) -> Column:
     arithmetic. The prime is 2^40 + 0x1B3.
     """
     digits = F.hex(F.encode(s, "UTF-8"))
-    # ASCII characters are their octets; taking the others' from digits is some ten times as slow
+    # ASCII characters are their octets; the others' are taken from digits, which takes longer
     octets = F.when(
         (F.length(s) > 0) & (F.length(s) == F.octet_length(s)), F.transform(F.split(s, ""), lambda c: F.ascii(c).cast("bigint"))
     ).when(
