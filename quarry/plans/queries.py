@@ -926,12 +926,13 @@ def registry_lines_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "line int, id string")
 
 
-def _slices(rows: DataFrame, time: Column, folder: str, n: int) -> None:
-    """Write rows as ``n`` files, one after another, in the order of ``time``: a stream that takes one a batch gets them so."""
+def _slices(rows: DataFrame, time: Column, n: int) -> list[DataFrame]:
+    """Rows in ``n`` parts, in the order of ``time``."""
     first, last = rows.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
+    if first is None:
+        return []
     width = (last - first) // n + 1
-    for i in range(n):
-        rows.filter(F.floor((F.unix_micros(time) - first) / width) == i).coalesce(1).write.mode("append").parquet(folder)
+    return [rows.filter(F.floor((F.unix_micros(time) - first) / width) == i) for i in range(n)]
 
 
 @query(
@@ -944,19 +945,23 @@ SELECT user_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%SZ') AS events_until FRO
 def debounced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream in four batches, every tenth one 12 hours late: the last event of each burst of a user.
 
-    A last event of nobody's, a month later, moves the watermark past all bursts.
+    The stream starts again for each batch, and goes on with the bursts that its
+    checkpoint holds. A last event of nobody's, a month later, moves the watermark past
+    all bursts.
     """
     folder = _scratch(spark)
     rows = inputs.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"))
-    _slices(rows, F.col("ts") + F.when(F.col("event_id") % 10 == 0, F.expr("INTERVAL 12 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS")), f"{folder}/events", 4)
-    rows.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id")).write.mode("append").parquet(f"{folder}/events")
+    late = F.when(F.col("event_id") % 10 == 0, F.expr("INTERVAL 12 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
+    nobody = rows.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"))
     held = spark.conf.get(debounce.PROVIDER)
     debounce.use_rocksdb(spark)
     try:
-        arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
-        bursts = debounce.debounce(arriving, "user_id", "event_id", "ts", "2 hours", "1 day")
-        writer = bursts.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
-        writer.start(f"{folder}/bursts", format="parquet", outputMode="append").awaitTermination()
+        for part in (*_slices(rows, F.col("ts") + late, 4), nobody):
+            part.write.mode("append").parquet(f"{folder}/events")
+            arriving = spark.readStream.schema(rows.schema).parquet(f"{folder}/events")
+            bursts = debounce.debounce(arriving, "user_id", "event_id", "ts", "2 hours", "1 day")
+            writer = bursts.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+            writer.start(f"{folder}/bursts", format="parquet", outputMode="append").awaitTermination()
     finally:
         spark.conf.set(debounce.PROVIDER, held)
     return spark.read.schema(bursts.schema).parquet(f"{folder}/bursts").withColumn("events_until", scalars.format_utc(F.col("events_until")))
